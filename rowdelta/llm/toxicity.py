@@ -2,7 +2,7 @@
 
 Texts are folded (case, accents, look-alike letters, digits that stand for letters) to words of plain letters. An Aho-Corasick
 automaton over the folded text finds the lexicon's entries, which are words and beginnings of words; entries inside an exception
-phrase don't count. Each word counts once, by its heaviest entry. A document's score is a logistic function of the summed weights and
+phrase don't count. Each different word counts once, by its heaviest entry, so that a common word's repeats don't add up. A document's score is a logistic function of the summed weights and
 of their density, that is the sum normalised by length.
 
 The lexicon and the logistic function are fitted on labelled rows outside the held-out fold. The fit reads at most ``FIT_ROWS`` rows of
@@ -83,7 +83,7 @@ class Lexicon:
         return machine
 
     def weigh(self, machine, text: str) -> tuple[float, int]:
-        """Summed weights of the words that match, and the number of words."""
+        """Summed weights of the different words that match, and the number of words."""
         folded = fold(text)
         words: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
@@ -96,7 +96,10 @@ class Lexicon:
                     words[at] = weight
         if spared and words:
             words = {at: w for at, w in words.items() if not any(a <= at < b for a, b in spared)}
-        return sum(words.values()), folded.count(" ") - 1
+        kinds: dict[str, float] = {}
+        for at, w in words.items():
+            kinds[folded[at : folded.index(" ", at + 1)]] = w
+        return sum(kinds.values()), folded.count(" ") - 1
 
     def features(self, total: float, n: int) -> tuple[float, float]:
         return math.log1p(total), math.log1p(1000 * total / (n + 20))
@@ -164,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rate = n[1] / (n[0] + n[1])
     grams = cut(sample.mapInArrow(_grams, "gram string, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     weight = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
-    good = grams.withColumn("w", weight).where("toxic >= 2 and w > 3.5").orderBy(F.col("toxic").desc(), "clean", "gram").limit(4 * LEXICON_ROWS).collect()
+    good = grams.withColumn("w", weight).where("toxic >= 2 and w > 1.5").orderBy(F.col("toxic").desc(), "clean", "gram").limit(4 * LEXICON_ROWS).collect()
     likely = [r for r in good if _unlikely(r["toxic"] + r["clean"], r["toxic"], rate) < UNLIKELY]
     around = sample.where("y = 1").mapInArrow(_contexts([r["gram"] for r in likely]), "gram string, context long")
     places = {r["gram"]: r["n"] for r in around.groupBy("gram").agg(F.countDistinct("context").alias("n")).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, jaccard, mixing, packing, pii, simhash, toxicity
+from . import chat, embeddings, jaccard, mixing, packing, pii, simhash, suffixes, toxicity, windows
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -62,6 +66,10 @@ FROM parts
 """
 
 
+def op6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
 
@@ -109,6 +117,6 @@ FROM rows GROUP BY conv_id
 """
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op3_embeddings": op3_embeddings, "op7_jaccard": op7_jaccard, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_chat": op10_chat,
+    "op1_toxicity": op1_toxicity, "op2_suffixes": op2_suffixes, "op3_embeddings": op3_embeddings, "op6_windows": op6_windows, "op7_jaccard": op7_jaccard, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_chat": op10_chat,
 }
 ORACLES = {"op5_mixing": OP5_SQL, "op10_chat": OP10_SQL}

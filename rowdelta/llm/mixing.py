@@ -1,11 +1,16 @@
-"""Mixing sources to target weights along a curriculum, in DataFrame functions."""
+"""Mixing sources to target weights along a curriculum."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_or_empty
+from .common import WORD, cut, shuffle_width, text_or_empty
 
 #: Weights of the sources by code point, again and again, and the tilt of each one's schedule.
 WEIGHTS = (5, 2, 1)
@@ -43,11 +48,11 @@ def when_served(share: Column, tilt: Column) -> Column:
     return F.when(F.abs(tilt) < 1e-9, share).otherwise((-a + F.sqrt(a * a + 4 * tilt * share)) / (2 * tilt))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = False, total: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), total: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Deal every document its part of its source's target and its places along the curriculum.
 
     Returns doc_id, source, size (words), source_size, target, taken (words, repeats counted), first_at and second_at (the times in 0..1
-    at which the document's first and second reading begin, null if there is none), and the text if ``keep_text``.
+    at which the document's first and second reading begin, null if there is none), and the columns in ``keep``.
 
     A source's documents stand in the order of a hash of id and text; its target is read off along that order, from the start again where
     it exceeds the source's size. The document in which the target ends is taken in part, so a source's words meet its target to less than
@@ -59,7 +64,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text_or_empty(text_col)).cast("binary"))
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
-        key.alias("_key"), *([F.col(text_col).alias("text")] if keep_text else []),
+        key.alias("_key"), *keep,
     ).withColumn("_range", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
     slim = cut(base.groupBy("source", "_range").agg(F.sum("size").alias("_in_range"), F.count(F.lit(1)).alias("_rows")))
     over = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,7 +78,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start, goal, size, all_ = F.col("_before") + F.col("_within"), F.round("target").cast("long"), F.col("size"), F.col("source_size")
     part = lambda k: F.greatest(F.lit(0), F.least(size, goal - (start + all_ * k)))
     at = lambda k: F.when(part(k) > 0, when_served((start + all_ * k) / goal, F.col("tilt")))
-    return known.select("doc_id", "source", "size", "source_size", "target", (part(0) + part(1)).alias("taken"), part(0).alias("first_words"), part(1).alias("second_words"), at(0).alias("first_at"), at(1).alias("second_at"), *(["text"] if keep_text else []))
+    return known.select("doc_id", "source", "size", "source_size", "target", (part(0) + part(1)).alias("taken"), part(0).alias("first_words"), part(1).alias("second_words"), at(0).alias("first_at"), at(1).alias("second_at"), *keep)
 
 
 def _same(df: DataFrame, *keys: str) -> DataFrame:
@@ -83,6 +88,36 @@ def _same(df: DataFrame, *keys: str) -> DataFrame:
     return df
 
 
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut each text after its first ``_short`` words, where that is set."""
+    word = re.compile(WORD)
+    for batch in batches:
+        n, at = batch.column("_short").to_pylist(), batch.schema.get_field_index("_text")
+        texts = [t if k is None else t[: next(islice(word.finditer(t), k - 1, None)).end()] for t, k in zip(batch.column(at).to_pylist(), n, strict=True)]
+        columns = list(batch.columns)
+        columns[at] = pa.array(texts, columns[at].type)
+        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
+    """The documents as the mix takes them, range-sorted by training position: a row for each reading, with the columns of ``docs``.
+
+    A reading that the target cuts short has the document's first words only. Documents that aren't taken go; those without words do
+    too, as they add nothing.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.struct(*others).alias("_rest"))
+    mixed = mix(packed, keep=("text", "_rest"))
+    one = lambda k, words, at: F.struct(F.lit(k).alias("k"), F.col(words).alias("words"), F.col(at).alias("at"))
+    read = mixed.select("*", F.explode(F.array(one(0, "first_words", "first_at"), one(1, "second_words", "second_at"))).alias("_read")).where(F.col("_read.words") > 0)
+    short = F.when(F.col("_read.words") < F.col("size"), F.col("_read.words"))
+    rows = read.select(F.col("_read.at").alias("_at"), F.col("_read.k").alias("_k"), "_rest", F.col("text").cast("string").alias("_text"), short.alias("_short"))
+    rows = rows.mapInArrow(_shorten, rows.schema).drop("_short")
+    ordered = rows.repartitionByRange(2 * shuffle_width(docs.sparkSession), "_at", "_k", F.xxhash64("_text")).sortWithinPartitions("_at", "_k")
+    length = lambda c: F.char_length("_text").cast(docs.schema[c].dataType) if c == length_col else F.col(f"_rest.`{c}`")
+    return ordered.select(*[(F.col("_text") if c == text_col else length(c)).alias(c) for c in docs.columns])
+
+
 def in_order(mixed: DataFrame) -> DataFrame:
     """Range-sort documents by the time of their first reading; those not taken come last."""
     return mixed.orderBy(F.col("first_at").asc_nulls_last(), "doc_id")

@@ -104,11 +104,11 @@ def score_pairs(pairs: DataFrame, source: Dataset, target: Dataset, options: Dif
         else:
             x, y = normalized(a, options), normalized(b, options)
             total = total + F.when(x == y, F.lit(1.0)).otherwise(jaro_winkler(x, y))
-    return both.select("source_idx", "target_idx", (total / max(1, len(columns))).alias("score"))
+    return both.select("source_idx", "target_idx", F.round(total / max(1, len(columns)), 12).alias("score"))
 
 
 def _matrix(left: list[list[str]], right: list[list[str]], rule: str) -> np.ndarray:
-    """Mean similarity of every left row with every right row. Each pair of distinct values of a column is scored once."""
+    """Mean similarity of every left row with every right row, to 12 decimals so that ties are ties. Each pair of distinct values of a column is scored once."""
     total = np.zeros((len(left), len(right)))
     for a, b in zip(zip(*left, strict=True), zip(*right, strict=True), strict=True):
         (x, at_x), (y, at_y) = (_distinct(v) for v in (a, b))
@@ -126,7 +126,7 @@ def _matrix(left: list[list[str]], right: list[list[str]], rule: str) -> np.ndar
                 most = max(len(x[i]), len(y[j]))
                 scores[i, j] = 1 - edit_distance(x[i], y[j]) / most
         total += scores[np.ix_(at_x, at_y)]
-    return total / max(1, len(left[0]) if left else 1)
+    return np.round(total / max(1, len(left[0]) if left else 1), 12)
 
 
 def _distinct(values: tuple[str, ...]) -> tuple[list[str], np.ndarray]:

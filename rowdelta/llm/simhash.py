@@ -53,7 +53,7 @@ def fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     others = [c for c in df.columns if c not in names]
     row = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_kept", F.struct(*others))
     long = row.select("_row", "_kept", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), term_hashes(F.col(c)).alias("t")) for i, c in enumerate(names)])).alias("_text"))
-    terms = long.select("_row", "_kept", F.col("_text.i").alias("_i"), F.explode_outer("_text.t").alias("h1")).withColumn("h2", F.xxhash64("h1"))
+    terms = long.select("_row", "_kept", F.col("_text.i").alias("_i"), F.explode_outer("_text.t").alias("h1")).withColumn("h2", F.when(F.col("h1").isNotNull(), F.xxhash64("h1")))
     votes = terms.groupBy("_row", "_kept", "_i").agg(F.count("h1").alias("_n"), *_votes())
     printed = votes.select("_row", "_kept", "_i", F.concat(_word("h1", F.col("_n")), _word("h2", F.col("_n"))).alias("_print"))
     wide = printed.groupBy("_row", "_kept").agg(*[F.max(F.when(F.col("_i") == i, F.col("_print"))).alias(columns[c]) for i, c in enumerate(names)])

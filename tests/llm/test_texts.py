@@ -1,0 +1,263 @@
+"""Operators on single texts, against plain Python."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import prose, same, tricky_texts  # tests/llm/conftest.py
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rowdelta.llm import mixing, packing, pii, simhash, suffixes, toxicity, windows
+from rowdelta.llm.queries import tokenizer_paths
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TEXTS = [(i, t or "", s) for i, t, s in tricky_texts()]
+
+
+def sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_windows(tricky):
+    seen = Counter()
+    words = [WORD.findall(t) for _, t, _ in TEXTS]
+    for w in words:
+        seen.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
+    expected = []
+    for (doc, _, _), w in zip(TEXTS, words, strict=True):
+        gone = {k for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for k in range(i, i + 35)}
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        expected.append((doc, len(w), len(gone), sha(" ".join(kept).encode())))
+    same(map(tuple, windows.remove_repeated_windows(tricky).collect()), expected)
+
+
+def test_bytes(tricky):
+    data = [t.encode() for _, t, _ in TEXTS]
+    seen = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
+    expected = []
+    for (doc, _, _), d in zip(TEXTS, data, strict=True):
+        gone = np.zeros(len(d) + 1, bool)
+        for i in range(len(d) - 399):
+            if seen[d[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        spans = int((np.diff(np.concatenate([[False], gone]).astype(int)) == 1).sum())
+        kept = bytes(b for b, g in zip(d, gone[:-1], strict=True) if not g)
+        expected.append((doc, len(d), int(gone.sum()), spans, sha(kept)))
+    same(map(tuple, suffixes.remove_repeated_bytes(tricky).collect()), expected)
+
+
+def test_pack(tricky):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_paths()["tokenizer"])
+    rows = packing.pack(tricky, **tokenizer_paths(), group=8).collect()
+    again = packing.pack(tricky.repartition(5), **tokenizer_paths(), group=8).collect()
+    same(map(tuple, rows), map(tuple, again))
+    whole = Counter()
+    for doc, text, _ in TEXTS:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        whole.update((doc, at, min(1024, len(ids) - at), zlib.crc32(ids[at : at + 1024].tobytes()), len(ids)) for at in range(0, len(ids), 1024))
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == whole
+    sequences: dict[int, list] = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=80))
+def test_tournament_tree_is_first_fit(sizes):
+    tree, plain = packing.Sequences(64), []
+    for size in sorted(sizes, reverse=True):
+        at = next((k for k, free in enumerate(plain) if free >= size), len(plain))
+        if at == len(plain):
+            plain.append(64)
+        assert tree.put(size) == (at, 64 - plain[at])
+        plain[at] -= size
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60))
+def test_token_ids_are_the_tokenizers(text):
+    paths = tokenizer_paths()
+    assert packing.token_ids(text, **paths) == packing.token_ids(text, paths["tokenizer"], None)
+
+
+def test_mix(tricky):
+    rows = mixing.mix(tricky).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _, _ in TEXTS)
+    total = sum(len(WORD.findall(t)) for _, t, _ in TEXTS)
+    by_source: dict = {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size
+        by_source.setdefault(r.source, []).append(r)
+    assert abs(sum(r.taken for r in rows) - 1.5 * total) <= len(by_source)
+    for parts in by_source.values():
+        assert parts[0].source_size == sum(r.size for r in parts)
+        assert abs(parts[0].target - sum(r.taken for r in parts)) <= 1
+        assert parts[0].target <= 2 * parts[0].source_size + 1e-6
+    same(map(tuple, rows), map(tuple, mixing.mix(tricky.repartition(7)).collect()))
+
+
+def test_water_level(spark):
+    """Targets against plain sharing: by weight, with what lies above a cap shared out again."""
+    rng = random.Random(5)
+    for _ in range(3):
+        sizes = {f"s{k:02d}": rng.choice([0, 1, 50, 1000, 40000]) + rng.randrange(100) for k in range(11)}
+        rows = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
+        left, goal, open_ = 1.5 * sum(sizes.values()), {}, set(sizes)
+        while open_:
+            share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+            over = {s for s in open_ if share[s] > 2 * sizes[s]}
+            goal |= {s: 2.0 * sizes[s] for s in over} if over else share
+            left -= sum(2.0 * sizes[s] for s in over)
+            open_ = open_ - over if over else set()
+        assert {r.source: pytest.approx(r.target) for r in rows} == goal
+
+
+def test_schedule_inverse(spark):
+    rows = spark.range(101).selectExpr("id / 100.0D as u").selectExpr("u", "explode(array(-0.5D, 0.0D, 0.5D)) as tilt")
+    for r in rows.withColumn("t", mixing.when_served(rows.u, rows.tilt)).collect():
+        assert 0 <= r.t <= 1
+        assert (1 - r.tilt) * r.t + r.tilt * r.t**2 == pytest.approx(r.u, abs=1e-12)
+
+
+def test_sample(tricky):
+    rows = mixing.sample(tricky).collect()
+    assert rows[0].asDict().keys() == set(tricky.columns)
+    taken = Counter()
+    texts = {(i, t) for i, t, _ in TEXTS}
+    for r in rows:
+        assert any(i == r.doc_id and t.startswith(r.text) for i, t in texts)
+        assert r.n_chars == len(r.text)
+        taken[r.source] += len(WORD.findall(r.text))
+    expected = Counter()
+    for r in mixing.mix(tricky).collect():
+        expected[r.source] += r.taken
+    assert +taken == +expected
+
+
+def test_pii_kinds():
+    found = pii.find("mail x.y@host.example.org, see https://a.example/b. IP 10.0.0.255 not 10.0.0.256; card 4111-1111-1111-1111; +44 20 7946 0958; IBAN GB82 WEST 1234 5698 7654 32; account no: 12345678")
+    kinds = Counter(k for k, _, _ in found)
+    assert kinds == Counter(email=1, url=1, ip=1, card=1, phone=1, iban=1, account=1)
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text: str) -> list[tuple[str, int, int]]:
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            double = sum(int(c) if n % 2 == 0 else sum(map(int, str(2 * int(c)))) for n, c in enumerate(reversed(digits)))
+            good = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(digits) <= 19 and double % 10 == 0, "phone": 10 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((m.start(), k, kind, m.end()))
+    return [(kind, start, end) for start, _, kind, end in sorted(out)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="0123456789.@+- ()a%é٣\n:/", max_size=60))
+def test_pii_base_is_the_patterns(text):
+    assert [s for s in pii.find(text) if s[0] in pii.BASE_KINDS] == plain_spans(text)
+
+
+def test_pii_rows_and_mask(tricky):
+    rows = pii.find_pii(tricky).collect()
+    assert len(rows) == len(TEXTS)
+    assert {s.kind for r in rows if r.doc_id == 17 for s in r.spans} >= {"email", "phone", "card", "ip"}
+    masked = {r.doc_id: r for r in pii.mask_pii(tricky).collect()}
+    assert masked[17].text == "write to <EMAIL> or <PHONE>, <CARD>, <IP> and 999.1.1.1"
+    assert masked[17].n_chars == len(masked[17].text) and masked[3].text is None
+    assert set(masked[17].asDict()) == set(tricky.columns)
+
+
+def test_simhash(tricky):
+    rows = simhash.fingerprint_edits(tricky).collect()
+    assert len(rows) == len(TEXTS)
+    order = sorted(TEXTS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    expected = []
+    for k, (doc, text, _) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        half = len(text) // 2
+        expected.append((doc, len(text), sha((text[: len(text) - half] + following[:half]).encode())))
+    same([(r.doc_id, r.n_chars, r.edited_sha256) for r in rows], expected)
+    prints = {r.doc_id: r.fingerprint for r in rows}
+    assert prints[13] == prints[14] and prints[3] == prints[4] == "0" * 32
+    for r in rows:
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+
+
+def test_near_fingerprints(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(128) for _ in range(30)]
+    prints = set(base)
+    for p in base:
+        for flips in (1, 3, 7, 8):
+            q = p
+            for bit in rng.sample(range(128), flips):
+                q ^= 1 << bit
+            prints.add(q)
+    df = spark.createDataFrame([(f"{p:032x}",) for p in [*prints, base[0]]], "p string")
+    found = {(r.a, r.b, r.bits) for r in simhash.near_fingerprints(df, "p", 7).collect()}
+    listed = sorted(f"{p:032x}" for p in prints)
+    expected = {(a, b, n) for k, a in enumerate(listed) for b in listed[k + 1 :] if (n := (int(a, 16) ^ int(b, 16)).bit_count()) <= 7}
+    assert found == expected and expected
+
+
+def test_toxicity(spark):
+    rng = random.Random(1)
+    bad, docs, labels = ["scumbag", "m0r0n", "blargon"], [], []
+    for k in range(600):
+        words = prose(k, 60).split()
+        toxic = int(k % 5 == 0)
+        for _ in range(4 * toxic):
+            w = rng.choice(bad)
+            words.insert(rng.randrange(len(words)), w + rng.choice(["ed", "ing", "isch"]) if w == "blargon" else w)
+        docs.append((k, " ".join(words)))
+        labels.append((k, toxic))
+    docs += [(None, None), (1000, "")]
+    labels += [(None, 1), (1001, None)]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.fit(d, y)
+    assert " moron " in lexicon.entries and " blargon" in lexicon.entries
+    rows = toxicity.score(d, lexicon).collect()
+    assert len(rows) == len(docs)
+    toxic = {k for k, t in labels if t}
+    for r in rows:
+        assert 0 <= r.tox_score <= 1
+        assert (r.tox_score >= 0.5) == (r.doc_id in toxic and r.doc_id is not None)
+    kept = toxicity.reject_toxic(d, lexicon)
+    assert kept.columns == d.columns and kept.count() == len(docs) - sum(t or 0 for i, t in labels if i is not None and t)
+    assert toxicity.fit(d, y.where("toxic = 0")).entries == {}
+
+
+def test_fold_and_exceptions():
+    assert toxicity.fold("  Іdi0t!! Ｍórón\n") == " idiot moron "
+    lexicon = toxicity.Lexicon({" scum": 5.0, " bad ": 2.0}, [" scumble "])
+    machine = lexicon.matcher()
+    assert lexicon.weigh(machine, "Scumble scummy bad badly")[0] == 7.0
+    assert lexicon.weigh(toxicity.Lexicon().matcher(), "anything") == (0, 1)
+
+
+@pytest.mark.parametrize("run", [windows.remove_repeated_windows, suffixes.remove_repeated_bytes, mixing.mix, mixing.sample, pii.find_pii, pii.mask_pii, simhash.fingerprint_edits, lambda d: packing.pack(d, **tokenizer_paths()), lambda d: toxicity.score(d, toxicity.Lexicon())])
+def test_empty_table(nothing, run):
+    assert run(nothing).collect() == []

@@ -23,9 +23,11 @@ WIDTH = 7
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
 
-def block_count(docs: DataFrame, text_col: str = "text", size: int = BLOCK_BYTES) -> int:
+def counts(docs: DataFrame, text_col: str = "text", size: int = BLOCK_BYTES) -> tuple[int, int]:
+    """Numbers of blocks and of buckets. Their product bounds the rows of an exchange, so there are half as many buckets as blocks."""
     total = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)))).collect()[0][0] or 0
-    return max(2 * shuffle_width(docs.sparkSession), -(-total // size))
+    width, n = shuffle_width(docs.sparkSession), -(-total // size)
+    return max(width, n), max(width, n // 2)
 
 
 def dealt(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

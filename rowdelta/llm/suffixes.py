@@ -211,8 +211,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     overlaps count, and the input counts, not what is left. Null texts are empty; null ids and rows that repeat are documents like
     others; texts under 400 bytes stay whole; an empty table gives no rows.
     """
-    n = blocks.block_count(docs, text_col)
-    packed = blocks.dealt(docs, n, id_col, text_col)
+    n_blocks, n = blocks.counts(docs, text_col)
+    packed = blocks.dealt(docs, n_blocks, id_col, text_col)
     anchors = packed.groupBy("block").applyInArrow(_send_anchors(n), blocks.SENT)
     first = cut(blocks.answered(anchors, _rank_anchors, 17))
     strings = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_strings(n), blocks.SENT)

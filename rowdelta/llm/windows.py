@@ -75,8 +75,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
     the input, not what is left. Null and empty texts have no words; null ids and rows that repeat are documents like others (so a row
     repeated loses all windows); texts shorter than a window keep all words; an empty table gives no rows.
     """
-    n = blocks.block_count(docs, text_col)
-    packed = blocks.dealt(docs, n, id_col, text_col)
+    n_blocks, n = blocks.counts(docs, text_col)
+    packed = blocks.dealt(docs, n_blocks, id_col, text_col)
     sent = packed.groupBy("block").applyInArrow(_send(n, window), blocks.SENT)
     replies = blocks.answered(sent, blocks.repeated, blocks.WIDTH)
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

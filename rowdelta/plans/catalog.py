@@ -288,10 +288,10 @@ SELECT CAST(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS BIGINT) AS matched
 def _function_queries() -> None:
     o = DiffOptions()
     part = lambda s, d: s.read.parquet(f"{d}/part.parquet")
-    cells = [F.col(c).cast("string") for c in ("p_name", "p_brand", "p_type", "p_size")]
-    _register("fingerprint_rows", lambda s, d: part(s, d).select("p_partkey", fingerprint(cells, o).alias("fp")),
+    cells = lambda: [F.col(c).cast("string") for c in _P]
+    _register("fingerprint_rows", lambda s, d: part(s, d).select("p_partkey", fingerprint(cells(), o).alias("fp")),
               f"SELECT p_partkey, {' || chr(124) || chr(124) || '.join(f'({_norm(f'CAST({c} AS VARCHAR)', o)})' for c in _P)} AS fp FROM part")
-    _register("fingerprint_groups", lambda s, d: part(s, d).groupBy(fingerprint(cells, o).alias("fp")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("p_partkey"))[0].alias("first_key")),
+    _register("fingerprint_groups", lambda s, d: part(s, d).groupBy(fingerprint(cells(), o).alias("fp")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("p_partkey"))[0].alias("first_key")),
               f"SELECT {' || chr(124) || chr(124) || '.join(f'({_norm(f'CAST({c} AS VARCHAR)', o)})' for c in _P)} AS fp, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1")
     _register("row_key", lambda s, d: part(s, d).select("p_partkey", row_key([F.col("p_brand"), F.col("p_type"), F.col("p_partkey").cast("string")]).alias("key")), "SELECT p_partkey, p_brand || '|' || p_type || '|' || p_partkey AS key FROM part")
     _register("normalized_values", lambda s, d: s.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey", f"{CUSTOMER.target['c_name']} as c_name", f"{CUSTOMER.target['c_mktsegment']} as seg").select("c_custkey", normalized(F.col("c_name"), o).alias("c_name"), normalized(F.col("seg"), o).alias("seg")),

@@ -30,7 +30,7 @@ def jaro_winkler_pairs(left: list[str], right: list[str]) -> np.ndarray:
     reach = np.maximum(np.maximum(na, nb) // 2 - 1, 0)
     used, hit = np.zeros((n, wb), bool), np.zeros((n, wa), bool)
     at = np.arange(wb)
-    for i in range(wa):
+    for i in range(wa if wb else 0):
         free = (b == a[:, i : i + 1]) & ~used & (np.abs(at - i)[None, :] <= reach[:, None]) & (at[None, :] < nb[:, None])
         free &= (i < na)[:, None]
         found = free.any(axis=1)

@@ -21,6 +21,7 @@ from rowdelta.functions.normalize import normalized, unicode_trim
 from rowdelta.functions.similarity import edit_distance, jaro_winkler, jaro_winkler_distinct, normalized_levenshtein
 from rowdelta.operators.compare import S, T, side, unified
 from rowdelta.options import DiffOptions
+from rowdelta.plans.scratch import settled
 from rowdelta.sources.dataset import INDEX, Dataset
 
 #: Rows of a side in a chunk of a block.
@@ -200,7 +201,7 @@ def greedy_matches(source: Dataset, target: Dataset, options: DiffOptions, all_p
     fuzzy = score_pairs(pairs, source, target, options).where(F.col("score") > options.threshold)
     wishes = exact.unionByName(fuzzy.join(exact.select("source_idx", "target_idx"), ["source_idx", "target_idx"], "left_anti"))
     choice = Window.partitionBy("source_idx").orderBy(F.col("score").isNotNull(), F.col("score").desc(), F.when(F.col("score").isNull(), -F.col("target_idx")).otherwise(F.col("target_idx")))
-    wishes = wishes.withColumn("wish", F.row_number().over(choice)).persist()
+    wishes = settled(wishes.withColumn("wish", F.row_number().over(choice)))
     turned_down = wishes.select("source_idx", F.lit(0).alias("down")).distinct()
     while True:
         # The next wish of each row is the one after those that were turned down.
@@ -210,7 +211,8 @@ def greedy_matches(source: Dataset, target: Dataset, options: DiffOptions, all_p
         if losers.isEmpty():
             return now.select("source_idx", "target_idx", "score")
         bumped = losers.withColumn("one", F.lit(1))
-        turned_down = turned_down.join(bumped, "source_idx", "left").select("source_idx", (F.col("down") + F.coalesce("one", F.lit(0))).alias("down")).persist()
+        turned_down = turned_down.join(bumped, "source_idx", "left").select("source_idx", (F.col("down") + F.coalesce("one", F.lit(0))).alias("down"))
+        turned_down = settled(turned_down)
 
 
 def content_diff(source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:

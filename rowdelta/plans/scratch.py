@@ -5,10 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, which all executors share; a temporary folder only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowdelta-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder, so that loops don't grow their plan and lost executors don't matter."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)

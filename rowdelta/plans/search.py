@@ -23,8 +23,8 @@ class SearchToken:
         return forms.get(self.type, self.value)
 
 
-_LEXEME = re.compile(r'\s+|(?P<or>or)|(?P<minus>-?)(?:"(?P<phrase>[^"]*)"?|(?P<word>[^\s"]+))|-', re.IGNORECASE)
-_STRICT = re.compile(r'\s+|(?P<or>or)(?=\s|$)|(?P<minus>-?)(?:"(?P<phrase>[^"]*)"?|(?P<word>[^\s"]+))|-', re.IGNORECASE)
+_LEXEME = re.compile(r'\s+|(?P<or>or)|(?P<minus>-?+)(?:"(?P<phrase>[^"]*)"?|(?P<word>[^\s"]+))|-', re.IGNORECASE)
+_STRICT = re.compile(r'\s+|(?P<or>or)(?=\s|$)|(?P<minus>-?+)(?:"(?P<phrase>[^"]*)"?|(?P<word>[^\s"]+))|-', re.IGNORECASE)
 
 
 def parse_search(query: str, strict_or: bool = False) -> list[SearchToken]:

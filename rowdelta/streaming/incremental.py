@@ -14,6 +14,7 @@ from rowdelta.operators.compare import S, T, side, unified
 from rowdelta.operators.content import align_headers, greedy_matches
 from rowdelta.operators.keyed import check_keys, check_unique, key_of, keyed_pairs
 from rowdelta.options import KEY, DiffOptions, StreamingConfig
+from rowdelta.plans.scratch import settled
 from rowdelta.sources.dataset import INDEX, Dataset, numbered
 
 
@@ -59,7 +60,6 @@ class Differ:
         self.source = Dataset(self.source.df.persist(), self.source.headers)
         self.target = Dataset(self.target.df.persist(), self.target.headers)
         self._free: Dataset = self.target
-        self._counted = {"removed": 0}
         self.total = (self.target if self.options.mode == KEY else self.source).df.count()
 
     def chunk(self, start: int, size: int) -> DataFrame:
@@ -91,7 +91,7 @@ class Differ:
     def _content_chunk(self, start: int, size: int) -> DataFrame:
         part = self.source.select_rows(start, start + size)
         rule = self.options.but(similarity="row")
-        matched = greedy_matches(part, self._free, rule, all_pairs=True).persist()
+        matched = settled(greedy_matches(part, self._free, rule, all_pairs=True))
         left = side(part, S).join(matched, F.col(S + INDEX) == F.col("source_idx"), "left")
         pairs = left.join(side(self._free, T), F.col("target_idx") == F.col(T + INDEX), "left")
         status = F.when(F.col("target_idx").isNull(), "removed").when(F.col("score").isNull(), "unchanged").otherwise("modified")
@@ -100,7 +100,8 @@ class Differ:
         rows = unified(hit, part, self._free, self.options, key, status, F.col("score"))
         lost = numbered(pairs.where("target_idx is null"), "_n", [F.col(S + INDEX)])
         rows = rows.unionByName(unified(lost, part, self._free, self.options, F.concat(F.lit("Removed "), (F.col("_n") + 1).cast("string")), F.lit("removed")))
-        rest = self._free.df.join(matched.select(F.col("target_idx").alias("_m")), F.col(INDEX) == F.col("_m"), "left_anti").persist()
+        rest = self._free.df.join(matched.select(F.col("target_idx").alias("_m")), F.col(INDEX) == F.col("_m"), "left_anti")
+        rest = settled(rest)
         self._free = Dataset(rest, self.target.headers)
         if start + size < self.total:
             return rows

@@ -8,19 +8,17 @@ from pyspark.sql import functions as F
 from .common import shuffle_width
 
 
-def bounds_of(df: DataFrame, key: str, most: int = 512) -> list[int]:
+def bounds_of(df: DataFrame, key: str, most: int = 20_000) -> list[int]:
     """Up to ``most`` keys that part the table into about equal ranges; each is a key that occurs. Reads the key column only."""
     n = min(most, 2 * shuffle_width(df.sparkSession))
     found = df.select(F.col(key).cast("double").alias(key)).approxQuantile(key, [k / n for k in range(n + 1)], 1 / (4 * n))
     return sorted({int(x) for x in found})
 
 
-def _range_of(key: Column, bounds: list[int], low: int = 0) -> Column:
-    """How many of ``bounds`` are at most ``key``, by binary search."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(key < bounds[mid], _range_of(key, bounds[:mid], low)).otherwise(_range_of(key, bounds[mid + 1 :], low + mid + 1))
+def _range_of(key: Column, bounds: Column, n: int) -> Column:
+    """How many of the ``n`` sorted ``bounds`` are at most ``key``: a binary search by falling powers of two over one array."""
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
 
 
 def with_next(df: DataFrame, key: str, ties: list[str], value: str, out: str, bounds: list[int]) -> DataFrame:
@@ -36,8 +34,10 @@ def with_next(df: DataFrame, key: str, ties: list[str], value: str, out: str, bo
         w = Window.partitionBy("_range").orderBy(k.desc_nulls_last(), *ties)
         first = F.first(F.struct(F.col(value).alias("v"))).over(w)["v"]
         return ranged.withColumn(out, F.when(F.lead(F.lit(1)).over(w).isNull(), first).otherwise(F.lead(value).over(w))).drop("_range", "_role")
-    own = F.when(k.isNull(), 0).otherwise(_range_of(k, bounds))
-    at_bound = F.coalesce(k.isin(bounds), F.lit(False)) & (k > bounds[0])
+    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one literal array
+    df = df.withColumn("_own", F.when(k.isNull(), 0).otherwise(_range_of(k, listed, len(bounds))))
+    own = F.col("_own")
+    at_bound = F.coalesce((F.get(listed, own - 1) == k) & (own > 1), F.lit(False))
     # Roles: 0 top copy that gives the row's result, 1 the row itself, 2 a row that only serves the one before, 3 the wrap-around copy.
     base = F.struct(F.when(own <= 1, 1).otherwise(own).alias("r"), F.when(at_bound, 2).otherwise(1).alias("o"))
     down = F.struct((own - 1).alias("r"), F.lit(0).alias("o"))
@@ -47,6 +47,6 @@ def with_next(df: DataFrame, key: str, ties: list[str], value: str, out: str, bo
         F.when(at_bound, F.array(down)).otherwise(F.array().cast("array<struct<r:int,o:int>>")),
         F.when(F.coalesce(k == bounds[-1], F.lit(False)), F.array(wrap)).otherwise(F.array().cast("array<struct<r:int,o:int>>")),
     )
-    ranged = df.withColumn("_place", F.explode(places)).withColumns({"_range": F.col("_place.r"), "_role": F.col("_place.o")}).drop("_place")
+    ranged = df.withColumn("_place", F.explode(places)).withColumns({"_range": F.col("_place.r"), "_role": F.col("_place.o")}).drop("_place", "_own")
     w = Window.partitionBy("_range").orderBy((F.col("_role") == 3).asc(), k.desc_nulls_last(), *ties)
     return ranged.withColumn(out, F.lead(value).over(w)).where(F.col("_role") < 2).drop("_range", "_role")

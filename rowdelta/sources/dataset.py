@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -48,6 +48,12 @@ class Dataset:
     def select_rows(self, start: int, end: int) -> Dataset:
         return Dataset(self.df.where(F.col(INDEX).between(start, end - 1)), self.headers, self.warnings)
 
+    def chunks(self, size: int) -> Iterator[Dataset]:
+        """The rows in slices of ``size`` row numbers, each a lazy filter."""
+        top = self.df.agg(F.max(INDEX)).first()[0]
+        for start in range(0, 0 if top is None else top + 1, size):
+            yield self.select_rows(start, start + size)
+
     def named(self) -> DataFrame:
         """The rows under their logical names, with the index."""
         return self.df.select(INDEX, *[self.cell(n).alias(n) for n in self.names])

@@ -6,10 +6,11 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rowdelta.functions.normalize import unicode_trim
 from rowdelta.operators.compare import S, T, side, unified
 from rowdelta.operators.content import align_headers, greedy_matches
 from rowdelta.operators.keyed import check_keys, check_unique, key_of, keyed_pairs
@@ -111,6 +112,14 @@ class Differ:
         return rows.unionByName(unified(added, self.source, self._free, self.options, F.concat(F.lit("Added "), (F.col("_n") + 1).cast("string")), F.lit("added")))
 
 
+def stream_csv(spark: SparkSession, path: str, headers: tuple[str, ...], has_headers: bool = True, files_per_batch: int = 1) -> DataFrame:
+    """A folder that CSV files arrive in, as a stream of text columns."""
+    schema = ", ".join(f"`{h}` string" for h in headers)
+    reader = spark.readStream.schema(schema).option("header", has_headers).option("escape", '"').option("maxFilesPerTrigger", files_per_batch)
+    rows = reader.option("emptyValue", "").csv(path)
+    return rows.select(*[unicode_trim(F.coalesce(F.col(f"`{h}`"), F.lit(""))).alias(h) for h in headers])
+
+
 class StreamingKeyDiff:
     """A static source against a target that arrives as a stream.
 
@@ -124,6 +133,8 @@ class StreamingKeyDiff:
         check_unique(source, options, "source")
 
     def _batch(self, batch: DataFrame, epoch: int) -> None:
+        if INDEX not in batch.columns:
+            batch = batch.withColumn(INDEX, F.monotonically_increasing_id())
         target = Dataset(batch.select(F.col(INDEX), *[F.coalesce(F.col(f"`{h}`").cast("string"), F.lit("")).alias(f"c{i}") for i, h in enumerate(self.headers)]).persist(), self.headers)
         check_keys(self.source, target, self.options)
         rows = unified(keyed_pairs(self.source, target, self.options, "right"), self.source, target, self.options, F.col("_key"), F.col("_status"))
@@ -132,7 +143,7 @@ class StreamingKeyDiff:
         target.df.unpersist()
 
     def start(self, stream: DataFrame, **trigger: object) -> StreamingQuery:
-        """``stream`` has ``_row_idx`` and the target's named columns."""
+        """``stream`` has the target's named columns and maybe ``_row_idx``; without it rows are numbered within their batch."""
         writer = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.path}/checkpoint")
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 

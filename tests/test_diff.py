@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowdelta import DiffOptions, diff, from_table, read_csv_text
 from rowdelta.operators import content
 from rowdelta.sources.dataset import numbered
-from rowdelta.streaming.incremental import Differ, PartialResult, StreamingKeyDiff
+from rowdelta.streaming.incremental import Differ, PartialResult, StreamingKeyDiff, stream_csv
 from test_functions import plain_jaro_winkler  # tests/
 
 STRICT = DiffOptions(case_sensitive=True, ignore_whitespace=False, ignore_empty_vs_null=False)
@@ -198,6 +198,19 @@ def test_stream(spark, tmp_path):
     assert key(live.finish().collect()) == key(diff(source, target, o).rows.collect())
 
 
+def test_stream_of_csv_files(spark, tmp_path):
+    a, b, source, target = keyed_sides(spark, 4)
+    o = STRICT.but(mode="primary-key", key_columns=("id",))
+    (tmp_path / "in").mkdir()
+    for part in range(2):
+        (tmp_path / "in" / f"{part}.csv").write_text(csv(b[part::2], ("id", "b", "c")))
+    live = StreamingKeyDiff(source, ("id", "b", "c"), o, f"{tmp_path}/out")
+    live.start(stream_csv(spark, f"{tmp_path}/in", ("id", "b", "c"))).awaitTermination(120)
+    key = lambda rows: sorted((r.status, r.key) for r in rows)
+    assert key(live.finish().collect()) == key(diff(source, target, o).rows.collect())
+    assert [c.df.count() for c in source.chunks(15)] == [15, 15, 10]
+
+
 def test_row_numbers(spark):
     df = spark.range(1000).repartition(7).select(F.col("id").alias("x"))
     rows = numbered(df, "n", [F.col("x").desc()]).collect()

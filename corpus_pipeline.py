@@ -6,7 +6,6 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rowdelta.llm import jaccard, mixing, packing, pii, toxicity
 from rowdelta.llm.common import table

@@ -96,7 +96,7 @@ def packed_prints(prints: np.ndarray) -> np.ndarray:
     return prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
 
 
-def repeated(records: np.ndarray, block: np.ndarray) -> np.ndarray:
+def repeated(records: np.ndarray, _block: np.ndarray) -> np.ndarray:
     """1 for each hash that another block has sent too; a block sends each hash once."""
     value = np.zeros((len(records), 8), np.uint8)
     value[:, :WIDTH] = records

@@ -52,7 +52,7 @@ def token_ids(text: str, tokenizer: str, ranks: str | None) -> list[int]:
     return _tokenizer(tokenizer).encode(text, add_special_tokens=False).ids
 
 
-def _cutter(tokenizer: str, ranks: str | None, capacity: int, kind: pa.DataType | None = None):
+def _cutter(tokenizer: str, ranks: str | None, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []

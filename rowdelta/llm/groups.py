@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shuffle_width
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +41,15 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def dealt_again(sums: DataFrame) -> DataFrame:
+    """Aggregated rows, dealt out anew before they are joined with the rows they sum up.
+
+    Otherwise the join would stand on the aggregation's own partitions; with a shuffle of its own on either side adaptive execution can split
+    the rows of a key that has very many, such as a hub's edges or a large group's members. The aggregated side is small.
+    """
+    return sums.repartition(shuffle_width(sums.sparkSession))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``edges`` (two long columns) but the roots; a component's root is its smallest node.
 
@@ -54,9 +63,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = both.join(dealt_again(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        down = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = e.join(dealt_again(least), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).collect()[0]
         if now == mark or now[0] == 0:

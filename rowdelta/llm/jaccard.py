@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, cut, mix64, pieces, shingle_hashes, text_or_empty
-from .groups import components, group_links
+from .groups import components, dealt_again, group_links
 
 NGRAM, THRESHOLD, RECALL, CHUNK = 5, 0.8, 0.999, 384
 
@@ -103,7 +103,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coarse = components(met.join(places, "h").where("id != first").select("id", "first"), "id", "first")
     coarse = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
     sizes = coarse.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    wanted = coarse.join(sizes, "root").join(texts.select("text_key", "copies", "first_id"), F.col("node") == F.col("text_key"))
+    wanted = coarse.join(dealt_again(sizes), "root").join(texts.select("text_key", "copies", "first_id"), F.col("node") == F.col("text_key"))
     wanted = cut(wanted.select("text_key", F.col("first_id").alias("_first"), F.col("root").alias("grp"), "size", F.col("copies").alias("weight")))
     # One document stands for each text: the one with the smallest id.
     chosen = keyed.join(wanted, ["text_key"]).where(F.col("doc_id").eqNullSafe(F.col("_first")))
@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_text = of_text.select("text_key", "first_id", F.coalesce("root", "text_key").alias("root"), "bands", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     least = of_text.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min_by("text_key", F.struct(F.col("first_id").isNull(), "first_id", "text_key")).alias("kept_key"))
     empty = F.col("bands").isNull()
-    result = cut(of_text.join(least, "root").select("text_key", "class_id", "kept_key", "first_id", empty.alias("empty"), F.when(empty, F.lit(0)).otherwise(F.col("copies") - 1 + F.col("links")).alias("n_links")))
+    result = cut(of_text.join(dealt_again(least), "root").select("text_key", "class_id", "kept_key", "first_id", empty.alias("empty"), F.when(empty, F.lit(0)).otherwise(F.col("copies") - 1 + F.col("links")).alias("n_links")))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"))
     out = slim.join(result, "text_key")
     kept = F.col("empty") | ((F.col("kept_key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))

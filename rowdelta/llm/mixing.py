@@ -45,7 +45,7 @@ def when_served(share: Column, tilt: Column) -> Column:
     share served by then; this is its inverse.
     """
     a = 1 - tilt
-    return F.when(F.abs(tilt) < 1e-9, share).otherwise((-a + F.sqrt(a * a + 4 * tilt * share)) / (2 * tilt))
+    return F.when(F.abs(tilt) < 1e-9, share).otherwise(F.abs((-a + F.sqrt(a * a + 4 * tilt * share)) / (2 * tilt)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), total: float = 1.5, cap: float = 2.0) -> DataFrame:

@@ -60,8 +60,8 @@ placed AS (
 parts AS (
   SELECT *, greatest(0, least(size, goal - before)) AS p0, greatest(0, least(size, goal - before - source_size)) AS p1 FROM placed)
 SELECT doc_id, size, source_size, target, CAST(p0 + p1 AS BIGINT) AS taken,
-  CASE WHEN p0 > 0 THEN round(CASE WHEN tilt = 0 THEN CAST(before AS DOUBLE) / goal ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (CAST(before AS DOUBLE) / goal))) / (2 * tilt) END, 9) END AS first_at,
-  CASE WHEN p1 > 0 THEN round(CASE WHEN tilt = 0 THEN CAST(before + source_size AS DOUBLE) / goal ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (CAST(before + source_size AS DOUBLE) / goal))) / (2 * tilt) END, 9) END AS second_at
+  CASE WHEN p0 > 0 THEN round(abs(CASE WHEN tilt = 0 THEN CAST(before AS DOUBLE) / goal ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (CAST(before AS DOUBLE) / goal))) / (2 * tilt) END), 9) END AS first_at,
+  CASE WHEN p1 > 0 THEN round(abs(CASE WHEN tilt = 0 THEN CAST(before + source_size AS DOUBLE) / goal ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (CAST(before + source_size AS DOUBLE) / goal))) / (2 * tilt) END), 9) END AS second_at
 FROM parts
 """
 
@@ -116,7 +116,51 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT vec_id, coalesce((SELECT count(*) FROM link WHERE a = vec_id), 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1)
+"""
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+words AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM words ANTI JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1),
+d AS (SELECT *, row_number() OVER (ORDER BY first_id NULLS LAST, text) AS r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+g AS (
+  SELECT DISTINCT r, md5(array_to_string(ws[i:i + 4], ' ')) AS gram FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+met AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r GROUP BY 1, 2),
+link AS (SELECT a, b FROM met JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT p.a, l.b FROM reach p JOIN link l ON p.b = l.a),
+class AS (SELECT a AS r, min(first_id) AS class_id, min(b) AS kept FROM reach JOIN d ON d.r = b GROUP BY 1),
+more AS (SELECT a AS r, sum(copies) AS n FROM link JOIN d ON d.r = b GROUP BY 1)
+SELECT o.doc_id, CASE WHEN len(ws) = 0 THEN o.doc_id ELSE class_id END AS class_id,
+  CAST(CASE WHEN len(ws) = 0 THEN 0 ELSE copies - 1 + coalesce(more.n, 0) END AS BIGINT) AS n_links,
+  len(ws) = 0 OR (d.r = class.kept AND o.doc_id IS NOT DISTINCT FROM d.first_id) AS kept
+FROM documents o JOIN d ON d.text = coalesce(o.text, '') JOIN class USING (r) LEFT JOIN more USING (r)
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity, "op2_suffixes": op2_suffixes, "op3_embeddings": op3_embeddings, "op6_windows": op6_windows, "op7_jaccard": op7_jaccard, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_chat": op10_chat,
 }
-ORACLES = {"op5_mixing": OP5_SQL, "op10_chat": OP10_SQL}
+ORACLES = {"op3_embeddings": OP3_SQL, "op5_mixing": OP5_SQL, "op6_windows": OP6_SQL, "op7_jaccard": OP7_SQL, "op10_chat": OP10_SQL}

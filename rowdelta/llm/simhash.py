@@ -1,8 +1,8 @@
 """Document fingerprints by SimHash, in DataFrame functions only.
 
 Terms are pairs of neighbouring words. Each occurrence of a term votes, so a term's weight is its frequency: where its hash has a
-one bit it adds one, elsewhere it takes one away, and the signs of the sums are the fingerprint. A fingerprint has 128 bits (two
-64-bit hashes), written as 32 hex digits. Vote counters are packed two to a long (32 bits each), so 64 sums count 128 bits.
+one bit it adds one, elsewhere it takes one away, and the signs of the sums are the fingerprint. A fingerprint has 256 bits (four
+64-bit hashes), written as 64 hex digits. Vote counters are packed two to a long (32 bits each), so 128 sums count 256 bits.
 
 Empty and null texts have no terms and get the fingerprint of all zeros; equal texts have equal fingerprints; a tie of votes gives 0.
 """
@@ -17,20 +17,24 @@ from pyspark.sql import functions as F
 from .common import WORD, text_or_empty
 from .order import bounds_of, with_next
 
-BITS = 128
+BITS = 256
+_HASHES = tuple(f"h{k + 1}" for k in range(BITS // 64))
 _PAIR = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 
 
-def term_hashes(text: Column) -> Column:
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+
+
+def term_hashes(words: Column) -> Column:
     """One 64-bit hash for each pair of neighbouring words, and one for the last word alone."""
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     return F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(""))))
 
 
 def _votes() -> list[Column]:
-    """Sums of bits k and k + 32 of both hashes, in the halves of one long."""
-    return [F.sum(F.shiftrightunsigned(F.col(h), k).bitwiseAND(F.lit(_PAIR))).alias(f"_{h}{k}") for h in ("h1", "h2") for k in range(32)]
+    """Sums of bits k and k + 32 of each hash, in the halves of one long."""
+    return [F.sum(F.shiftrightunsigned(F.col(h), k).bitwiseAND(F.lit(_PAIR))).alias(f"_{h}{k}") for h in _HASHES for k in range(32)]
 
 
 def _word(name: str, n: Column) -> Column:
@@ -43,20 +47,23 @@ def _word(name: str, n: Column) -> Column:
     return F.lpad(F.lower(F.hex(reduce(lambda a, b: a.bitwiseOR(b), bits))), 16, "0")
 
 
-def fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def fingerprints(df: DataFrame, columns: dict[str, str], partitioned_by: tuple[str, ...] = ()) -> DataFrame:
     """Fingerprint several text columns of each row; ``columns`` maps a text column to the name of its fingerprint.
 
-    The texts are dropped from the result. Words are exploded inside the task that has the row and summed there before the
-    shuffle, so only one row of 64 sums for each text moves. Rows that repeat stay apart.
+    The texts are dropped from the result. Words are exploded and summed inside the task that has the row. Where ``df`` is partitioned
+    by some columns, grouping by them as well saves the shuffle of the sums; else one row of sums moves for each text. Rows that repeat
+    stay apart.
     """
     names = list(columns)
     others = [c for c in df.columns if c not in names]
+    by = [*partitioned_by, "_row", "_kept"]
     row = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_kept", F.struct(*others))
-    long = row.select("_row", "_kept", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), term_hashes(F.col(c)).alias("t")) for i, c in enumerate(names)])).alias("_text"))
-    terms = long.select("_row", "_kept", F.col("_text.i").alias("_i"), F.explode_outer("_text.t").alias("h1")).withColumn("h2", F.when(F.col("h1").isNotNull(), F.xxhash64("h1")))
-    votes = terms.groupBy("_row", "_kept", "_i").agg(F.count("h1").alias("_n"), *_votes())
-    printed = votes.select("_row", "_kept", "_i", F.concat(_word("h1", F.col("_n")), _word("h2", F.col("_n"))).alias("_print"))
-    wide = printed.groupBy("_row", "_kept").agg(*[F.max(F.when(F.col("_i") == i, F.col("_print"))).alias(columns[c]) for i, c in enumerate(names)])
+    long = row.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), words_of(F.col(c)).alias("w")) for i, c in enumerate(names)])).alias("_text"))
+    terms = long.select(*by, F.col("_text.i").alias("_i"), F.explode_outer(term_hashes(F.col("_text.w"))).alias("h1"))
+    more = {h: F.when(F.col("h1").isNotNull(), F.xxhash64(F.col("h1"), F.lit(k))) for k, h in enumerate(_HASHES[1:])}
+    votes = terms.withColumns(more).groupBy(*by, "_i").agg(F.count("h1").alias("_n"), *_votes())
+    printed = votes.select(*by, "_i", F.concat(*[_word(h, F.col("_n")) for h in _HASHES]).alias("_print"))
+    wide = printed.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_print"))).alias(columns[c]) for i, c in enumerate(names)])
     return wide.select("_kept.*", *[columns[c] for c in names])
 
 
@@ -74,12 +81,12 @@ def distance(a: Column, b: Column) -> Column:
 def near_fingerprints(prints: DataFrame, column: str, radius: int = 7) -> DataFrame:
     """All pairs of different fingerprints within ``radius`` bits, found with permuted block tables.
 
-    The fingerprint is cut into ``radius + 1`` blocks (a divisor of 32 digits at least). Two fingerprints within the radius agree in
+    The fingerprint is cut into ``radius + 1`` blocks or more, of whole digits. Two fingerprints within the radius agree in
     one block or more, so each block in turn leads a table keyed by its value, and rows that meet in a table are compared in full.
     Works on distinct fingerprints: copies of a text are one row. A pair counts in the first block that it shares, so nothing is
     made twice. Returns ``a < b`` and ``bits``.
     """
-    n = next(k for k in (1, 2, 4, 8, 16, 32) if k >= radius + 1)
+    n = next(k for k in (1, 2, 4, 8, 16, 32, 64) if k >= radius + 1)
     base = prints.select(F.col(column).alias("p")).where(F.col("p").isNotNull()).distinct()
     blocks = base.select("p", F.posexplode(F.array(*_parts(F.col("p"), n))).alias("block", "value"))
     a, b = blocks.select(F.col("p").alias("a"), "block", "value"), blocks.select(F.col("p").alias("b"), "block", "value")
@@ -97,12 +104,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
     bounds = bounds_of(base, "doc_id")
-    followed = with_next(base, "doc_id", ["_text"], "_text", "_next", bounds)
+    followed = with_next(base, "doc_id", ["_text"], "_text", "_next", bounds, keep_range=True)
     n = F.char_length("_text")
     half = F.floor(n / 2).cast("int")
-    edited = followed.select("doc_id", n.cast("long").alias("n_chars"), "_text", F.concat(F.expr("left(_text, char_length(_text) - cast(floor(char_length(_text) / 2) as int))"), F.substring("_next", F.lit(1), half)).alias("_edited"))
+    edited = followed.select("_range", "doc_id", n.cast("long").alias("n_chars"), "_text", F.concat(F.expr("left(_text, char_length(_text) - cast(floor(char_length(_text) / 2) as int))"), F.substring("_next", F.lit(1), half)).alias("_edited"))
     hashed = edited.withColumns({"edited_sha256": F.sha2(F.col("_edited").cast("binary"), 256), "_tie": F.sha2(F.col("_text").cast("binary"), 256)})
-    found = fingerprints(hashed, {"_text": "fingerprint", "_edited": "edited_fingerprint"})
+    found = fingerprints(hashed, {"_text": "fingerprint", "_edited": "edited_fingerprint"}, ("_range",)).drop("_range")
     # Order texts of one id as above: by the text itself there, by its digest here, which only matters for ids that repeat.
     out = with_next(found, "doc_id", ["_tie"], "fingerprint", "_next_print", bounds)
     alike = lambda x: 1 - distance(F.col("fingerprint"), F.col(x)) / BITS

@@ -5,7 +5,7 @@ import random
 import re
 
 import numpy as np
-from conftest import same, tricky_texts
+from corpus_helpers import same, tricky_texts
 
 from rowdelta.llm import embeddings, groups, jaccard
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import frame, prose, tricky_texts  # tests/llm/conftest.py
+from corpus_helpers import frame, prose, tricky_texts
 from test_pairs import grams
 
 import corpus_pipeline

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose, same, tricky_texts  # tests/llm/conftest.py
+from corpus_helpers import prose, same, tricky_texts
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -201,24 +201,24 @@ def test_simhash(tricky):
         expected.append((doc, len(text), sha((text[: len(text) - half] + following[:half]).encode())))
     same([(r.doc_id, r.n_chars, r.edited_sha256) for r in rows], expected)
     prints = {r.doc_id: r.fingerprint for r in rows}
-    assert prints[13] == prints[14] and prints[3] == prints[4] == "0" * 32
+    assert prints[13] == prints[14] and prints[3] == prints[4] == "0" * 64
     for r in rows:
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
 def test_near_fingerprints(spark):
     rng = random.Random(3)
-    base = [rng.getrandbits(128) for _ in range(30)]
+    base = [rng.getrandbits(256) for _ in range(30)]
     prints = set(base)
     for p in base:
         for flips in (1, 3, 7, 8):
             q = p
-            for bit in rng.sample(range(128), flips):
+            for bit in rng.sample(range(256), flips):
                 q ^= 1 << bit
             prints.add(q)
-    df = spark.createDataFrame([(f"{p:032x}",) for p in [*prints, base[0]]], "p string")
+    df = spark.createDataFrame([(f"{p:064x}",) for p in [*prints, base[0]]], "p string")
     found = {(r.a, r.b, r.bits) for r in simhash.near_fingerprints(df, "p", 7).collect()}
-    listed = sorted(f"{p:032x}" for p in prints)
+    listed = sorted(f"{p:064x}" for p in prints)
     expected = {(a, b, n) for k, a in enumerate(listed) for b in listed[k + 1 :] if (n := (int(a, 16) ^ int(b, 16)).bit_count()) <= 7}
     assert found == expected and expected
 

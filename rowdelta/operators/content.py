@@ -11,6 +11,8 @@ themselves are never rows of a table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -135,45 +137,74 @@ def _distinct(values: tuple[str, ...]) -> tuple[list[str], np.ndarray]:
     return list(index), np.array([index[v] for v in values])
 
 
-def _best_in_chunk(rule: str, threshold: float):
+_FOUND = "source_idx long, score double, target_idx long"
+
+
+def _found(ids: np.ndarray, scores: np.ndarray, partners: np.ndarray) -> pa.Table:
+    return pa.table({"source_idx": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64()), "target_idx": pa.array(partners, pa.int64())})
+
+
+def _in_chunks(rule: str, pick: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
+    """Score a chunk of source rows with one of target rows and return what ``pick`` chooses, as row and column numbers of the matrix."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, scores, partners = [], [], []
-        if left.num_rows and right.num_rows:
-            order = np.argsort(right.column("idx").to_numpy(), kind="stable")
-            t_idx = right.column("idx").to_numpy()[order]
-            score = _matrix(left.column("row").to_pylist(), [right.column("row").to_pylist()[i] for i in order], rule)
-            best = score.argmax(axis=1)  # of equal scores the lowest target
-            top = score[np.arange(len(best)), best]
-            ok = top > threshold
-            ids, scores, partners = left.column("idx").to_numpy()[ok], top[ok], t_idx[best[ok]]
-        return pa.table({"source_idx": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64()), "target_idx": pa.array(partners, pa.int64())})
+        if not left.num_rows or not right.num_rows:
+            return _found(*[np.zeros(0)] * 3)
+        order = np.argsort(right.column("idx").to_numpy(), kind="stable")
+        score = _matrix(left.column("row").to_pylist(), [right.column("row").to_pylist()[i] for i in order], rule)
+        at, to = pick(score)
+        return _found(left.column("idx").to_numpy()[at], score[at, to], right.column("idx").to_numpy()[order][to])
 
     return run
 
 
-def best_targets(source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:
-    """Each source row's best partner above the threshold: source_idx, score, target_idx.
+def _compared(source: Dataset, target: Dataset, options: DiffOptions, pick: Callable, all_pairs: bool = False) -> DataFrame:
+    """Score rows that share a cell (or all rows) block by block, in pairs of chunks: source_idx, score, target_idx of what ``pick`` chooses.
 
-    Blocks that only one side has vanish in the join of their sizes. Each side's chunk is sent once for each chunk of the other.
+    Blocks that only one side has vanish in the join of their sizes. Each side's chunk is sent once for each chunk of the other. The sizes
+    are dealt anew before that join, so that adaptive execution can split the rows of a common value.
     """
     columns = shared_columns(source, target, options)
     if not columns:
         return source.df.select(F.col(INDEX).alias("source_idx"), F.lit(0.0).alias("score"), F.col(INDEX).alias("target_idx")).where(F.lit(False))
     shown = lambda d: F.array(*[d.cell(n) if options.similarity == "row" else normalized(d.cell(n), options) for n in columns])
-    s_cells, t_cells = cells(source, columns, options, False), cells(target, columns, options, True)
-    count = lambda df, name: df.groupBy("col", "val").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
-    blocks = count(s_cells, "n_s").join(count(t_cells, "n_t"), ["col", "val"])
+    rows = lambda d: d.df.select(F.col(INDEX).alias("idx"), shown(d).alias("row"))
     part = lambda n: F.pmod(F.xxhash64("idx", F.lit(11)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    s = s_cells.join(blocks, ["col", "val"]).withColumns({"i": part("n_s"), "j": every("n_t")})
-    t = t_cells.join(blocks, ["col", "val"]).withColumns({"j": part("n_t"), "i": every("n_s")})
-    rows = lambda d: d.df.select(F.col(INDEX).alias("idx"), shown(d).alias("row"))
-    left = s.select("col", "val", "i", "j", "idx").join(rows(source), "idx").select("col", "val", "i", "j", "idx", "row")
-    right = t.select("col", "val", "i", "j", "idx").join(rows(target), "idx").select("col", "val", "i", "j", "idx", "row")
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    if all_pairs:
+        n_s, n_t = (max(1, -(-d.df.count() // CHUNK)) for d in (source, target))
+        whole = lambda d: rows(d).withColumns({"col": F.lit(-1), "val": F.lit(""), "n_s": F.lit(n_s), "n_t": F.lit(n_t)})
+        s, t = whole(source), whole(target)
+    else:
+        s_cells, t_cells = cells(source, columns, options, False), cells(target, columns, options, True)
+        count = lambda df, name: df.groupBy("col", "val").agg(chunks(F.count(F.lit(1))).alias(name))
+        sizes = count(s_cells, "n_s").join(count(t_cells, "n_t"), ["col", "val"])
+        sizes = sizes.repartition(int(source.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        s, t = s_cells.join(sizes, ["col", "val"]).join(rows(source), "idx"), t_cells.join(sizes, ["col", "val"]).join(rows(target), "idx")
     keys = ["col", "val", "i", "j"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_in_chunk(options.similarity, options.threshold), "source_idx long, score double, target_idx long")
-    best = F.max(F.struct("score", (-F.col("target_idx")).alias("low"))).alias("b")
-    return found.groupBy("source_idx").agg(best).select("source_idx", F.col("b.score").alias("score"), (-F.col("b.low")).alias("target_idx"))
+    left = s.withColumns({"i": part("n_s"), "j": every("n_t")}).select(*keys, "idx", "row")
+    right = t.withColumns({"j": part("n_t"), "i": every("n_s")}).select(*keys, "idx", "row")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_in_chunks(options.similarity, pick), _FOUND)
+
+
+def best_targets(source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:
+    """Each source row's best partner above the threshold (of equal scores the lowest target): source_idx, score, target_idx."""
+
+    def best(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = score.argmax(axis=1)
+        at = np.flatnonzero(score[np.arange(len(to)), to] > options.threshold)
+        return at, to[at]
+
+    low = F.max(F.struct("score", (-F.col("target_idx")).alias("low"))).alias("b")
+    found = _compared(source, target, options, best).groupBy("source_idx").agg(low)
+    return found.select("source_idx", F.col("b.score").alias("score"), (-F.col("b.low")).alias("target_idx"))
+
+
+def good_pairs(source: Dataset, target: Dataset, options: DiffOptions, all_pairs: bool = False) -> DataFrame:
+    """Pairs that share a cell (or any pairs) and score above the threshold; the others never become rows."""
+    found = _compared(source, target, options, lambda score: np.nonzero(score > options.threshold), all_pairs)
+    return found.groupBy("source_idx", "target_idx").agg(F.max("score").alias("score"))
 
 
 def accepted(proposals: DataFrame) -> DataFrame:
@@ -191,14 +222,13 @@ def greedy_matches(source: Dataset, target: Dataset, options: DiffOptions, all_p
     """Row by row in the source's order, each row takes the last exact copy that is free, or else its best free partner.
 
     That outcome is what deferred acceptance gives when every target prefers the lowest source row: in each round the unmatched source
-    rows propose to their best target that hasn't turned them down, and a target keeps the lowest proposer. Works on pairs as rows, so it is for
-    data whose blocks are small; ``all_pairs`` drops the demand for a shared cell. Returns source_idx, target_idx, score (null if exact).
+    rows propose to their best target that hasn't turned them down, and a target keeps the lowest proposer. Only pairs above the threshold are
+    rows; ``all_pairs`` drops the demand for a shared cell. Returns source_idx, target_idx, score (null if exact).
     """
     s_fp = source.df.select(F.col(INDEX).alias("source_idx"), fingerprint_of(source, source, options).alias("fp"))
     t_fp = target.df.select(F.col(INDEX).alias("target_idx"), fingerprint_of(target, source, options).alias("fp"))
     exact = s_fp.join(t_fp, "fp").select("source_idx", "target_idx", F.lit(None).cast("double").alias("score"))
-    pairs = s_fp.select("source_idx").crossJoin(t_fp.select("target_idx")) if all_pairs else candidate_pairs(source, target, options)
-    fuzzy = score_pairs(pairs, source, target, options).where(F.col("score") > options.threshold)
+    fuzzy = good_pairs(source, target, options, all_pairs)
     wishes = exact.unionByName(fuzzy.join(exact.select("source_idx", "target_idx"), ["source_idx", "target_idx"], "left_anti"))
     choice = Window.partitionBy("source_idx").orderBy(F.col("score").isNotNull(), F.col("score").desc(), F.when(F.col("score").isNull(), -F.col("target_idx")).otherwise(F.col("target_idx")))
     wishes = settled(wishes.withColumn("wish", F.row_number().over(choice)))

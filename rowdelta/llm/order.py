@@ -10,7 +10,7 @@ from .common import shuffle_width
 
 def bounds_of(df: DataFrame, key: str, most: int = 20_000) -> list[int]:
     """Up to ``most`` keys that part the table into about equal ranges; each is a key that occurs. Reads the key column only."""
-    n = min(most, 2 * shuffle_width(df.sparkSession))
+    n = min(most, 8 * shuffle_width(df.sparkSession))  # several ranges for each task even out its share
     found = df.select(F.col(key).cast("double").alias(key)).approxQuantile(key, [k / n for k in range(n + 1)], 1 / (4 * n))
     return sorted({int(x) for x in found})
 

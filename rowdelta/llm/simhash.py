@@ -2,7 +2,8 @@
 
 Terms are pairs of neighbouring words. Each occurrence of a term votes, so a term's weight is its frequency: where its hash has a
 one bit it adds one, elsewhere it takes one away, and the signs of the sums are the fingerprint. A fingerprint has 256 bits (four
-64-bit hashes), written as 64 hex digits. Vote counters are packed two to a long (32 bits each), so 128 sums count 256 bits.
+64-bit hashes), written as 64 hex digits. Vote counters are packed: runs of 127 terms are counted in lanes of 8 bits, eight to a long, so
+32 sums count 256 bits; the runs of a text are then summed in lanes of 32 bits.
 
 Empty and null texts have no terms and get the fingerprint of all zeros; equal texts have equal fingerprints; a tie of votes gives 0.
 """
@@ -19,7 +20,10 @@ from .order import bounds_of, with_next
 
 BITS = 256
 _HASHES = tuple(f"h{k + 1}" for k in range(BITS // 64))
-_PAIR = 0x0000000100000001
+#: Terms of a run: so many fit a lane of 8 bits, and the uppermost lane leaves the sign alone.
+_RUN = 127
+_LANES = 0x0101010101010101
+_PAIR = 0x000000FF000000FF
 _LOW = 0xFFFFFFFF
 
 
@@ -32,9 +36,14 @@ def term_hashes(words: Column) -> Column:
     return F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(""))))
 
 
+def _run_votes() -> list[Column]:
+    """Sums of bits k, k + 8 .. k + 56 of each hash over one run, in the bytes of one long."""
+    return [F.sum(F.shiftrightunsigned(F.col(h), k).bitwiseAND(F.lit(_LANES))).alias(f"_{h}_{k}") for h in _HASHES for k in range(8)]
+
+
 def _votes() -> list[Column]:
-    """Sums of bits k and k + 32 of each hash, in the halves of one long."""
-    return [F.sum(F.shiftrightunsigned(F.col(h), k).bitwiseAND(F.lit(_PAIR))).alias(f"_{h}{k}") for h in _HASHES for k in range(32)]
+    """Sums of bits k and k + 32 of each hash over all runs, in the halves of one long."""
+    return [F.sum(F.shiftrightunsigned(F.col(f"_{h}_{k % 8}"), k - k % 8).bitwiseAND(F.lit(_PAIR))).alias(f"_{h}{k}") for h in _HASHES for k in range(32)]
 
 
 def _word(name: str, n: Column) -> Column:
@@ -59,9 +68,12 @@ def fingerprints(df: DataFrame, columns: dict[str, str], partitioned_by: tuple[s
     by = [*partitioned_by, "_row", "_kept"]
     row = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_kept", F.struct(*others))
     long = row.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), words_of(F.col(c)).alias("w")) for i, c in enumerate(names)])).alias("_text"))
-    terms = long.select(*by, F.col("_text.i").alias("_i"), F.explode_outer(term_hashes(F.col("_text.w"))).alias("h1"))
+    # The hashes stand in a column before they are exploded, so that the explosion and the sums are one piece of generated code.
+    hashed = long.select(*by, F.col("_text.i").alias("_i"), term_hashes(F.col("_text.w")).alias("_terms"))
+    terms = hashed.select(*by, "_i", F.posexplode_outer("_terms").alias("_at", "h1"))
     more = {h: F.when(F.col("h1").isNotNull(), F.xxhash64(F.col("h1"), F.lit(k))) for k, h in enumerate(_HASHES[1:])}
-    votes = terms.withColumns(more).groupBy(*by, "_i").agg(F.count("h1").alias("_n"), *_votes())
+    runs = terms.withColumns(more).groupBy(*by, "_i", F.expr(f"_at div {_RUN}").alias("_run")).agg(F.count("h1").alias("_n"), *_run_votes())
+    votes = runs.groupBy(*by, "_i").agg(F.sum("_n").alias("_n"), *_votes())
     printed = votes.select(*by, "_i", F.concat(*[_word(h, F.col("_n")) for h in _HASHES]).alias("_print"))
     wide = printed.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_print"))).alias(columns[c]) for i, c in enumerate(names)])
     return wide.select("_kept.*", *[columns[c] for c in names])
@@ -108,9 +120,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = F.char_length("_text")
     half = F.floor(n / 2).cast("int")
     edited = followed.select("_range", "doc_id", n.cast("long").alias("n_chars"), "_text", F.concat(F.expr("left(_text, char_length(_text) - cast(floor(char_length(_text) / 2) as int))"), F.substring("_next", F.lit(1), half)).alias("_edited"))
-    hashed = edited.withColumns({"edited_sha256": F.sha2(F.col("_edited").cast("binary"), 256), "_tie": F.sha2(F.col("_text").cast("binary"), 256)})
+    hashed = edited.withColumns({"_sha": F.unhex(F.sha2(F.col("_edited").cast("binary"), 256)), "_tie": F.xxhash64("_text")})
     found = fingerprints(hashed, {"_text": "fingerprint", "_edited": "edited_fingerprint"}, ("_range",)).drop("_range")
-    # Order texts of one id as above: by the text itself there, by its digest here, which only matters for ids that repeat.
+    # Order texts of one id as above: by the text itself there, by its hash here, which only matters for ids that repeat.
     out = with_next(found, "doc_id", ["_tie"], "fingerprint", "_next_print", bounds)
     alike = lambda x: 1 - distance(F.col("fingerprint"), F.col(x)) / BITS
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").cast("double").alias("near_edited"), alike("_next_print").cast("double").alias("near_next"))
+    return out.select("doc_id", "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", alike("edited_fingerprint").cast("double").alias("near_edited"), alike("_next_print").cast("double").alias("near_next"))

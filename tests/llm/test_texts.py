@@ -206,6 +206,27 @@ def test_simhash(tricky):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def plain_fingerprint(text: str) -> str:
+    import xxhash
+
+    words, votes, n = WORD.findall(text), np.zeros(256, int), 0
+    signed = lambda x: x.to_bytes(8, "little")
+    for a, b in zip(words, [*words[1:], ""], strict=False):
+        h = [xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))]
+        h += [xxhash.xxh64_intdigest(k.to_bytes(4, "little"), xxhash.xxh64_intdigest(signed(h[0]), 42)) for k in range(3)]
+        votes += [x >> bit & 1 for x in h for bit in range(64)]
+        n += 1
+    bits = votes * 2 > n
+    return "".join(f"{sum(int(bits[64 * k + bit]) << bit for bit in range(64)):016x}" for k in range(4))
+
+
+def test_fingerprints_are_the_signs_of_the_votes(spark):
+    texts = [prose(1, n) for n in (1, 2, 126, 127, 128, 129, 700)] + ["same " * n for n in (127, 128, 500)] + ["a b " * 400, " ", "é 漢字 🙂"]
+    df = spark.createDataFrame([(k, t, "x" + t) for k, t in enumerate(texts)], "k int, t string, u string")
+    for r in simhash.fingerprints(df, {"t": "f", "u": "g"}).collect():
+        assert (r.f, r.g) == (plain_fingerprint(texts[r.k]), plain_fingerprint("x" + texts[r.k]))
+
+
 def test_near_fingerprints(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(256) for _ in range(30)]

@@ -92,8 +92,8 @@ def numbered(df: DataFrame, column: str = INDEX, order: list[Column] | None = No
     marked = df.withColumn("_mark", F.monotonically_increasing_id())
     part, place = F.shiftright("_mark", 33), F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = {r["p"]: r["n"] for r in marked.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = {}, 0
-    for p in sorted(sizes):
-        starts[p], total = total, total + sizes[p]
-    offsets = F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)]) if starts else F.create_map(F.lit(0), F.lit(0))
-    return marked.withColumn(column, (F.coalesce(F.try_element_at(offsets, part), F.lit(0)) + place).cast("long")).drop("_mark")
+    starts = [0]
+    for p in range(max(sizes, default=0)):
+        starts.append(starts[-1] + sizes.get(p, 0))
+    offsets = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")  # folded to one literal, however many partitions
+    return marked.withColumn(column, (F.coalesce(F.get(offsets, part.cast("int")), F.lit(0)) + place).cast("long")).drop("_mark")

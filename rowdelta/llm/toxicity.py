@@ -145,7 +145,17 @@ def _contexts(grams: list[str]):
 
 def _unlikely(n: int, k: int, rate: float) -> float:
     """Chance that k or more of n texts are toxic when each is with this rate."""
-    return sum(math.comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k, n + 1)) if n <= 60 else 0.0 if k > n * rate + 8 * math.sqrt(n * rate * (1 - rate)) else 1.0
+    up = k > n * rate
+    i, odds = k if up else k - 1, rate / (1 - rate)
+    if i < 0:
+        return 1.0
+    # From the mean outwards terms only fall, so one that underflows has nothing behind it; below the mean the other tail is summed.
+    term, total = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(rate) + (n - i) * math.log1p(-rate)), 0.0
+    while 0 <= i <= n and term > total * 1e-17:
+        total += term
+        term *= (n - i) / (i + 1) * odds if up else i / (n - i + 1) / odds
+        i += 1 if up else -1
+    return min(1.0, total) if up else max(0.0, 1 - total)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, seed_entries: dict[str, float] | None = None) -> Lexicon:

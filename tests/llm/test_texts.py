@@ -1,6 +1,7 @@
 """Operators on single texts, against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -271,6 +272,15 @@ def test_toxicity(spark):
     assert toxicity.fit(d, y.where("toxic = 0")).entries == {}
 
 
+def test_chance_of_an_entry_is_the_binomial_tail():
+    for rate in (0.05, 0.5):
+        for n in [*range(1, 12), *range(59, 66), 300]:
+            exact = [math.fsum(math.comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k, n + 1)) for k in range(n + 1)]
+            assert [toxicity._unlikely(n, k, rate) for k in range(n + 1)] == pytest.approx(exact, rel=1e-9, abs=1e-200)
+    assert toxicity._unlikely(61, 61, 0.5) < toxicity.UNLIKELY and toxicity._unlikely(8000, 8000, 0.5) == 0 and toxicity._unlikely(8000, 1, 0.5) == 1
+    assert toxicity._unlikely(8000, 4000, 0.5) == pytest.approx(0.5 + math.comb(8000, 4000) / 2 ** 8001, rel=1e-8)
+
+
 def test_fold_and_exceptions():
     assert toxicity.fold("  Іdi0t!! Ｍórón\n") == " idiot moron "
     lexicon = toxicity.Lexicon({" scum": 5.0, " bad ": 2.0}, [" scumble "])

@@ -61,6 +61,12 @@ def _cues():
     return machine.make_automaton() or machine
 
 
+def _lower(text: str) -> str:
+    """Lower case with every position kept: a letter whose lower case is several code points stays as it is."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def _matches(text: str, at: list[int], pattern: re.Pattern, good: Callable[[str], bool]) -> list[tuple[int, int]]:
     """Matches of ``pattern`` that begin at one of ``at``, from the left and without overlap; those that aren't good are dropped."""
     found, end = [], 0
@@ -104,9 +110,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if marks["0"]:
         spans["iban"] = _matches(text, [i - 2 for i in marks["0"] if i >= 2 and text[i - 2 : i].isupper()], _IBAN, _iban_ok)
         spans["address"] = _matches(text, marks["0"], _STREET, lambda s: True)
-        lower = text.lower()
-        if len(lower) == len(text):  # cues are looked for where case folding keeps positions
-            spans["account"] = [(m.start(1), m.end(1)) for end, _ in _cues().iter(lower) if (m := _NUMBER.match(text, end + 1))]
+        spans["account"] = [(m.start(1), m.end(1)) for end, _ in _cues().iter(_lower(text)) if (m := _NUMBER.match(text, end + 1))]
     order = {k: n for n, k in enumerate(BASE_KINDS + MORE_KINDS)}
     return sorted(((k, a, b) for k, xs in spans.items() for a, b in dict.fromkeys(xs)), key=lambda x: (x[1], order[x[0]], x[2]))
 

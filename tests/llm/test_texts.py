@@ -181,6 +181,12 @@ def test_pii_base_is_the_patterns(text):
     assert [s for s in pii.find(text) if s[0] in pii.BASE_KINDS] == plain_spans(text)
 
 
+def test_account_beside_a_letter_whose_lower_case_is_longer():
+    text = "\u0130stanbul, ACCOUNT no: 12345678 \u0130 ssn 123-45-6789"
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)] == [("account", "12345678"), ("account", "123-45-6789")]
+    assert pii.mask(text) == "\u0130stanbul, ACCOUNT no: <ACCOUNT> \u0130 ssn <ACCOUNT>"
+
+
 def test_pii_rows_and_mask(tricky):
     rows = pii.find_pii(tricky).collect()
     assert len(rows) == len(TEXTS)

@@ -9,10 +9,24 @@ from .common import shuffle_width
 
 
 def bounds_of(df: DataFrame, key: str, most: int = 20_000) -> list[int]:
-    """Up to ``most`` keys that part the table into about equal ranges; each is a key that occurs. Reads the key column only."""
+    """Up to ``most`` keys that part the table into about equal ranges; each is a key that occurs, exactly. Reads the key column only.
+
+    Quantiles go through doubles, which cannot tell large keys apart. So they are only where to look: each bound is the least key
+    of the rows from there on, by whole numbers, and the last one is the greatest key.
+    """
     n = min(most, 8 * shuffle_width(df.sparkSession))  # several ranges for each task even out its share
-    found = df.select(F.col(key).cast("double").alias(key)).approxQuantile(key, [k / n for k in range(n + 1)], 1 / (4 * n))
-    return sorted({int(x) for x in found})
+    keys = df.select(F.col(key).cast("long").alias(key)).where(F.col(key).isNotNull())
+    found = keys.select(F.col(key).cast("double").alias(key)).approxQuantile(key, [k / n for k in range(n + 1)], 1 / (4 * n))
+    places = sorted({min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in found})
+    if not places:
+        return []
+    least = keys.groupBy(_range_of(F.col(key), literal_longs(places), len(places)).alias("at")).agg(F.min(key).alias("least"), F.max(key).alias("greatest")).collect()
+    return sorted({*(r["least"] for r in least), max(r["greatest"] for r in least)})
+
+
+def literal_longs(values: list[int]) -> Column:
+    """One literal array, folded from text so that plans stay small with many values."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def _range_of(key: Column, bounds: Column, n: int) -> Column:
@@ -35,7 +49,7 @@ def with_next(df: DataFrame, key: str, ties: list[str], value: str, out: str, bo
         w = Window.partitionBy("_range").orderBy(k.desc_nulls_last(), *ties)
         first = F.first(F.struct(F.col(value).alias("v"))).over(w)["v"]
         return ranged.withColumn(out, F.when(F.lead(F.lit(1)).over(w).isNull(), first).otherwise(F.lead(value).over(w))).drop("_role", *([] if keep_range else ["_range"]))
-    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one literal array
+    listed = literal_longs(bounds)
     df = df.withColumn("_own", F.when(k.isNull(), 0).otherwise(_range_of(k, listed, len(bounds))))
     own = F.col("_own")
     at_bound = F.coalesce((F.get(listed, own - 1) == k) & (own > 1), F.lit(False))

@@ -15,16 +15,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty
+from .common import WORD, shuffle_width, text_or_empty
 from .order import bounds_of, with_next
 
 BITS = 256
+_WORDS = tuple(f"w{k}" for k in range(BITS // 64))
 _HASHES = tuple(f"h{k + 1}" for k in range(BITS // 64))
 #: Terms of a run: so many fit a lane of 8 bits, and the uppermost lane leaves the sign alone.
 _RUN = 127
 _LANES = 0x0101010101010101
 _PAIR = 0x000000FF000000FF
 _LOW = 0xFFFFFFFF
+#: Bits in which near fingerprints may differ, and fingerprints of a chunk that is compared within one row.
+RADIUS, CHUNK = 7, 256
 
 
 def words_of(text: Column) -> Column:
@@ -86,26 +89,65 @@ def _parts(print_: Column, n: int) -> list[Column]:
 
 def distance(a: Column, b: Column) -> Column:
     """Hamming distance of two fingerprints."""
-    word = lambda x, k: F.conv(F.substring(x, 1 + 8 * k, 8), 16, 10).cast("long")
-    return reduce(lambda x, y: x + y, [F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(BITS // 32)])
+    return reduce(lambda x, y: x + y, [F.bit_count(_long(a, k).bitwiseXOR(_long(b, k))) for k in range(BITS // 64)])
 
 
-def near_fingerprints(prints: DataFrame, column: str, radius: int = 7) -> DataFrame:
-    """All pairs of different fingerprints within ``radius`` bits, found with permuted block tables.
+def _long(print_: Column, k: int) -> Column:
+    """Word ``k`` of a fingerprint as a long."""
+    part = lambda at: F.conv(F.substring(print_, at, 8), 16, 10).cast("long")
+    return F.shiftleft(part(1 + 16 * k), 32).bitwiseOR(part(9 + 16 * k))
 
-    The fingerprint is cut into ``radius + 1`` blocks or more, of whole digits. Two fingerprints within the radius agree in
-    one block or more, so each block in turn leads a table keyed by its value, and rows that meet in a table are compared in full.
-    Works on distinct fingerprints: copies of a text are one row. A pair counts in the first block that it shares, so nothing is
-    made twice. Returns ``a < b`` and ``bits``.
+
+def _agree(differ: list[Column], block: int, n: int) -> Column:
+    """Whether block ``block`` of ``n`` has no bit that differs."""
+    size = BITS // n
+    if size >= 64:
+        return reduce(lambda a, b: a & b, [differ[k] == 0 for k in range(block * size // 64, (block + 1) * size // 64)])
+    return F.shiftrightunsigned(differ[block * size // 64], 64 - size - block * size % 64).bitwiseAND(F.lit((1 << size) - 1)) == 0
+
+
+def _fewest_blocks(radius: int) -> int:
+    """Blocks of equal whole digits, of which two fingerprints within the radius must share one."""
+    n = next((k for k in (1, 2, 4, 8, 16, 32, 64) if k > radius), None)
+    if n is None:
+        raise ValueError(f"radius must be below 64 of {BITS} bits: beyond it blocks have less than a digit and nearly all fingerprints share one")
+    return n
+
+
+def near_fingerprints(prints: DataFrame, column: str, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """How many other fingerprints lie within ``radius`` bits of each different one: p, copies, n_near, near_rows, least.
+
+    ``copies`` counts the rows that have the fingerprint, ``n_near`` the other fingerprints within the radius, ``near_rows`` the rows that have those, and
+    ``least`` is the smallest fingerprint within the radius, itself included. Null fingerprints are left out; a radius of 64 or more is an error.
+
+    Permuted block tables: the fingerprint is cut into ``radius + 1`` blocks or more, of whole digits. Two fingerprints within the radius agree in
+    one block or more, so each block in turn leads a table keyed by its value, and what meets in a table is compared in full. A pair
+    counts in the first block that it shares. Copies are one row. A table's value that many fingerprints share is cut into chunks,
+    which are gathered as arrays and compared in pairs of chunks inside one row, so pairs are never rows and no task holds a whole group.
     """
-    n = next(k for k in (1, 2, 4, 8, 16, 32, 64) if k >= radius + 1)
-    base = prints.select(F.col(column).alias("p")).where(F.col("p").isNotNull()).distinct()
-    blocks = base.select("p", F.posexplode(F.array(*_parts(F.col("p"), n))).alias("block", "value"))
-    a, b = blocks.select(F.col("p").alias("a"), "block", "value"), blocks.select(F.col("p").alias("b"), "block", "value")
-    met = a.join(b, ["block", "value"]).where(F.col("a") < F.col("b"))
-    first = reduce(lambda rest, k: F.when(_parts(F.col("a"), n)[k] == _parts(F.col("b"), n)[k], k).otherwise(rest), range(n - 1, -1, -1), F.lit(n))
-    bits = distance(F.col("a"), F.col("b"))
-    return met.where(F.col("block") == first).select("a", "b", bits.alias("bits")).where(F.col("bits") <= radius)
+    n = _fewest_blocks(radius)
+    base = prints.select(F.col(column).alias("p")).where(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("copies"))
+    tables = base.select("p", "copies", F.posexplode(F.array(*_parts(F.col("p"), n))).alias("block", "value"))
+    sizes = tables.groupBy("block", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    parts = F.ceil(F.col("size") / chunk).cast("int")
+    dealt = tables.join(sizes.repartition(shuffle_width(prints.sparkSession)), ["block", "value"]).withColumns({"parts": parts, "part": F.pmod(F.xxhash64("p"), parts).cast("int")})
+    held = dealt.groupBy("block", "value", "parts", "part").agg(F.collect_list(F.struct("p", "copies", *[_long(F.col("p"), k).alias(w) for k, w in enumerate(_WORDS)])).alias("held"))
+    pair = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = pair.select("block", "value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), "held")
+    both = pair.groupBy("block", "value", "i", "j").agg(F.first(F.when(~F.col("second"), F.col("held")), ignorenulls=True).alias("a"), F.first(F.when(F.col("second"), F.col("held")), ignorenulls=True).alias("b"))
+    both = both.withColumn("b", F.when(F.col("i") == F.col("j"), F.col("a")).otherwise(F.col("b"))).where("a is not null and b is not null")
+    differ = lambda x, y: [x[w].bitwiseXOR(y[w]) for w in _WORDS]
+    earlier = lambda x, y: reduce(lambda at, k: at | ((F.col("block") > k) & _agree(differ(x, y), k, n)), range(n - 1), F.lit(False))
+    bits = lambda x, y: reduce(lambda at, d: at + F.bit_count(d), differ(x, y), F.lit(0))
+    near = lambda x, y: bits(x, y).between(1, radius) & ~earlier(x, y)
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("rows"), F.lit("g").alias("least"))  # "g" is above all digits
+    add = lambda at, y: F.struct((at["n"] + 1).alias("n"), (at["rows"] + y["copies"]).alias("rows"), F.least(at["least"], y["p"]).alias("least"))
+    seen = lambda x, ys: F.struct(x["p"].alias("p"), F.aggregate(F.filter(ys, lambda y: near(x, y)), none, add).alias("f"))
+    ways = F.when(F.col("i") == F.col("j"), F.transform("a", lambda x: seen(x, F.col("b")))).otherwise(F.concat(F.transform("a", lambda x: seen(x, F.col("b"))), F.transform("b", lambda y: seen(y, F.col("a")))))
+    found = both.select(F.explode(ways).alias("s")).where("s.f.n > 0").groupBy("s.p").agg(F.sum("s.f.n").alias("n_near"), F.sum("s.f.rows").alias("near_rows"), F.min("s.f.least").alias("least"))
+    out = base.join(found, "p", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("p", "copies", zero("n_near"), zero("near_rows"), F.coalesce(F.least("p", "least"), "p").alias("least"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,14 +1,14 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors: at-signs, plus signs, digits, URL schemes and cues such as ``iban`` or ``account``. From each
-anchor a local parser expands to the span's boundaries and validates it. Anchors of a kind are tried from left to right and those
+anchor a local parser expands to the span's boundaries and validates it. Only the first digit of a run is an anchor, and no parser looks at more than
+its own span, so the work grows with the text's length whatever it holds. Anchors of a kind are tried from left to right and those
 inside an earlier match of that kind are passed over, which gives the leftmost non-overlapping matches of the kind's pattern; a match that fails
 validation is dropped and nothing shorter is tried in its place.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("url", "iban", "account", "address")
+MORE_KINDS = ("url", "iban", "account", "address", "secret")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -26,8 +26,16 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"://[^\s<>\"'|]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"[\s:#.=-]{0,3}(?:no|nr|number|id)?[\s:#.=-]{0,3}([0-9][0-9-]{4,22}[0-9])(?![A-Za-z0-9])", re.IGNORECASE)
+_DIGITS = re.compile(r"[0-9]+")
 _STREET = re.compile(r"[0-9]{1,5}\x20+(?:[A-Z][a-z]+\x20+){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd)\b")
 _CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "ssn", "passport")
+#: Words that a secret follows, after a sign that assigns it, and beginnings by which well-known keys are told.
+_SECRET_CUES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "api-key", "api key", "apikey", "access_key", "access key", "private_key", "client_key", "auth_key", "credential", "bearer")
+_KEY_STARTS = ("akia", "asia", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "xoxa-", "eyj", "-----begin ")
+_ASSIGNED = re.compile(r"[A-Za-z0-9_-]{0,24}[\"']?\x20{0,3}(?:[:=]\x20{0,3}|\x20)[\"']?([^\s\"'<>,;]{8,})")
+_KEY_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_./+=-")
+_KEY = re.compile(r"[A-Za-z0-9_./+=-]{16,}")
+_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 
 
 def luhn(digits: str) -> bool:
@@ -56,8 +64,9 @@ def _cues():
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for word in _CUES:
-        machine.add_word(word, word)
+    for kind, words in (("account", _CUES), ("secret", _SECRET_CUES), ("key", _KEY_STARTS)):
+        for word in words:
+            machine.add_word(word, (kind, len(word)))
     return machine.make_automaton() or machine
 
 
@@ -89,32 +98,83 @@ def _emails(text: str, at: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def _urls(text: str, at: list[int]) -> list[tuple[int, int]]:
+    found, reach = [], 0
+    for i in at:
+        start = i
+        while start > reach and text[start - 1].isascii() and text[start - 1].isalpha():
+            start -= 1
+        if reach <= start < i and (m := _URL.match(text, i)):
+            reach = m.end()
+            found.append((start, start + len(text[start:reach].rstrip(".,;:!?)"))))
+    return found
+
+
+def _random(value: str) -> bool:
+    """Whether a value looks made up by a machine: letters and digits mixed, with several different ones."""
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and len(set(value)) >= 6
+
+
+def _cued(text: str, digits: bool) -> dict[str, list[tuple[int, int]]]:
+    """Account numbers and secrets, from their cues."""
+    found: dict[str, list[tuple[int, int]]] = {"account": [], "secret": []}
+    reach = dull = 0
+    for end, (kind, size) in _cues().iter(_lower(text)):
+        start = end - size + 1
+        if kind == "account":
+            if digits and (m := _NUMBER.match(text, end + 1)):
+                found["account"].append(m.span(1))
+            continue
+        if start < reach or end + 40 < dull:  # inside a secret, or deep inside a run that is none, which no later start makes one
+            continue
+        if kind == "secret":
+            block, m = None, _ASSIGNED.match(text, end + 1)
+            span = m.span(1) if m else None
+        elif start and text[start - 1] in _KEY_PART:
+            continue
+        else:
+            block = _PEM.match(text, start)
+            m = block or _KEY.match(text, start)
+            span = m.span() if m else None
+        if span and (block or _random(text[span[0] : span[1]])):
+            found["secret"].append(span)
+            reach = span[1]
+        elif span:
+            dull = span[1]
+    return found
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of one text by start, then kind as listed; positions are code points, ends exclusive."""
     marks: dict[str, list[int]] = {"@": [], "+": [], "://": [], "0": []}
+    last = -2
     for end, word in _anchors().iter(text):
-        marks["0" if word.isdigit() else word].append(end - len(word) + 1)
+        if word.isdigit():
+            if end > last + 1:
+                marks["0"].append(end)
+            last = end
+        else:
+            marks[word].append(end - len(word) + 1)
     digits = lambda s: sum(c.isdigit() for c in s)  # noqa: E731  matches hold ASCII digits only
     spans = {"email": _emails(text, marks["@"])}
-    spans["ip"] = _matches(text, marks["0"], _IP, lambda s: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split(".")))
+    spans["ip"] = _matches(text, marks["0"], _IP, lambda s: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split(".")))
     spans["card"] = _matches(text, marks["0"], _CARD, lambda s: 14 <= digits(s) <= 19 and luhn(re.sub("[^0-9]", "", s)))
     spans["phone"] = _matches(text, marks["+"], _PHONE, lambda s: 10 <= digits(s) <= 15)
-    if marks["://"]:
-        spans["url"] = []
-        for i in marks["://"]:
-            start = i
-            while start > 0 and start > i - 12 and text[start - 1].isascii() and text[start - 1].isalpha():
-                start -= 1
-            if start < i and (m := _URL.match(text, i)) and (not spans["url"] or start >= spans["url"][-1][1]):
-                spans["url"].append((start, start + len((text[start:i] + m[0]).rstrip(".,;:!?)"))))
+    spans["url"] = _urls(text, marks["://"])
     if marks["0"]:
         spans["iban"] = _matches(text, [i - 2 for i in marks["0"] if i >= 2 and text[i - 2 : i].isupper()], _IBAN, _iban_ok)
-        spans["address"] = _matches(text, marks["0"], _STREET, lambda s: True)
-        spans["account"] = [(m.start(1), m.end(1)) for end, _ in _cues().iter(_lower(text)) if (m := _NUMBER.match(text, end + 1))]
+        spans["address"] = _matches(text, [max(i, end - 5) for i, end in _runs(text, marks["0"])], _STREET, lambda s: True)
+    spans |= _cued(text, bool(marks["0"]))
     order = {k: n for n, k in enumerate(BASE_KINDS + MORE_KINDS)}
     return sorted(((k, a, b) for k, xs in spans.items() for a, b in dict.fromkeys(xs)), key=lambda x: (x[1], order[x[0]], x[2]))
 
 
+def _runs(text: str, at: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of digits that begin at ``at``."""
+    for i in at:
+        yield i, _DIGITS.match(text, i).end()
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of every document: doc_id, spans (array of kind, start, end).
 
@@ -158,8 +218,3 @@ def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def digest(spans: list[dict]) -> str:
-    """Lowercase hex SHA-256 of the base kinds' spans, ``kind:start:end`` joined by commas."""
-    return hashlib.sha256(",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["kind"] in BASE_KINDS).encode()).hexdigest()

@@ -6,7 +6,7 @@ phrase don't count. Each different word counts once, by its heaviest entry, so t
 of their density, that is the sum normalised by length.
 
 The lexicon and the logistic function are fitted on labelled rows outside the held-out fold. The fit reads at most ``FIT_ROWS`` rows of
-either class (those with the smallest hashes of their ids), which bounds what reaches the driver; every document is scored in full.
+either class (those with the smallest hashes of their ids), which bounds the lexicon and what reaches the driver; every document is scored in full.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from __future__ import annotations
 import math
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import cut, text_or_empty
 
 FIT_ROWS = 4000
-#: Entries and exceptions that the lexicon may hold, which bounds what is sent to the executors.
-LEXICON_ROWS = 4000
 PREFIXES = range(3, 9)
 #: An entry must be in toxic texts so often that chance would do it this rarely.
 UNLIKELY = 2e-3
@@ -95,7 +95,9 @@ class Lexicon:
                 elif weight > words.get(at, 0.0):
                     words[at] = weight
         if spared and words:
-            words = {at: w for at, w in words.items() if not any(a <= at < b for a, b in spared)}
+            spared.sort()
+            starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            words = {at: w for at, w in words.items() if not ((k := bisect_right(starts, at)) and reach[k - 1] > at)}
         kinds: dict[str, float] = {}
         for at, w in words.items():
             kinds[folded[at : folded.index(" ", at + 1)]] = w
@@ -143,6 +145,24 @@ def _contexts(grams: list[str]):
     return run
 
 
+def _phrases(entries: set[str]):
+    """For each word with an entry, the two words that it makes with the word before and the word after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: set[tuple[str, str, int, int]] = set()
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                folded = fold(text)
+                words, mark = folded.split(), zlib.crc32(folded.encode())
+                for k, w in enumerate(words):
+                    for g in {f" {w} ", *[f" {w[:n]}" for n in PREFIXES if len(w) >= n]} & entries:
+                        rows.update((f" {a} {b} ", g, y, mark) for a, b in zip(words[max(0, k - 1) : k + 1], words[max(0, k - 1) + 1 : k + 2], strict=False))
+            phrase, gram, ys, marks = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.string()), pa.array(gram, pa.string()), pa.array(ys, pa.int32()), pa.array(marks, pa.int64())], ["phrase", "gram", "y", "text"])
+
+    return run
+
+
 def _unlikely(n: int, k: int, rate: float) -> float:
     """Chance that k or more of n texts are toxic when each is with this rate."""
     up = k > n * rate
@@ -177,20 +197,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rate = n[1] / (n[0] + n[1])
     grams = cut(sample.mapInArrow(_grams, "gram string, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     weight = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
-    good = grams.withColumn("w", weight).where("toxic >= 2 and w > 1.5").orderBy(F.col("toxic").desc(), "clean", "gram").limit(4 * LEXICON_ROWS).collect()
+    good = grams.withColumn("w", weight).where("toxic >= 2 and w > 1.5").orderBy(F.col("toxic").desc(), "clean", "gram").collect()
     likely = [r for r in good if _unlikely(r["toxic"] + r["clean"], r["toxic"], rate) < UNLIKELY]
     around = sample.where("y = 1").mapInArrow(_contexts([r["gram"] for r in likely]), "gram string, context long")
     places = {r["gram"]: r["n"] for r in around.groupBy("gram").agg(F.countDistinct("context").alias("n")).collect()}
     for r in likely:
         # A text and its copies are one piece of evidence: what counts is between how many different neighbours an entry stands.
         k = min(r["toxic"], places.get(r["gram"], 0))
-        if len(lexicon.entries) < LEXICON_ROWS and _unlikely(k + r["clean"], k, rate) < UNLIKELY:
+        if _unlikely(k + r["clean"], k, rate) < UNLIKELY:
             lexicon.entries[r["gram"]] = round(r["w"], 6)
     begins = [k for k in lexicon.entries if not k.endswith(" ")]
     if begins:
         # Words that begin like an entry but stand in clean texts only.
         clean = grams.where("toxic = 0 and clean >= 2").where(F.col("gram").endswith(" ") & F.substring("gram", 1, PREFIXES[0] + 1).isin(sorted({k[: PREFIXES[0] + 1] for k in begins})))
-        lexicon.exceptions = [r["gram"] for r in clean.orderBy(F.col("clean").desc(), "gram").limit(LEXICON_ROWS).collect() if any(r["gram"].startswith(k) for k in begins)]
+        lexicon.exceptions = [r["gram"] for r in clean.orderBy(F.col("clean").desc(), "gram").collect() if any(r["gram"].startswith(k) for k in begins)]
+    if lexicon.entries:
+        # Two words, one of them an entry's, that stand in so many different clean texts and no toxic one that chance would hardly do it.
+        share = {r["gram"]: (r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1) for r in likely if r["gram"] in lexicon.entries}
+        pairs = sample.mapInArrow(_phrases(set(share)), "phrase string, gram string, y int, text long").groupBy("phrase", "gram").agg(F.max("y").alias("toxic"), F.countDistinct("text").alias("n"))
+        found: dict[str, bool] = {}
+        for r in pairs.where("n > 1 or toxic = 1").collect():
+            found[r["phrase"]] = found.get(r["phrase"], True) and not r["toxic"] and (1 - share[r["gram"]]) ** r["n"] < UNLIKELY
+        lexicon.exceptions += sorted(k for k, good in found.items() if good)
     seen = sample.mapInArrow(_weigher(lexicon, ("y",)), "y int, total double, n long").collect()
     x = np.array([[1.0, *lexicon.features(r["total"], r["n"])] for r in seen])
     y = np.array([r["y"] for r in seen], dtype=float)
@@ -215,23 +243,35 @@ def _weigher(lexicon: Lexicon, keep: tuple[str, ...]):
     return run
 
 
+def _scores(lexicon: Lexicon, machine, texts: pa.Array) -> np.ndarray:
+    return np.array([lexicon.score(*lexicon.weigh(machine, x or "")) for x in texts.cast(pa.string()).to_pylist()], dtype=float)
+
+
 def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """Add ``tox_score`` (0 to 1) to every row of ``docs``; all its columns stay. Null and empty texts have no match and score low.
+    """Add ``tox_score`` (0 to 1) to every row of ``docs``; all its columns stay, but for one of that name, which it replaces.
 
-    Rows pass through one by one, with no shuffle, so copies, ties and hot sources don't matter.
+    Null and empty texts have no match and score low. Rows pass through one by one, with no shuffle, so copies, ties and hot sources don't matter.
     """
-    names = docs.columns
-    schema = StructType([*docs.schema.fields, StructField("tox_score", DoubleType())])
+    rest = docs.drop("tox_score")
+    names = rest.columns
+    schema = StructType([*rest.schema.fields, StructField("tox_score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.matcher()
         for batch in batches:
-            scores = [lexicon.score(*lexicon.weigh(machine, x or "")) for x in batch.column(names.index(text_col)).to_pylist()]
+            scores = _scores(lexicon, machine, batch.column(names.index(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "tox_score"])
 
-    return docs.mapInArrow(run, schema)
+    return rest.mapInArrow(run, schema)
+
+
+def reject_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with the columns of ``docs`` as they are."""
+    at = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = lexicon.matcher()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(lexicon, machine, batch.column(at)) < threshold))
 
-def reject_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, with the columns of ``docs``."""
-    return score(docs, lexicon).where(F.col("tox_score") < threshold).drop("tox_score")
+    return docs.mapInArrow(run, docs.schema)

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .common import shuffle_width, text_or_empty
 
 BLOCK_BYTES = 6 << 20
-#: Bytes of a fingerprint that are sent. The bucket tells its leading bits too, so about 56 + log2(buckets) bits are compared.
-WIDTH = 7
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
 
@@ -92,16 +90,32 @@ def answered(sent_rows: DataFrame, judge: Callable[[np.ndarray, np.ndarray], np.
     return sent_rows.groupBy("bucket").applyInArrow(run, "block int, bucket int, reply binary")
 
 
-def packed_prints(prints: np.ndarray) -> np.ndarray:
-    return prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
+def packed_prints(*prints: np.ndarray, width: int = 8) -> np.ndarray:
+    """Records of the first ``width`` bytes of each fingerprint."""
+    return np.concatenate([p.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width] for p in prints], axis=1)
 
 
 def repeated(records: np.ndarray, _block: np.ndarray) -> np.ndarray:
-    """1 for each hash that another block has sent too; a block sends each hash once."""
-    value = np.zeros((len(records), 8), np.uint8)
-    value[:, :WIDTH] = records
-    _, at, n = np.unique(value.view("<u8").ravel(), return_inverse=True, return_counts=True)
-    return n[at] > 1
+    """1 for each record that is there more than once, that is, which another block has sent too if a block sends each once."""
+    columns = []
+    for at in range(0, records.shape[1], 8):
+        part = records[:, at : at + 8]
+        value = np.zeros((len(part), 8), np.uint8)
+        value[:, : part.shape[1]] = part
+        columns.append(value.view("<u8").ravel())
+    _, place, n = distinct(*columns)
+    return n[place] > 1
+
+
+def distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The different rows of several columns in the order of the first column, then the next; each row's place among them; how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    ordered = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in ordered])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return [c[new] for c in ordered], place, np.bincount(place, minlength=int(new.sum()))
 
 
 def reply_of(replies: pa.Table) -> np.ndarray:

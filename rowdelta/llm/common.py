@@ -6,7 +6,7 @@ import os
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -41,6 +41,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text, as two longs ``k1`` and ``k2``."""
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
@@ -52,6 +57,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_OTHER_BYTE = mix64(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _R = 0x5851F42D4C957F2D | 1
 _R_INVERSE = pow(_R, -1, 1 << 64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -95,6 +101,10 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)
         self.hashes = span_hashes(_BYTE[data], self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
 
+    def other_hashes(self, data: np.ndarray) -> np.ndarray:
+        """Hashes of the words from another table of bytes, independent of ``hashes``."""
+        return span_hashes(_OTHER_BYTE[data], self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the distinct runs of ``size`` words, sorted; fewer words than that make one shingle, none make none."""

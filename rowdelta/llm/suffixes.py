@@ -11,7 +11,8 @@ group equal ranks of all documents and to let unique positions drop out:
 2. What remains are anchors that share their 256 bytes but not all surroundings, at the ends of repeated passages. For these the ranks at 400, the
    pairs of 256-ranks at p and p + 144, are grouped over all blocks for every position around the anchor.
 
-Then every byte under a settled anchor's strings or a repeated 400-byte string is removed.
+Then every byte under a settled anchor's strings or a repeated 400-byte string is removed. What is compared in the end are 128 bits or more: ranks,
+and beside them hashes of the same bytes by another rule.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import _BYTE, cut, mix64, pieces
+from .common import _BYTE, _OTHER_BYTE, mix64, pieces, span_hashes
 
 LENGTH, HALF = 400, 256
 STEP = LENGTH - HALF
 _K = [np.uint64(k) for k in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
-#: Low bits of a rank that give way to the position, so that a minimum also says where it is and ties go to the left.
-_AT = np.uint64((1 << 28) - 1)
+#: Low bits of a rank that give way to the position, so that a minimum also says where it is and ties go to the left. They
+#: hold any place in an Arrow column of text, which has at most 2 GB.
+_AT = np.uint64((1 << 31) - 1)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,13 +86,21 @@ class _Part:
         left, right = np.minimum(STEP, at - begin), np.minimum(STEP, end - at - HALF)
         #: First and last string over each anchor.
         self.low, self.high = at - left, np.minimum(at, end - LENGTH)
-        self.pairs = np.empty((len(at), 2), np.uint64)
+        #: Ranks of the anchors, and two independent hashes of their surroundings.
+        self.marks = [np.zeros(0, np.uint64)] * 3
         if len(at):
-            self.pairs[:, 0] = mix64(self.rank[at])
-            self.pairs[:, 1] = _pair(_pair(self.rank[at - left], self.rank[at]), self.rank[at + right]) + (left * (STEP + 1) + right).astype(np.uint64) * _K[2]
+            around = _pair(_pair(self.rank[at - left], self.rank[at]), self.rank[at + right]) + (left * (STEP + 1) + right).astype(np.uint64) * _K[2]
+            self.marks = [mix64(self.rank[at]), around, self._other(at - left, at + HALF + right) + left.astype(np.uint64) * _K[1]]
 
-    def at_length(self, starts: np.ndarray) -> np.ndarray:
-        return mix64(_pair(self.rank[starts], self.rank[starts + STEP]))
+    def _other(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of stretches that don't come from the ranks."""
+        return span_hashes(_OTHER_BYTE[self.data], starts, ends)
+
+    def at_length(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks at 400, and another hash of the same bytes."""
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return mix64(_pair(self.rank[starts], self.rank[starts + STEP])), self._other(starts, starts + LENGTH)
 
     def strings_over(self, some: np.ndarray) -> np.ndarray:
         """Where the 400-byte strings over these anchors begin."""
@@ -105,37 +115,34 @@ def _parts(group: pa.Table) -> list[_Part]:
         return [_Part(ids.slice(at, len(offsets) - 1), data, offsets) for ids, texts in blocks.opened(group) for at, data, offsets in pieces(texts)]
 
 
-def _anchor_table(parts: list[_Part]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (rank, surroundings) pairs of a block in order, how often each occurs, and the place of each anchor among them."""
-    pairs = np.concatenate([np.zeros((0, 2), np.uint64), *[p.pairs for p in parts]])
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    sorted_ = pairs[order]
-    new = np.ones(len(pairs), bool)
-    new[1:] = (sorted_[1:] != sorted_[:-1]).any(axis=1)
-    place = np.empty(len(pairs), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return sorted_[new], np.bincount(place, minlength=int(new.sum())), place
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *arrays])
+
+
+def _anchor_table(parts: list[_Part]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct (rank, surroundings) rows of a block in order, the place of each anchor among them, and how often each occurs."""
+    return blocks.distinct(*[_joined([p.marks[k] for p in parts]) for k in range(3)])
 
 
 def _send_anchors(n: int):
     def run(group: pa.Table) -> pa.Table:
-        pairs, times, _ = _anchor_table(_parts(group))
-        records = np.concatenate([pairs.astype("<u8").view(np.uint8).reshape(-1, 16), (times > 1).astype(np.uint8)[:, None]], axis=1)
-        return blocks.sent(group.column("block")[0].as_py(), records, pairs[:, 0], n)
+        marks, _, times = _anchor_table(_parts(group))
+        records = np.concatenate([blocks.packed_prints(*marks), (times > 1).astype(np.uint8)[:, None]], axis=1)
+        return blocks.sent(group.column("block")[0].as_py(), records, marks[0], n)
 
     return run
 
 
 def _rank_anchors(records: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Bit 0: the surroundings occur again, so the anchor is settled. Bit 1: the block has to send the strings over the anchor."""
-    pairs = np.ascontiguousarray(records[:, :16]).view("<u8")
-    times = 1 + records[:, 16].astype(np.int64)
-    order = np.lexsort((block, pairs[:, 1], pairs[:, 0]))
-    p, b = pairs[order], times[order]
+    marks = np.ascontiguousarray(records[:, :24]).view("<u8")
+    times = 1 + records[:, 24].astype(np.int64)
+    order = np.lexsort((block, marks[:, 2], marks[:, 1], marks[:, 0]))
+    p, b = marks[order], times[order]
     first = np.ones(len(p), bool)
     first[1:] = (p[1:] != p[:-1]).any(axis=1)
-    of_pair = np.cumsum(first) - 1
-    count = np.bincount(of_pair, weights=b)[of_pair]
+    of_mark = np.cumsum(first) - 1
+    count = np.bincount(of_mark, weights=b)[of_mark]
     of_rank = np.cumsum(np.concatenate([[True], p[1:, 0] != p[:-1, 0]])) - 1
     kinds = np.bincount(of_rank, weights=first)[of_rank]
     out = np.empty(len(p), np.uint8)
@@ -143,28 +150,27 @@ def _rank_anchors(records: np.ndarray, block: np.ndarray) -> np.ndarray:
     return out
 
 
-def _open_strings(parts: list[_Part], status: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Where the strings begin that have to be compared, and their ranks at 400, for each part."""
-    starts, ranks, at = [], [], 0
+def _open_strings(parts: list[_Part], status: np.ndarray) -> tuple[list[np.ndarray], tuple]:
+    """Where the strings begin that have to be compared, for each part, and the distinct pairs of their hashes (as ``blocks.distinct``)."""
+    starts, hashes, at = [], [], 0
     for p in parts:
         mine = status[at : at + len(p.anchors)]
         at += len(p.anchors)
         starts.append(p.strings_over(mine & 2 > 0))
-        ranks.append(p.at_length(starts[-1]))
-    return starts, ranks
+        hashes.append(p.at_length(starts[-1]))
+    return starts, blocks.distinct(*[_joined([h[k] for h in hashes]) for k in range(2)])
 
 
 def _status(parts: list[_Part], replies: pa.Table) -> np.ndarray:
-    place = _anchor_table(parts)[2]
+    place = _anchor_table(parts)[1]
     return blocks.reply_of(replies)[place] if len(place) else np.zeros(0, np.uint8)
 
 
 def _send_strings(n: int):
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         parts = _parts(group)
-        _, ranks = _open_strings(parts, _status(parts, replies))
-        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *ranks]))
-        return blocks.sent(group.column("block")[0].as_py(), blocks.packed_prints(distinct), distinct, n)
+        _, (pairs, _, _) = _open_strings(parts, _status(parts, replies))
+        return blocks.sent(group.column("block")[0].as_py(), blocks.packed_prints(*pairs), pairs[0], n)
 
     return run
 
@@ -173,8 +179,7 @@ def _remove(group: pa.Table, replies: pa.Table) -> pa.Table:
     round_ = replies.column("round").to_numpy()
     parts = _parts(group)
     status = _status(parts, replies.filter(pa.array(round_ == 1)))
-    starts, ranks = _open_strings(parts, status)
-    _, place, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *ranks]), return_inverse=True, return_counts=True)
+    starts, (_, place, n) = _open_strings(parts, status)
     again = ((n > 1) | (blocks.reply_of(replies.filter(pa.array(round_ == 2))) > 0))[place] if len(place) else np.zeros(0, bool)
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
     at = tested = 0
@@ -214,8 +219,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n_blocks, n = blocks.counts(docs, text_col)
     packed = blocks.dealt(docs, n_blocks, id_col, text_col)
     anchors = packed.groupBy("block").applyInArrow(_send_anchors(n), blocks.SENT)
-    first = cut(blocks.answered(anchors, _rank_anchors, 17))
+    first = blocks.answered(anchors, _rank_anchors, 25)
     strings = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_strings(n), blocks.SENT)
-    second = blocks.answered(strings, blocks.repeated, blocks.WIDTH)
+    second = blocks.answered(strings, blocks.repeated, 16)
     replies = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

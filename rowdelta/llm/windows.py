@@ -1,5 +1,9 @@
 """Substring dedup over words: every window of a fixed number of words has a Rabin-Karp hash; hashes are counted over all documents and windows
-that repeat are merged to maximal intervals, whose words are removed."""
+that repeat are merged to maximal intervals, whose words are removed.
+
+Counting goes in two rounds. In the first every window's hash is sent, cut to a few bytes, which finds all windows that repeat and hardly any other.
+In the second those windows alone are sent with 128 bits of two independent hashes, which decide.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks
 from .common import Words, pieces, span_hashes
 
 WINDOW = 35
+#: Bytes of a hash in the first round; its bucket tells some bits more. What they confuse is told apart in the second.
+FIRST_WIDTH = 4
 
 
 def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,32 +31,71 @@ def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return first, span_hashes(words.hashes, first, first + window) if len(first) else np.zeros(0, np.uint64)
 
 
+class _Block:
+    """The texts of a block with all their windows."""
+
+    def __init__(self, group: pa.Table, window: int) -> None:
+        self.parts, self.window = [], window
+        found = [np.zeros(0, np.uint64)]
+        for ids, texts in blocks.opened(group):
+            for at, data, offsets in pieces(texts):
+                words = Words(data, offsets)
+                first, h = _windows(words, window)
+                self.parts.append((ids.slice(at, len(offsets) - 1), data, words, first))
+                found.append(h)
+        self.hashes = np.concatenate(found)
+        self.distinct, self.place, self.times = np.unique(self.hashes, return_inverse=True, return_counts=True)
+
+    def again(self, reply: np.ndarray) -> None:
+        """What may repeat: windows whose hash the block has more than once, or another block seems to have too. Those get a second hash."""
+        elsewhere = reply > 0
+        self.maybe = np.flatnonzero(((self.times > 1) | elsewhere)[self.place])
+        second, at = [np.zeros(0, np.uint64)], 0
+        for _, data, words, first in self.parts:
+            mine = self.maybe[slice(*np.searchsorted(self.maybe, [at, at + len(first)]))] - at
+            at += len(first)
+            if len(mine):
+                second.append(span_hashes(words.other_hashes(data), first[mine], first[mine] + self.window))
+        self.pairs, self.pair_of, self.pair_times = blocks.distinct(self.hashes[self.maybe], np.concatenate(second))
+        self.sent = elsewhere[np.searchsorted(self.distinct, self.pairs[0])] if len(self.distinct) else np.zeros(0, bool)
+
+    def repeated(self, reply: np.ndarray) -> np.ndarray:
+        """Whether each window occurs anywhere else."""
+        twice = self.pair_times > 1
+        twice[self.sent] |= reply > 0
+        out = np.zeros(len(self.hashes), bool)
+        out[self.maybe] = twice[self.pair_of]
+        return out
+
+
 def _send(n: int, window: int):
     def run(group: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.uint64)]
-        for _, texts in blocks.opened(group):
-            for _, data, offsets in pieces(texts):
-                found.append(_windows(Words(data, offsets), window)[1])
-        distinct = np.unique(np.concatenate(found))
-        return blocks.sent(group.column("block")[0].as_py(), blocks.packed_prints(distinct), distinct, n)
+        block = _Block(group, window)
+        return blocks.sent(group.column("block")[0].as_py(), blocks.packed_prints(block.distinct, width=FIRST_WIDTH), block.distinct, n)
+
+    return run
+
+
+def _send_again(n: int, window: int):
+    def run(group: pa.Table, replies: pa.Table) -> pa.Table:
+        block = _Block(group, window)
+        block.again(blocks.reply_of(replies))
+        a, b = (x[block.sent] for x in block.pairs)
+        return blocks.sent(group.column("block")[0].as_py(), blocks.packed_prints(a, b), a, n)
 
     return run
 
 
 def _remove(window: int):
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
-        parts, found = [], [np.zeros(0, np.uint64)]
-        for ids, texts in blocks.opened(group):
-            for at, data, offsets in pieces(texts):
-                words = Words(data, offsets)
-                first, h = _windows(words, window)
-                parts.append((ids.slice(at, len(offsets) - 1), data.tobytes(), words, first))
-                found.append(h)
-        _, place, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-        repeated = ((n > 1) | (blocks.reply_of(replies) > 0))[place]
+        round_ = replies.column("round").to_numpy()
+        block = _Block(group, window)
+        block.again(blocks.reply_of(replies.filter(pa.array(round_ == 1))))
+        repeated = block.repeated(blocks.reply_of(replies.filter(pa.array(round_ == 2))))
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": []}
         start = 0
-        for ids, data, words, first in parts:
+        for ids, raw, words, first in block.parts:
+            data = raw.tobytes()
             hit = first[repeated[start : start + len(first)]]
             start += len(first)
             step = np.zeros(len(words.starts) + 1, np.int64)
@@ -78,5 +124,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
     n_blocks, n = blocks.counts(docs, text_col)
     packed = blocks.dealt(docs, n_blocks, id_col, text_col)
     sent = packed.groupBy("block").applyInArrow(_send(n, window), blocks.SENT)
-    replies = blocks.answered(sent, blocks.repeated, blocks.WIDTH)
+    first = blocks.answered(sent, blocks.repeated, FIRST_WIDTH)
+    sent = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_again(n, window), blocks.SENT)
+    second = blocks.answered(sent, blocks.repeated, 16)
+    replies = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -123,11 +123,12 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
     """Place every token of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, a row for each piece.
 
     A document is its text's ids and id 0; null and empty texts are that one id. Null ids and rows that repeat are documents like
-    others. Longer documents are cut at multiples of ``capacity``. The number of groups follows the number of documents; a group is
+    others. Longer documents are cut at multiples of ``capacity``. The number of groups follows the number of documents and their bytes, that is the pieces; a group is
     chosen by a hash of id and content, so a hot source is spread, and reruns give the same sequences. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    groups = max(1, -(-docs.count() * 3 // (2 * group)))
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).collect()[0]
+    groups = max(1, -(-(rows + size // (4 * capacity)) // group))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     pieces = texts.mapInArrow(_cutter(tokenizer, ranks, capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(17)), F.lit(groups)).cast("long"))

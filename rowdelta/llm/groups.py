@@ -34,11 +34,31 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[inner], nodes[root[inner]]
 
 
-def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            u, v = forest(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+#: Edges that a task of the component search reduces to stars at once.
+EDGES = 1 << 20
+
+
+def local_forests(most: int = EDGES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reduce a partition's edges (the first two columns) to stars, about ``most`` at a time, so memory is bounded whatever the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        stars = lambda: forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        rows = lambda u, v: pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+            n += batch.num_rows
+            if n > most:
+                u, v = stars()
+                held, n = [(u, v)], len(u)
+                if n > most // 2:
+                    yield rows(u, v)
+                    held, n = [], 0
+        if n:
+            yield rows(*stars())
+
+    return run
 
 
 def dealt_again(sums: DataFrame) -> DataFrame:
@@ -50,17 +70,20 @@ def dealt_again(sums: DataFrame) -> DataFrame:
     return sums.repartition(shuffle_width(sums.sparkSession))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", per_task: int = EDGES) -> DataFrame:
     """(node, root) for every node of ``edges`` (two long columns) but the roots; a component's root is its smallest node.
 
-    Each task first reduces its edges to stars. Then rounds of two steps: every node sends its larger neighbours to its smallest
-    one, then its smaller neighbours too, until nothing changes. Each round is checkpointed; rounds grow with the logarithm of the longest path.
+    Edges are first reduced to stars, by each task and then once more in tasks of about ``per_task`` edges, as many as there are edges for.
+    Then rounds of two steps: every node sends its larger neighbours to its smallest one, then its smaller neighbours too, until
+    nothing changes. Each round is checkpointed; rounds grow with the logarithm of the longest path; a single task's stars need none.
     Self-loops and repeated edges don't matter; rows with a null are left out.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where(F.col("u") != F.col("v"))
-    e = cut(e.mapInArrow(_local_forest, "u long, v long").distinct())
+    e = cut(e.mapInArrow(local_forests(per_task), "u long, v long"))
+    tasks = max(1, -(-e.count() // per_task))
+    e = cut(e.coalesce(tasks).mapInArrow(local_forests(per_task), "u long, v long"))
     mark = None
-    while True:
+    while tasks > 1:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         e = both.join(dealt_again(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -69,8 +92,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = cut(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).collect()[0]
         if now == mark or now[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         mark = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def group_links(members: DataFrame, linked: Callable[[list, list], np.ndarray], chunk: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ru", "se", "ta", "vo", "zu") for b in ("n", "rt", "st", "x", "lim", "dor", "pek", "bas")]
 #: Extra columns whose names an operator might use itself.
-CLASHING = ["id", "size", "block", "bucket", "label", "u", "v", "h", "n", "grp", "weight", "text_key", "_row", "_range", "_text", "root", "node", "key"]
+CLASHING = ["id", "size", "block", "bucket", "label", "u", "v", "h", "n", "grp", "weight", "text_key", "_row", "_range", "_text", "root", "node", "key", "k1", "k2", "name", "rest", "bare", "doc", "place", "stays", "tox_score", "_text_key", "_of", "_key", "demand"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in CLASHING]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embeddings, jaccard, mixing, packing, pii, simhash, suffixes, toxicity, windows
-from .common import table
+from .common import table, text_or_empty
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.in_order(mixing.mix(table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.round("first_at", 9).alias("first_at"), F.round("second_at", 9).alias("second_at"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.round("first_at", 9).alias("first_at"), F.round("second_at", 9).alias("second_at"), F.round("first_position", 3).alias("first_position"), F.round("second_position", 3).alias("second_position"))
 
 
 OP5_SQL = r"""
@@ -58,11 +58,16 @@ placed AS (
          CAST(coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
   FROM base b JOIN goals g ON b.source IS NOT DISTINCT FROM g.source),
 parts AS (
-  SELECT *, greatest(0, least(size, goal - before)) AS p0, greatest(0, least(size, goal - before - source_size)) AS p1 FROM placed)
-SELECT doc_id, size, source_size, target, CAST(p0 + p1 AS BIGINT) AS taken,
-  CASE WHEN p0 > 0 THEN round(abs(CASE WHEN tilt = 0 THEN CAST(before AS DOUBLE) / goal ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (CAST(before AS DOUBLE) / goal))) / (2 * tilt) END), 9) END AS first_at,
-  CASE WHEN p1 > 0 THEN round(abs(CASE WHEN tilt = 0 THEN CAST(before + source_size AS DOUBLE) / goal ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (CAST(before + source_size AS DOUBLE) / goal))) / (2 * tilt) END), 9) END AS second_at
-FROM parts
+  SELECT *, greatest(0, least(size, goal - before)) AS p0, greatest(0, least(size, goal - before - source_size)) AS p1 FROM placed),
+timed AS (
+  SELECT *,
+    CASE WHEN p0 > 0 THEN abs(CASE WHEN tilt = 0 THEN CAST(before AS DOUBLE) / goal ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (CAST(before AS DOUBLE) / goal))) / (2 * tilt) END) END AS t0,
+    CASE WHEN p1 > 0 THEN abs(CASE WHEN tilt = 0 THEN CAST(before + source_size AS DOUBLE) / goal ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (CAST(before + source_size AS DOUBLE) / goal))) / (2 * tilt) END) END AS t1
+  FROM parts),
+demand AS (SELECT sum(target * (1 - tilt)) AS x, sum(target * tilt) AS y FROM goals)
+SELECT doc_id, size, source_size, target, CAST(p0 + p1 AS BIGINT) AS taken, round(t0, 9) AS first_at, round(t1, 9) AS second_at,
+  round(x * t0 + y * t0 * t0, 3) AS first_position, round(x * t1 + y * t1 * t1, 3) AS second_position
+FROM timed, demand
 """
 
 
@@ -78,12 +83,61 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op8_simhash`` SQL can say: the edited texts."""
+    return op8_simhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER w AS r FROM documents WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, coalesce(text, ''))),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY r), first(t) OVER (ORDER BY r)) AS following, CAST(length(t) // 2 AS BIGINT) AS half FROM d)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(left(t, length(t) - half) || left(following, half)) AS edited_sha256 FROM n
+"""
+
+
+def simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different fingerprint of the documents, how many others lie within the radius, and the smallest of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
+    return simhash.near_fingerprints(simhash.fingerprints(docs, {"text": "fingerprint"}), "fingerprint").withColumnRenamed("p", "fingerprint")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(list(pii.BASE_KINDS)))
-    return found.select("doc_id", *[of(k) for k in pii.BASE_KINDS], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[of(k) for k in pii.BASE_KINDS], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *[of(k) for k in pii.MORE_KINDS], F.size("spans").cast("long").alias("n_spans"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op9_pii`` SQL can say: the base kinds."""
+    return op9_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in pii.BASE_KINDS], "base_sha256")
+
+
+_BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_MATCHED = "\n  UNION ALL ".join(f"SELECT r, {n} AS k, '{kind}' AS kind, regexp_extract_all(t, '{x}') AS ms, regexp_split_to_array(t, '{x}') AS ps FROM d" for n, (kind, x) in enumerate(_BASE.items()))
+BASE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_MATCHED}),
+s AS (SELECT r, k, kind, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
+p AS (
+  SELECT r, k, kind, ms[i] AS x, regexp_replace(ms[i], '[^0-9]', '', 'g') AS g,
+    CAST(coalesce(list_sum(list_transform(ps[1:i], lambda v: length(v))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda v: length(v))), 0) AS BIGINT) AS a FROM s),
+good AS (
+  SELECT r, k, kind, a, a + length(x) AS b FROM p WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda v: length(ltrim(v, '0')) > 3 OR CAST('0' || left(ltrim(v, '0'), 3) AS INT) > 255)) = 0
+    WHEN 'card' THEN length(g) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda n:
+      CASE WHEN n % 2 = 1 THEN CAST(reverse(g)[n] AS INT) ELSE CAST(reverse(g)[n] AS INT) * 2 // 10 + CAST(reverse(g)[n] AS INT) * 2 % 10 END)) % 10 = 0
+    WHEN 'phone' THEN length(g) BETWEEN 10 AND 15 ELSE true END),
+one AS (
+  SELECT r, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _BASE)}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM good GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _BASE)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN one USING (r)
+"""
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,5 +216,6 @@ FROM documents o JOIN d ON d.text = coalesce(o.text, '') JOIN class USING (r) LE
 
 QUERIES = {
     "op1_toxicity": op1_toxicity, "op2_suffixes": op2_suffixes, "op3_embeddings": op3_embeddings, "op6_windows": op6_windows, "op7_jaccard": op7_jaccard, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_chat": op10_chat,
+    "simhash_edits": simhash_edits, "simhash_near": simhash_near, "pii_base": pii_base,
 }
-ORACLES = {"op3_embeddings": OP3_SQL, "op5_mixing": OP5_SQL, "op6_windows": OP6_SQL, "op7_jaccard": OP7_SQL, "op10_chat": OP10_SQL}
+ORACLES = {"op3_embeddings": OP3_SQL, "op5_mixing": OP5_SQL, "op6_windows": OP6_SQL, "op7_jaccard": OP7_SQL, "op10_chat": OP10_SQL, "simhash_edits": EDITS_SQL, "pii_base": BASE_SQL}

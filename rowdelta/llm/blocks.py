@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, text_or_empty
+from .common import in_batches, shuffle_width, text_or_empty
 
 BLOCK_BYTES = 6 << 20
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
@@ -28,6 +28,21 @@ def counts(docs: DataFrame, text_col: str = "text", size: int = BLOCK_BYTES) ->
     return max(width, n), max(width, n // 2)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``most`` bytes, so that what a task sends to a block is a few large parts."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield from whole()
+            held, size = [], 0
+    if held:
+        yield from whole()
+
+
 def dealt(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (block, data): texts as compressed Arrow streams. Copies of a text fall into different blocks, as the id decides too."""
     block = F.pmod(F.xxhash64(F.col(id_col), text_or_empty(text_col), F.lit(3)), F.lit(n)).cast("int")
@@ -35,7 +50,7 @@ def dealt(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
-        for batch in batches:
+        for batch in gathered(batches):
             blocks = batch.column("block").to_numpy()
             order = np.argsort(blocks, kind="stable")
             cuts = np.flatnonzero(np.diff(blocks[order])) + 1
@@ -49,7 +64,7 @@ def dealt(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text
                 out.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(out, pa.binary())], ["block", "data"])
 
-    return rows.mapInArrow(run, "block int, data binary")
+    return in_batches(rows).mapInArrow(run, "block int, data binary")
 
 
 def opened(group: pa.Table) -> Iterator[tuple[pa.Array, pa.Array]]:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 CAPACITY = 1024
 #: Pieces of a group, about: enough for little padding, few enough for a small task.
 GROUP = 4096
@@ -130,6 +132,6 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).collect()[0]
     groups = max(1, -(-(rows + size // (4 * capacity)) // group))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    pieces = texts.mapInArrow(_cutter(tokenizer, ranks, capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = in_batches(texts).mapInArrow(_cutter(tokenizer, ranks, capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(17)), F.lit(groups)).cast("long"))
     return dealt.groupBy("_group").applyInArrow(_first_fit(capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

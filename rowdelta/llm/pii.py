@@ -16,6 +16,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("url", "iban", "account", "address", "secret")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -188,7 +190,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(at))], ["doc_id", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long>>")
+    return in_batches(docs).select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def mask(text: str) -> str:
@@ -217,4 +219,4 @@ def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "
                 columns[n] = pa.array([o if t is None else len(t) for t, o in zip(texts, old, strict=True)], columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, text_or_empty
+from .common import cut, in_batches, text_or_empty
 
 FIT_ROWS = 4000
 PREFIXES = range(3, 9)
@@ -119,13 +119,21 @@ def held_out(id_col: str = "doc_id"):
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each word and beginning of a word, in how many toxic and clean texts it is; summed within the task first."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def summed() -> pa.RecordBatch:
+        keys = list(counts[0].keys() | counts[1].keys())
+        out = pa.RecordBatch.from_pydict({"gram": keys, "clean": [counts[0][k] for k in keys], "toxic": [counts[1][k] for k in keys]}, pa.schema([("gram", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
+        counts[0].clear(), counts[1].clear()
+        return out
+
     for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
             words = set(fold(text).split())
             counts[y].update({f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) >= k})
-        keys = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_pydict({"gram": keys, "clean": [counts[0][k] for k in keys], "toxic": [counts[1][k] for k in keys]}, pa.schema([("gram", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
+        if len(counts[0]) + len(counts[1]) > 200_000:
+            yield summed()
+    yield summed()
 
 
 def _contexts(grams: list[str]):
@@ -188,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = marked.where(~held_out("_id")).groupBy("_id").agg(F.max("y").alias("y"))
     order = F.xxhash64("_id")
     few = marked.where("y = 1").orderBy(order, "_id").limit(rows).unionByName(marked.where("y = 0").orderBy(order, "_id").limit(rows))
-    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
+    texts = in_batches(docs).select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
     sample = cut(texts.join(F.broadcast(few), "_id").select("text", "y"))  # at most 2 * rows ids are sent
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     lexicon = Lexicon(entries=dict(seed_entries or {}))
@@ -262,7 +270,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
             scores = _scores(lexicon, machine, batch.column(names.index(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "tox_score"])
 
-    return rest.mapInArrow(run, schema)
+    return in_batches(rest).mapInArrow(run, schema)
 
 
 def reject_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -274,4 +282,4 @@ def reject_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text
         for batch in batches:
             yield batch.filter(pa.array(_scores(lexicon, machine, batch.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

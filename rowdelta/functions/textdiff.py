@@ -11,12 +11,16 @@ CHANGES = "array<struct<added:boolean,removed:boolean,value:string>>"
 _TOKENS = re.compile(r"\s+|\S+")
 
 
-def _script(a: list[str], b: list[str], most: int) -> list[tuple[bool, bool, str]]:
-    """A shortest edit script by Myers' greedy search, walked back over the kept frontiers; all of a for all of b beyond ``most`` edits."""
+#: Edits up to which all frontiers of a search are kept; texts further apart are parted in the middle of a shortest script first.
+KEPT = 2000
+
+
+def _script(a: list[str], b: list[str], kept: int) -> list[tuple[bool, bool, str]]:
+    """A shortest edit script by Myers' greedy search, walked back over the kept frontiers."""
     n, m = len(a), len(b)
     frontiers: list[dict[int, int]] = []
     front = {1: 0}
-    for d in range(min(n + m, most) + 1):
+    for d in range(min(n + m, kept) + 1):
         frontiers.append(front.copy())
         for k in range(-d, d + 1, 2):
             down = k == -d or (k != d and front.get(k - 1, -1) < front.get(k + 1, -1))
@@ -26,7 +30,31 @@ def _script(a: list[str], b: list[str], most: int) -> list[tuple[bool, bool, str
             front[k] = x
             if x >= n and x - k >= m:
                 return _walk_back(a, b, frontiers)
-    return [(False, True, t) for t in a] + [(True, False, t) for t in b]
+    frontiers.clear()
+    x, y = _middle(a, b)
+    return _script(a[:x], b[:y], kept) + _script(a[x:], b[y:], kept)
+
+
+def _middle(a: list[str], b: list[str]) -> tuple[int, int]:
+    """A place in the middle of a shortest script: searches from both ends, keeping one frontier each, until they meet."""
+    n, m = len(a), len(b)
+    gap = n - m
+    ahead, back = {1: 0}, {1: 0}  # the back search runs over both texts reversed
+    for d in range((n + m + 1) // 2 + 1):
+        for front, other, forward in ((ahead, back, True), (back, ahead, False)):
+            for k in range(-d, d + 1, 2):
+                x = front[k + 1] if k == -d or (k != d and front.get(k - 1, -1) < front.get(k + 1, -1)) else front[k - 1] + 1
+                if forward:
+                    while x < n and x - k < m and a[x] == b[x - k]:
+                        x += 1
+                else:
+                    while x < n and x - k < m and a[n - 1 - x] == b[m - 1 - x + k]:
+                        x += 1
+                front[k] = x
+                met = gap - k
+                if (gap % 2 == 1) == forward and abs(met) <= (d - 1 if forward else d) and met in other and x + other[met] >= n:
+                    return (x, x - k) if forward else (n - x, m - x + k)
+    return n, m
 
 
 def _walk_back(a: list[str], b: list[str], frontiers: list[dict[int, int]]) -> list[tuple[bool, bool, str]]:
@@ -47,12 +75,12 @@ def _walk_back(a: list[str], b: list[str], frontiers: list[dict[int, int]]) -> l
     return out[::-1]
 
 
-def word_changes(old: str | None, new: str | None, case_sensitive: bool = True, most: int = 2000) -> list[tuple[bool, bool, str]]:
+def word_changes(old: str | None, new: str | None, case_sensitive: bool = True) -> list[tuple[bool, bool, str]]:
     """(added, removed, value) for each word and each run of white space.
 
     Without case sensitivity the lower-cased texts are compared and returned. Nulls count as empty. Values that aren't added make the
-    old text, those that aren't removed the new one. The script is a shortest one of up to ``most`` edits; texts further apart
-    than that are one removal and one addition between their common beginning and end.
+    old text, those that aren't removed the new one. The script is a shortest one, however far the texts are apart; the time grows with their length
+    times the edits.
     """
     a, b = (_TOKENS.findall(t if case_sensitive else t.lower()) for t in (old or "", new or ""))
     head = 0
@@ -62,7 +90,7 @@ def word_changes(old: str | None, new: str | None, case_sensitive: bool = True,
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     same = lambda ts: [(False, False, t) for t in ts]
-    return same(a[:head]) + _script(a[head : len(a) - tail], b[head : len(b) - tail], most) + same(a[len(a) - tail :])
+    return same(a[:head]) + _script(a[head : len(a) - tail], b[head : len(b) - tail], KEPT) + same(a[len(a) - tail :])
 
 
 def word_diff(old: Column, new: Column, case_sensitive: bool = True) -> Column:

@@ -4,9 +4,9 @@ The exact phase is a bag join. What is left on both sides is matched in two aggr
 score (of equal ones the lowest), and each target row takes the best proposal (again the lowest). Ranks and ties are by row index, so results
 don't depend on the order of work.
 
-Rows that share a cell meet in that cell's block. A block may be large, a common value is in most rows, so blocks are cut into chunks
-and each pair of chunks is one bounded task, which returns the best partner for each source row it has seen: the pairs
-themselves are never rows of a table.
+Rows that share a cell meet in that cell's block. Small blocks are joined and scored in whole batches. A block may be large, a common value is in
+most rows, so large blocks are cut into chunks and each pair of chunks is one bounded task, which returns the best partner for each source row
+it has seen: their pairs are never rows of a table.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from rowdelta.sources.dataset import INDEX, Dataset
 
 #: Rows of a side in a chunk of a block.
 CHUNK = 512
+#: Blocks of so many pairs at most are compared as joined rows; only larger ones are worth tasks of their own.
+SMALL = 256
 #: A fingerprint with more rows than this is numbered in slices of the row index, so that no task has to sort them all.
 HOT_ROWS = 1_000_000
 
@@ -178,14 +180,21 @@ def _compared(source: Dataset, target: Dataset, options: DiffOptions, pick: Call
         s, t = whole(source), whole(target)
     else:
         s_cells, t_cells = cells(source, columns, options, False), cells(target, columns, options, True)
-        count = lambda df, name: df.groupBy("col", "val").agg(chunks(F.count(F.lit(1))).alias(name))
-        sizes = count(s_cells, "n_s").join(count(t_cells, "n_t"), ["col", "val"])
-        sizes = sizes.repartition(int(source.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        s, t = s_cells.join(sizes, ["col", "val"]).join(rows(source), "idx"), t_cells.join(sizes, ["col", "val"]).join(rows(target), "idx")
+        count = lambda df, name: df.groupBy("col", "val").agg(F.count(F.lit(1)).alias(name))
+        sizes = count(s_cells, "n_s").join(count(t_cells, "n_t"), ["col", "val"]).withColumn("small", F.col("n_s") * F.col("n_t") <= SMALL)
+        sizes = settled(sizes.repartition(int(source.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        few = sizes.where("small").select("col", "val")
+        pairs = s_cells.withColumnRenamed("idx", "source_idx").join(few, ["col", "val"]).join(t_cells.withColumnRenamed("idx", "target_idx"), ["col", "val"]).select("source_idx", "target_idx").distinct()
+        scored = score_pairs(pairs, source, target, options).where(F.col("score") > options.threshold).select("source_idx", "score", "target_idx")
+        if sizes.where("not small").isEmpty():
+            return scored
+        many = sizes.where("not small").select("col", "val", chunks(F.col("n_s")).alias("n_s"), chunks(F.col("n_t")).alias("n_t"))
+        s, t = s_cells.join(many, ["col", "val"]).join(rows(source), "idx"), t_cells.join(many, ["col", "val"]).join(rows(target), "idx")
     keys = ["col", "val", "i", "j"]
     left = s.withColumns({"i": part("n_s"), "j": every("n_t")}).select(*keys, "idx", "row")
     right = t.withColumns({"j": part("n_t"), "i": every("n_s")}).select(*keys, "idx", "row")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_in_chunks(options.similarity, pick), _FOUND)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_in_chunks(options.similarity, pick), _FOUND)
+    return found if all_pairs else found.unionByName(scored)
 
 
 def best_targets(source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:
@@ -224,25 +233,30 @@ def greedy_matches(source: Dataset, target: Dataset, options: DiffOptions, all_p
     That outcome is what deferred acceptance gives when every target prefers the lowest source row: in each round the unmatched source
     rows propose to their best target that hasn't turned them down, and a target keeps the lowest proposer. Only pairs above the threshold are
     rows; ``all_pairs`` drops the demand for a shared cell. Returns source_idx, target_idx, score (null if exact).
+
+    Copies wish for the same targets in the same order, so the k-th of them is turned down by the first k - 1 for certain and begins with
+    the k-th. Their wishes are looked up by number, never listed: n copies on both sides cost n rows and no round of their own.
     """
     s_fp = source.df.select(F.col(INDEX).alias("source_idx"), fingerprint_of(source, source, options).alias("fp"))
     t_fp = target.df.select(F.col(INDEX).alias("target_idx"), fingerprint_of(target, source, options).alias("fp"))
-    exact = s_fp.join(t_fp, "fp").select("source_idx", "target_idx", F.lit(None).cast("double").alias("score"))
-    fuzzy = good_pairs(source, target, options, all_pairs)
-    wishes = exact.unionByName(fuzzy.join(exact.select("source_idx", "target_idx"), ["source_idx", "target_idx"], "left_anti"))
-    choice = Window.partitionBy("source_idx").orderBy(F.col("score").isNotNull(), F.col("score").desc(), F.when(F.col("score").isNull(), -F.col("target_idx")).otherwise(F.col("target_idx")))
-    wishes = settled(wishes.withColumn("wish", F.row_number().over(choice)))
-    turned_down = wishes.select("source_idx", F.lit(0).alias("down")).distinct()
+    copies = settled(ranked_in_bag(t_fp, "fp", "target_idx", "number", True))
+    counts = copies.groupBy("fp").agg(F.count(F.lit(1)).alias("n_copies"))
+    sources = ranked_in_bag(s_fp, "fp", "source_idx", "place", False).join(counts, "fp", "left").select("source_idx", "fp", "place", F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
+    sources = settled(sources)
+    other = good_pairs(source, target, options, all_pairs).join(s_fp.withColumnRenamed("fp", "s_fp"), "source_idx").join(t_fp.withColumnRenamed("fp", "t_fp"), "target_idx").where("s_fp != t_fp")
+    choice = Window.partitionBy("source_idx").orderBy(F.col("score").desc(), F.col("target_idx"))
+    fuzzy = settled(other.select("source_idx", "target_idx", "score", F.row_number().over(choice).alias("wish")))
+    down = sources.select("source_idx", "fp", "n_copies", F.least(F.col("place") - 1, F.col("n_copies")).cast("long").alias("down"))
     while True:
-        # The next wish of each row is the one after those that were turned down.
-        now = wishes.join(turned_down, "source_idx").where(F.col("wish") == F.col("down") + 1).drop("down")
+        # The next wish of each row is the one after those that turned it down: first the copies, then the others.
+        exact = down.where("down < n_copies").join(copies.select("fp", "number", "target_idx"), (down.fp == copies.fp) & (F.col("number") == F.col("down") + 1)).select("source_idx", "target_idx", F.lit(None).cast("double").alias("score"))
+        rest = down.where("down >= n_copies").select("source_idx", (F.col("down") - F.col("n_copies") + 1).alias("wish")).join(fuzzy, ["source_idx", "wish"]).select("source_idx", "target_idx", "score")
+        now = settled(exact.unionByName(rest))
         held = now.groupBy("target_idx").agg(F.min("source_idx").alias("keeper"))
-        losers = now.join(held, "target_idx").where("source_idx != keeper").select("source_idx")
+        losers = now.join(held, "target_idx").where("source_idx != keeper").select("source_idx", F.lit(1).alias("one"))
         if losers.isEmpty():
-            return now.select("source_idx", "target_idx", "score")
-        bumped = losers.withColumn("one", F.lit(1))
-        turned_down = turned_down.join(bumped, "source_idx", "left").select("source_idx", (F.col("down") + F.coalesce("one", F.lit(0))).alias("down"))
-        turned_down = settled(turned_down)
+            return now
+        down = settled(down.join(losers, "source_idx", "left").select("source_idx", "fp", "n_copies", (F.col("down") + F.coalesce("one", F.lit(0))).alias("down")))
 
 
 def content_diff(source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:

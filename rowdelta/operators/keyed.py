@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +32,25 @@ def duplicate_keys(data: Dataset, options: DiffOptions) -> DataFrame:
     return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(INDEX).alias("first_idx")).where("n > 1")
 
 
+def duplicate_error(label: str, key: str) -> ValueError:
+    return ValueError(f"Duplicate Primary Key found in {label}: \"{key}\". Primary Keys must be unique.")
+
+
 def check_unique(data: Dataset, options: DiffOptions, label: str) -> None:
     """Raise for the first row in file order whose key an earlier row has."""
-    twice = duplicate_keys(data, options)
-    if twice.isEmpty():
+    check_all_unique([(data, label)], options)
+
+
+def check_all_unique(sides: list[tuple[Dataset, str]], options: DiffOptions) -> None:
+    """The same for several datasets, the first of them first, with one pass over the keys of all."""
+    keys = [data.df.select(F.lit(n).alias("side"), key_of(data, options).alias("key")) for n, (data, _) in enumerate(sides)]
+    counted = reduce(DataFrame.unionByName, keys).groupBy("side", "key").agg(F.count(F.lit(1)).alias("n"))
+    bad = counted.where("n > 1").agg(F.min("side")).first()[0]
+    if bad is None:
         return
-    rows = data.df.select(key_of(data, options).alias("key"), INDEX).join(twice, "key").where(F.col(INDEX) > F.col("first_idx"))
-    key = rows.agg(F.min_by("key", INDEX)).first()[0]
-    raise ValueError(f"Duplicate Primary Key found in {label}: \"{key}\". Primary Keys must be unique.")
+    data, label = sides[bad]
+    rows = data.df.select(key_of(data, options).alias("key"), INDEX).join(duplicate_keys(data, options), "key").where(F.col(INDEX) > F.col("first_idx"))
+    raise duplicate_error(label, rows.agg(F.min_by("key", INDEX)).first()[0])
 
 
 def last_of_each_key(data: Dataset, options: DiffOptions) -> Dataset:
@@ -62,6 +75,5 @@ def keyed_diff(source: Dataset, target: Dataset, options: DiffOptions, check: bo
     if options.on_duplicate == "last":
         source, target = last_of_each_key(source, options), last_of_each_key(target, options)
     elif check:
-        check_unique(source, options, "source")
-        check_unique(target, options, "target")
+        check_all_unique([(source, "source"), (target, "target")], options)
     return unified(keyed_pairs(source, target, options), source, target, options, F.col("_key"), F.col("_status"))

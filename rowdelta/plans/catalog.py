@@ -12,18 +12,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowdelta.functions.keys import fingerprint, row_key
+from rowdelta.functions.keys import fingerprint, fingerprint_hash, row_key
 from rowdelta.functions.normalize import normalized
 from rowdelta.functions.similarity import jaro_winkler, normalized_levenshtein
 from rowdelta.functions.textdiff import word_diff
 from rowdelta.operators import content, keyed
-from rowdelta.options import DiffOptions
+from rowdelta.options import DiffOptions, StreamingConfig
 from rowdelta.plans.diff import DiffResult, diff
 from rowdelta.plans.scratch import scratch
-from rowdelta.sources.codec import encode_rows
-from rowdelta.sources.csv_text import read_csv, read_csv_text
+from rowdelta.plans.search import parse_search, remove_token
+from rowdelta.sources.codec import decode_frame, encode_rows, frame_head, to_json
+from rowdelta.sources.csv_text import read_csv, read_csv_text, sample
 from rowdelta.sources.dataset import INDEX, Dataset, from_table, numbered
-from rowdelta.streaming.incremental import Differ
+from rowdelta.streaming.incremental import Differ, StreamingKeyDiff, stream_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Row indexes of a result, -1 where a side has no row.
@@ -46,7 +47,8 @@ class Pair:
 
     def read(self, spark: SparkSession, sf_dir: str) -> tuple[Dataset, Dataset]:
         t = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
-        side = lambda cols, index, where: from_table(t.where(where).selectExpr(f"{index} as _i", *[f"{e} as {n}" for n, e in cols.items()]), "_i", list(cols))
+        cell = lambda n, e: f"CAST({e} AS DECIMAL(18,2)) AS {n}" if n in self.doubles else f"{e} AS {n}"
+        side = lambda cols, index, where: from_table(t.where(where).selectExpr(f"{index} as _i", *[cell(n, e) for n, e in cols.items()]), "_i", list(cols))
         return side(self.source, self.index, self.source_where), side(self.target, self.target_index or self.index, self.where)
 
     def _text(self, name: str, expr: str) -> str:
@@ -96,6 +98,8 @@ SUPPLIERS = Pair(
 )
 NATIONS = Pair("nation", "n_nationkey", _plain("n_nationkey", "n_name", "n_regionkey"), {"id": "n_nationkey", "title": "CASE WHEN n_nationkey % 3 = 0 THEN concat(n_name, 'X') ELSE n_name END", "region": "n_regionkey"}, "n_nationkey % 8 <> 0")
 
+REGIONS = Pair("nation", "n_nationkey", _plain("n_nationkey", "n_name", "n_regionkey"), _plain("n_nationkey", "n_name", "n_regionkey") | {"n_name": "CASE WHEN n_nationkey % 3 = 0 THEN concat(n_name, 'X') ELSE n_name END"}, "n_nationkey % 8 <> 0")
+
 
 # SQL of the pieces.
 
@@ -161,6 +165,36 @@ d AS (SELECT 'unchanged' AS status, si, ti, NULL::DOUBLE AS score FROM exact
   UNION ALL SELECT 'added', NULL, i, NULL FROM rt WHERE i NOT IN (SELECT ti FROM m))"""
 
 
+def _row_score(c: str, a: str, b: str) -> str:
+    """Similarity of two raw cells by the rule ``row``."""
+    x, y = f"{a}.{c}", f"{b}.{c}"
+    return f"CASE WHEN {x} = '' AND {y} = '' THEN 1.0::DOUBLE WHEN strlen({x}) <= 20 AND strlen({y}) <= 20 THEN jaro_winkler_similarity({x}, {y}) ELSE 1 - levenshtein({x}, {y}) / greatest(length({x}), length({y}))::DOUBLE END"
+
+
+def _greedy_sql(p: Pair, o: DiffOptions, all_pairs: bool) -> str:
+    """CTE ``m`` (si, ti, score): each source row in turn takes the last exact copy that is free, or else its best free partner."""
+    names = _cols(p, o)
+    met = "SELECT a.i AS si, b.i AS ti FROM s a, t b" if all_pairs else "\n UNION ".join(f"SELECT a.i AS si, b.i AS ti FROM s a JOIN t b ON a.{c} = b.{c} WHERE trim(a.{c}) <> ''" for c in names)
+    strict = lambda c: f"CASE WHEN a.{c} = b.{c} THEN 1.0::DOUBLE ELSE jaro_winkler_similarity(a.{c}, b.{c}) END"
+    one = " + ".join(_row_score(c, "a", "b") if all_pairs else strict(c) for c in names)
+    same = " AND ".join(f"a.{c} = b.{c}" for c in names)
+    return f"""WITH RECURSIVE {p.sql()},
+met AS ({met}),
+wish AS (
+  SELECT si, ti, CASE WHEN {same} THEN NULL ELSE round(({one}) / {len(names)}, 12) END AS score FROM met JOIN s a ON a.i = si JOIN t b ON b.i = ti),
+turn AS MATERIALIZED (SELECT i, row_number() OVER (ORDER BY i) AS n FROM s),
+w AS MATERIALIZED (
+  SELECT turn.n, si, ti, score, row_number() OVER (PARTITION BY si ORDER BY score IS NOT NULL, score DESC, CASE WHEN score IS NULL THEN -ti ELSE ti END) AS r
+  FROM wish JOIN turn ON turn.i = si WHERE score IS NULL OR score > {o.threshold}),
+g(n, taken, ti) AS (
+  SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT
+  UNION ALL
+  SELECT n + 1, CASE WHEN ti IS NULL THEN taken ELSE list_append(taken, ti) END, ti FROM (
+    SELECT g.n, g.taken, CAST(arg_min(w.ti, w.r) AS BIGINT) AS ti FROM g LEFT JOIN w ON w.n = g.n + 1 AND NOT list_contains(g.taken, w.ti)
+    WHERE g.n < (SELECT count(*) FROM s) GROUP BY g.n, g.taken)),
+m AS (SELECT turn.i AS si, g.ti, w.score FROM g JOIN turn USING (n) LEFT JOIN w ON w.n = g.n AND w.ti = g.ti)"""
+
+
 # The queries.
 
 QUERIES: dict[str, Query] = {}
@@ -230,6 +264,26 @@ def _keyed_queries() -> None:
     _register("pk_chunk", chunk, f"{base_chunk.replace('ORDER BY CAST(o_orderkey AS BIGINT)', 'ORDER BY ' + _O_NEW['o_orderkey'])} SELECT status, key FROM d WHERE status <> 'removed'")
 
 
+    def last_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, target = ORDERS.read(spark, sf_dir)
+        differ = Differ(source, Dataset(numbered(target.df.drop(INDEX), INDEX, [F.col("c0").cast("long")]), target.headers), o)
+        return differ.chunk(differ.total - 50, 50).select("status", "key")
+
+    _register("pk_last_chunk", last_chunk, f"""{_key_sql(ORDERS, o)} SELECT status, key FROM d WHERE status = 'removed'
+UNION ALL SELECT status, key FROM (SELECT status, key FROM d WHERE status <> 'removed' ORDER BY CAST(key AS BIGINT) DESC LIMIT 50)""")
+
+    def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The target arrives as CSV files, a few to a micro-batch."""
+        source, target = ORDERS.read(spark, sf_dir)
+        path = scratch(spark, "orders-stream")
+        target.named().drop(INDEX).repartition(4, "o_orderkey").write.option("header", True).option("escape", '"').csv(f"{path}/in")
+        differ = StreamingKeyDiff(source, target.headers, o, f"{path}/out")
+        differ.start(stream_csv(spark, f"{path}/in", target.headers, files_per_batch=2)).awaitTermination()
+        return differ.finish().select("status", "key")
+
+    _register("stream_key_diff", streamed, f"{base} SELECT status, key FROM d")
+
+
 def _content_queries() -> None:
     o = DiffOptions(**STRICT)
     base = _content_sql(SUPPLIERS, o)
@@ -262,6 +316,21 @@ def _content_queries() -> None:
     _register("content_default_flags", lambda s, d: _run(SUPPLIERS, loose)(s, d).rows.select("status", "key"), f"{_content_sql(SUPPLIERS, loose)} SELECT status, key FROM ({label})")
     _register("content_header_align", lambda s, d: _run(NATIONS, o)(s, d).rows.selectExpr("status", "key", *_INDEXES), f"{_content_sql(NATIONS, o)} SELECT status, key, source_idx, target_idx FROM ({label})")
 
+    greedy = o.but(strategy="greedy")
+    whole = """ SELECT CASE WHEN ti IS NULL THEN 'removed' WHEN score IS NULL THEN 'unchanged' ELSE 'modified' END AS status, 'Row ' || (si + 1) AS key, si AS source_idx, CAST(coalesce(ti, -1) AS BIGINT) AS target_idx FROM m
+UNION ALL SELECT 'added', 'Row ' || (i + 1), -1, i FROM t WHERE i NOT IN (SELECT ti FROM m WHERE ti IS NOT NULL)"""
+    _register("content_greedy", lambda s, d: _run(SUPPLIERS, greedy)(s, d).rows.selectExpr("status", "key", *_INDEXES), _greedy_sql(SUPPLIERS, greedy, False) + whole)
+
+    close = o.but(threshold=0.85)
+
+    def in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Differ(*REGIONS.read(spark, sf_dir), close, StreamingConfig(chunk_size=9)).chunks().rows.selectExpr("status", "key", *_INDEXES)
+
+    _register("content_chunks", in_chunks, f"""{_greedy_sql(REGIONS, close, True)}
+ SELECT CASE WHEN ti IS NULL THEN 'removed' WHEN score IS NULL THEN 'unchanged' ELSE 'modified' END AS status,
+  CASE WHEN ti IS NULL THEN 'Removed ' || row_number() OVER (PARTITION BY ti IS NULL, si // 9 ORDER BY si) ELSE 'Row ' || (si + 1) END AS key, CAST(si AS BIGINT) AS source_idx, CAST(coalesce(ti, -1) AS BIGINT) AS target_idx FROM m
+UNION ALL SELECT 'added', 'Added ' || row_number() OVER (ORDER BY i), -1, i FROM t WHERE i NOT IN (SELECT ti FROM m WHERE ti IS NOT NULL)""")
+
     def bag(spark: SparkSession, sf_dir: str) -> DataFrame:
         return content.exact_phase(*LINES.read(spark, sf_dir), o).agg(
             F.count(F.when(F.col("s_idx").isNotNull() & F.col("t_idx").isNotNull(), 1)).alias("matched"),
@@ -296,8 +365,9 @@ def _function_queries() -> None:
     _register("row_key", lambda s, d: part(s, d).select("p_partkey", row_key([F.col("p_brand"), F.col("p_type"), F.col("p_partkey").cast("string")]).alias("key")), "SELECT p_partkey, p_brand || '|' || p_type || '|' || p_partkey AS key FROM part")
     _register("normalized_values", lambda s, d: s.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey", f"{CUSTOMER.target['c_name']} as c_name", f"{CUSTOMER.target['c_mktsegment']} as seg").select("c_custkey", normalized(F.col("c_name"), o).alias("c_name"), normalized(F.col("seg"), o).alias("seg")),
               f"SELECT c_custkey, {_norm('c_name', o)} AS c_name, {_norm('seg', o)} AS seg FROM (SELECT c_custkey, {CUSTOMER.target['c_name']} AS c_name, {CUSTOMER.target['c_mktsegment']} AS seg FROM customer)")
-    names = lambda s, d: part(s, d).select(F.col("p_name").alias("a")).distinct().crossJoin(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("b")))
-    pairs = "(SELECT a, b FROM (SELECT DISTINCT p_name AS a FROM part), (SELECT n_name AS b FROM nation))"
+    nation = lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.col("n_name").alias("b"))
+    names = lambda s, d: part(s, d).select(F.col("p_name").alias("a"), (F.col("p_partkey") % 25).alias("n_nationkey")).join(nation(s, d), "n_nationkey").select("a", "b").distinct()
+    pairs = "(SELECT DISTINCT p_name AS a, n_name AS b FROM part JOIN nation ON n_nationkey = p_partkey % 25)"
     _register("similarity_jaro_winkler", lambda s, d: names(s, d).select("a", "b", F.round(jaro_winkler(F.col("a"), F.col("b")), 6).alias("score")), f"SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS score FROM {pairs}")
     _register("similarity_levenshtein", lambda s, d: names(s, d).select("a", "b", F.round(normalized_levenshtein(F.col("a"), F.col("b")), 6).alias("score")), f"SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE, 6) AS score FROM {pairs}")
     rule = DiffOptions(similarity="row", **STRICT)
@@ -307,7 +377,7 @@ def _function_queries() -> None:
         same = source.df.select(F.col(INDEX).alias("source_idx")).join(target.df.select(F.col(INDEX).alias("target_idx")), F.col("source_idx") == F.col("target_idx"))
         return content.score_pairs(same, source, target, rule).select("source_idx", "target_idx", F.round("score", 6).alias("score"))
 
-    one = lambda c: f"CASE WHEN s.{c} = '' AND t.{c} = '' THEN 1.0::DOUBLE WHEN strlen(s.{c}) <= 20 AND strlen(t.{c}) <= 20 THEN jaro_winkler_similarity(s.{c}, t.{c}) ELSE 1 - levenshtein(s.{c}, t.{c}) / greatest(length(s.{c}), length(t.{c}))::DOUBLE END"
+    one = lambda c: _row_score(c, "s", "t")
     _register("row_similarity", rows, f"WITH {SUPPLIERS.sql()} SELECT s.i AS source_idx, t.i AS target_idx, round(({' + '.join(one(c) for c in _S)}) / {len(_S)}, 6) AS score FROM s JOIN t ON s.i = t.i")
 
     def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,6 +387,16 @@ def _function_queries() -> None:
         return d.select("p_partkey", back("added").alias("old"), back("removed").alias("new"), F.size(F.filter("d", lambda x: x["added"] | x["removed"])).cast("long").alias("n_changes"))
 
     _register("word_diff", words, "SELECT p_partkey, p_name AS old, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name || ' end' ELSE p_name END AS new, CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 0 END::BIGINT AS n_changes FROM part")
+
+    def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+        both = part(spark, sf_dir).select("p_partkey", F.col("p_name").alias("old"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("New "), F.upper("p_name"))).otherwise(F.upper("p_name")).alias("new"))
+        d = both.select("*", word_diff(F.col("old"), F.col("new"), False).alias("d"))
+        return d.select("p_partkey", F.array_join(F.transform(F.filter("d", lambda x: ~x["removed"]), lambda x: x["value"]), "").alias("new"), F.size(F.filter("d", lambda x: x["added"] | x["removed"])).cast("long").alias("n_changes"))
+
+    _register("word_diff_case", folded, "SELECT p_partkey, lower(CASE WHEN p_partkey % 3 = 0 THEN 'New ' || p_name ELSE p_name END) AS new, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS n_changes FROM part")
+    prints = " || chr(124) || chr(124) || ".join(f"({_norm(f'CAST({c} AS VARCHAR)', o)})" for c in _P)
+    _register("fingerprint_hash_groups", lambda s, d: part(s, d).groupBy(fingerprint_hash(cells(), o)).agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("groups")),
+              f"SELECT n, count(*) AS groups FROM (SELECT count(*) AS n FROM (SELECT {prints} AS fp FROM part) GROUP BY fp) GROUP BY n")
     _register("benchmark_parallel", lambda s, d: s.range(1_000_000).select(F.sum(F.col("id") * F.col("id")).alias("sum_of_squares")), "SELECT CAST(sum(i * i) AS BIGINT) AS sum_of_squares FROM range(1000000) r(i)")
 
 
@@ -337,6 +417,8 @@ def _view_queries() -> None:
         ("search_groups", "added high OR removed low", f"(contains({text}, 'added') AND contains({text}, 'high')) OR (contains({text}, 'removed') AND contains({text}, 'low'))"),
     ):
         _register(name, lambda s, d, query=query: view(s, d).search(query).table(), f"{base} SELECT {shown} FROM d WHERE {sql}")
+    _register("search_token_removed", lambda s, d: view(s, d).search(remove_token(parse_search("modified urgent -x"), 1)).table(), f"{base} SELECT {shown} FROM d WHERE contains({text}, 'modified') AND NOT contains({text}, 'x')")
+    _register("view_shown_again", lambda s, d: view(s, d).hide("o_totalprice", "o_orderdate").show("o_orderdate").only_differences().table(), f"{base} SELECT * EXCLUDE (o_totalprice) FROM (SELECT {shown} FROM d WHERE status <> 'unchanged')")
     _register("view_union_columns", lambda s, d: _run(ORDERS_FEWER, o)(s, d).view().table(),
               f"{_key_sql(ORDERS_FEWER, o)} SELECT status, key, {new('o_orderkey')} AS o_orderkey, coalesce(t_o_orderdate, '') AS o_orderdate, {new('o_orderstatus').replace('t_o', 'CASE WHEN status = chr(117) THEN NULL ELSE t_o') .replace('o_orderstatus,', 'o_orderstatus END,', 1)} AS o_orderstatus, coalesce(s_o_custkey, '') AS o_custkey, coalesce(s_o_orderpriority, '') AS o_orderpriority FROM (SELECT * REPLACE (CASE WHEN status = 'unchanged' THEN '' ELSE t_o_orderdate END AS t_o_orderdate) FROM d)")
     _register("view_show_only_diffs", lambda s, d: view(s, d).only_differences().table(), f"{base} SELECT {shown} FROM d WHERE status <> 'unchanged'")
@@ -355,7 +437,23 @@ def _view_queries() -> None:
         rows = _run(CUSTOMER, _key_options("c_custkey"))(spark, sf_dir).rows
         return encode_rows(rows).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("data")).alias("n_bytes"))
 
+    def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Rows encoded in tasks and decoded there again, each as a frame of its own."""
+        rows = _run(CUSTOMER, _key_options("c_custkey"))(spark, sf_dir).rows
+
+        @F.udf("key string, name string, n_differences long", useArrow=True)
+        def decoded(status: str, data: bytes):
+            found = decode_frame(frame_head({status: 1}) + bytes(data))[status][0]
+            row = found.get("targetRow") or found.get("sourceRow") or found.get("row")
+            return {"key": found["key"], "name": row["c_name"], "n_differences": len(found.get("differences", ()))}
+
+        return encode_rows(rows).select("status", decoded("status", "data").alias("d")).select("status", "d.*")
+
     rule = _key_options("c_custkey")
+    changed = " + ".join(f"CAST(({_norm(f's_{c}', rule)}) <> ({_norm(f't_{c}', rule)}) AS INT)" for c in _C)
+    _register("binary_codec_read_back", read_back, f"{_key_sql(CUSTOMER, rule)} SELECT status, key, CASE WHEN status IN ('added', 'modified') THEN t_c_name ELSE s_c_name END AS name, CAST(CASE WHEN status = 'modified' THEN {changed} ELSE 0 END AS BIGINT) AS n_differences FROM d")
+    as_json = lambda s, d: to_json(_run(CUSTOMER, rule)(s, d).rows).select(*[F.get_json_object("json", f"$.{x}").alias(y) for x, y in (("type", "status"), ("key", "key"), ("targetRow.c_name", "new_name"), ("row.c_name", "same_name"))])
+    _register("json_rows", as_json, f"{_key_sql(CUSTOMER, rule)} SELECT status, key, CASE WHEN status IN ('added', 'modified') THEN t_c_name END AS new_name, CASE WHEN status = 'unchanged' THEN s_c_name END AS same_name FROM d")
     row = lambda a: "4 + " + " + ".join(f"8 + {len(c)} + strlen({a}_{c})" for c in _C)
     diffs = " + ".join(f"CASE WHEN ({_norm(f's_{c}', rule)}) <> ({_norm(f't_{c}', rule)}) THEN 12 + {len(c)} + strlen(s_{c}) + strlen(t_{c}) ELSE 0 END" for c in _C)
     _register("binary_codec_counts", frames, f"{_key_sql(CUSTOMER, rule)} SELECT status, count(*) AS n, CAST(sum(5 + strlen(key) + CASE status WHEN 'added' THEN {row('t')} WHEN 'modified' THEN {row('s')} + {row('t')} + 4 + {diffs} ELSE {row('s')} END) AS BIGINT) AS n_bytes FROM d GROUP BY 1")
@@ -380,9 +478,21 @@ def _source_queries() -> None:
     def first_five(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch(spark, "nation-sample")
         spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").coalesce(1).write.option("header", True).csv(path)
-        return read_csv(spark, path).named().orderBy(INDEX).limit(5).drop(INDEX)
+        names = ["n_nationkey", "n_name", "n_regionkey"]
+        return spark.createDataFrame([[row[n] for n in names] for row in sample(read_csv(spark, path))], ", ".join(f"{n} string" for n in names))
 
     _register("csv_sample5", first_five, "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation ORDER BY nation.n_nationkey LIMIT 5")
+
+    def many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A large table in many sorted files, read in splits."""
+        path = scratch(spark, "orders-csv")
+        names = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*names)
+        orders.repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", False).csv(path)
+        read = read_csv(spark, path, has_headers=False).named()
+        return read.select(*[F.col(f"Column{i + 1}").alias(n) for i, n in enumerate(names)])
+
+    _register("csv_many_files", many_files, "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
     text = 'id,note\n1,"a, b"\n2,"say ""x"""\n3,\n'
     _register("csv_text", lambda s, d: read_csv_text(s, text).named().drop(INDEX), "SELECT * FROM (VALUES ('1', 'a, b'), ('2', 'say \"x\"'), ('3', '')) v(id, note)")
 

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, which all executors share; a temporary folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowdelta-")
+    """A new path below ``spark.checkpoint.dir``, which all executors share; a temporary folder only on a single machine where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
+        base = tempfile.mkdtemp(prefix="rowdelta-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 

@@ -57,11 +57,15 @@ def encode_rows(rows: DataFrame) -> DataFrame:
     return rows.select("status", encode("status", "key", "source_row", "target_row", "differences").alias("data"))
 
 
+def frame_head(counts: dict[str, int]) -> bytes:
+    return struct.pack("<5I", sum(counts.values()), *[counts.get(s, 0) for s in _ORDER])
+
+
 def to_binary_frame(rows: DataFrame) -> bytes:
     """A whole frame, for export of a result that fits the driver; ``encode_rows`` is the form for large ones."""
     encoded = encode_rows(rows).persist()
     counts = {r["status"]: r["count"] for r in encoded.groupBy("status").count().collect()}
-    head = struct.pack("<5I", sum(counts.values()), *[counts.get(s, 0) for s in _ORDER])
+    head = frame_head(counts)
     rank = F.array_position(F.array(*[F.lit(s) for s in _ORDER]), F.col("status"))
     body = b"".join(bytes(r["data"]) for r in encoded.orderBy(rank).toLocalIterator())
     encoded.unpersist()

@@ -60,9 +60,12 @@ class Dataset:
 
 
 def as_text(column: Column, kind: T.DataType) -> Column:
-    """A typed cell as text: doubles and floats by two decimals, everything else by Spark's cast; null is empty."""
+    """A typed cell as text, by Spark's cast, which gives different doubles different texts; null is empty. Minus zero counts as zero.
+
+    Queries that want rounded numbers cast them to a decimal first.
+    """
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        column = column.cast("decimal(18,2)")
+        column = F.when(column == 0, F.lit(0.0).cast(kind)).otherwise(column)
     return F.coalesce(column.cast("string"), F.lit(""))
 
 

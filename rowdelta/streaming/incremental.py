@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rowdelta.functions.normalize import unicode_trim
 from rowdelta.operators.compare import S, T, side, unified
 from rowdelta.operators.content import align_headers, greedy_matches
-from rowdelta.operators.keyed import check_keys, check_unique, key_of, keyed_pairs
+from rowdelta.operators.keyed import check_keys, check_unique, duplicate_error, key_of, keyed_pairs
 from rowdelta.options import KEY, DiffOptions, StreamingConfig
 from rowdelta.plans.scratch import settled
 from rowdelta.sources.dataset import INDEX, Dataset, numbered
@@ -125,7 +125,7 @@ class StreamingKeyDiff:
 
     Each micro-batch is joined with the source and its added, modified and unchanged rows are appended to ``path/rows``; its keys go to
     ``path/seen``. ``finish`` adds the removed rows: those whose key never came. A batch that is run again after a failure
-    overwrites its own folder, so results are written once.
+    overwrites its own folder, so results are written once. A key that comes twice is an error, within a batch when it arrives, over batches in ``finish``.
     """
 
     def __init__(self, source: Dataset, headers: tuple[str, ...], options: DiffOptions, path: str) -> None:
@@ -137,6 +137,7 @@ class StreamingKeyDiff:
             batch = batch.withColumn(INDEX, F.monotonically_increasing_id())
         target = Dataset(batch.select(F.col(INDEX), *[F.coalesce(F.col(f"`{h}`").cast("string"), F.lit("")).alias(f"c{i}") for i, h in enumerate(self.headers)]).persist(), self.headers)
         check_keys(self.source, target, self.options)
+        check_unique(target, self.options, "target")
         rows = unified(keyed_pairs(self.source, target, self.options, "right"), self.source, target, self.options, F.col("_key"), F.col("_status"))
         rows.write.mode("overwrite").parquet(f"{self.path}/rows/epoch={epoch}")
         target.df.select(key_of(target, self.options).alias("key")).write.mode("overwrite").parquet(f"{self.path}/seen/epoch={epoch}")
@@ -152,6 +153,9 @@ class StreamingKeyDiff:
         spark = self.source.df.sparkSession
         rows = spark.read.parquet(f"{self.path}/rows").drop("epoch")
         seen = spark.read.parquet(f"{self.path}/seen").select(F.col("key").alias("_k"))
+        twice = seen.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.min("_k")).first()[0]
+        if twice is not None:
+            raise duplicate_error("target", twice)
         gone = Dataset(self.source.df.join(seen, key_of(self.source, self.options) == F.col("_k"), "left_anti"), self.source.headers)
         empty = Dataset(self.source.df.where(F.lit(False)), self.source.headers)
         left = keyed_pairs(gone, empty, self.options, "left")

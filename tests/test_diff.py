@@ -211,9 +211,42 @@ def test_stream_of_csv_files(spark, tmp_path):
     assert [c.df.count() for c in source.chunks(15)] == [15, 15, 10]
 
 
+def test_a_key_that_comes_twice_is_an_error(spark, tmp_path):
+    """Within a batch when it arrives, over two batches in the end."""
+    source, _ = (read_csv_text(spark, text) for text in ("id,b\n1,x\n2,y\n", "id,b\n"))
+    o = STRICT.but(mode="primary-key", key_columns=("id",))
+    batch = lambda *rows: spark.createDataFrame(list(rows), "id string, b string")
+    live = StreamingKeyDiff(source, ("id", "b"), o, f"{tmp_path}/out")
+    live._batch(batch(("1", "x"), ("3", "z")), 0)
+    live._batch(batch(("1", "q")), 1)
+    with pytest.raises(ValueError, match='Duplicate Primary Key found in target: "1"'):
+        live.finish()
+    with pytest.raises(ValueError, match="Duplicate Primary Key found in target"):
+        live._batch(batch(("5", "x"), ("5", "z")), 2)
+
+
+def test_greedy_with_many_copies(spark):
+    """Copies on both sides, beside rows that take one of them first, against the loop itself."""
+    rng = random.Random(9)
+    a = [("same", "k", "1")] * 12 + [("same", "k", str(n)) for n in range(3)] + [(rng.choice("xyz"), "k", rng.choice("12")) for _ in range(10)]
+    b = [("same", "k", "1")] * 9 + [("samey", "k", "1"), ("same", "k", "2")] + [(rng.choice("xyz"), "k", rng.choice("12")) for _ in range(8)]
+    rng.shuffle(a), rng.shuffle(b)
+    o = STRICT.but(strategy="greedy", threshold=0.5)
+    score = lambda x, y: round(sum(1.0 if u == v else plain_jaro_winkler(u, v) for u, v in zip(x, y, strict=True)) / 3, 12)
+    free, expected = set(range(len(b))), set()
+    for i, x in enumerate(a):
+        copies = [j for j in free if b[j] == x]
+        good = sorted((-score(x, b[j]), j) for j in free if score(x, b[j]) > 0.5)
+        to = max(copies) if copies else good[0][1] if good else None
+        expected.add((i, to))
+        free.discard(to)
+    found = diff(read_csv_text(spark, csv(a)), read_csv_text(spark, csv(b)), o).rows.where("source_idx is not null").collect()
+    assert {(r.source_idx, r.target_idx) for r in found} == expected
+
+
 def test_row_numbers(spark):
     df = spark.range(1000).repartition(7).select(F.col("id").alias("x"))
     rows = numbered(df, "n", [F.col("x").desc()]).collect()
     assert {(r.x, r.n) for r in rows} == {(999 - k, k) for k in range(1000)}
-    typed = from_table(spark.sql("select 1.005D as d, cast(null as string) as s, timestamp_ntz'2020-01-02 03:04:05' as t, 7 as k"), "k")
-    assert typed.named().first().asDict() == {"_row_idx": 7, "d": "1.01", "s": "", "t": "2020-01-02 03:04:05", "k": "7"}
+    typed = from_table(spark.sql("select 1.005D as d, -0.0D as z, 1e20D as big, double('nan') as nan, cast(null as double) as none, cast(null as string) as s, timestamp_ntz'2020-01-02 03:04:05' as t, 7 as k"), "k")
+    assert typed.named().first().asDict() == {"_row_idx": 7, "d": "1.005", "z": "0.0", "big": "1.0E20", "nan": "NaN", "none": "", "s": "", "t": "2020-01-02 03:04:05", "k": "7"}

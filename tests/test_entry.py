@@ -41,7 +41,7 @@ def test_imports_without_the_training_data_operators(monkeypatch):
 
     def refuse(name, *args, **kwargs):
         if name == "corpus_pipeline" or name.startswith("rowdelta.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *args, **kwargs)
 
     monkeypatch.setattr(builtins, "__import__", refuse)

@@ -1,5 +1,6 @@
 """Scalar functions, the search language and codecs."""
 
+import random
 import re
 
 import numpy as np
@@ -12,6 +13,7 @@ from rowdelta import DiffOptions, diff, read_csv, read_csv_bytes, read_csv_text,
 from rowdelta.functions.keys import fingerprint, fingerprint_hash, row_key
 from rowdelta.functions.normalize import is_empty_or_null, normalized, unicode_trim
 from rowdelta.functions.similarity import edit_distance, jaro_winkler, jaro_winkler_distinct, jaro_winkler_pairs, normalized_levenshtein
+from rowdelta.functions import textdiff
 from rowdelta.functions.textdiff import word_changes, word_diff
 from rowdelta.options import PROFILES, StreamingConfig
 from rowdelta.plans.search import SearchToken, parse_search, remove_token, search_predicate, tokens_to_query
@@ -68,15 +70,37 @@ def test_edit_distance(a, b):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("ab \n", max_size=30), st.text("ab \n", max_size=30), st.sampled_from([0, 3, 2000]))
-def test_word_changes_rebuild_both_texts(old, new, most):
-    changes = word_changes(old, new, most=most)
+@given(st.text("ab \n", max_size=30), st.text("ab \n", max_size=30), st.sampled_from([1, 3, 2000]))
+def test_word_changes_rebuild_both_texts(old, new, kept):
+    was, textdiff.KEPT = textdiff.KEPT, kept
+    try:
+        changes = word_changes(old, new)
+    finally:
+        textdiff.KEPT = was
     assert "".join(v for added, _, v in changes if not added) == old
     assert "".join(v for _, removed, v in changes if not removed) == new
     assert not any(added and removed for added, removed, _ in changes)
     assert (old == new) == (not any(added or removed for added, removed, _ in changes))
 
 
+def test_scripts_are_shortest_in_the_middle_too():
+    rng = random.Random(1)
+    for _ in range(600):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
+        row = [0] * (len(b) + 1)  # longest common subsequence
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        for kept in (1, 2, 5, 1000):
+            script = textdiff._script(a, b, kept)
+            assert [v for added, _, v in script if not added] == a and [v for _, removed, v in script if not removed] == b
+            assert sum(added or removed for added, removed, _ in script) == len(a) + len(b) - 2 * row[-1]
+    far = [" ".join(f"{side}{k}" if k % 2 else f"c{k}" for k in range(2400)) for side in "ab"]
+    assert sum(added or removed for added, removed, _ in word_changes(*far)) == 2400
+
+
 def test_word_changes_are_few():
     assert [c for c in word_changes("Hello World", "Hello Universe") if c[0] or c[1]] == [(False, True, "World"), (True, False, "Universe")]
     assert not any(a or r for a, r, _ in word_changes("Hello World", "hello world", case_sensitive=False))

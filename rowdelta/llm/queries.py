@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, jaccard, mixing, packing, pii, simhash, suffixes, toxicity, windows
+from . import chat, embeddings, jaccard, lexical, mixing, packing, pii, simhash, suffixes, toxicity, windows
 from .common import table, text_or_empty
 
 
@@ -170,6 +170,27 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
+
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    index = lexical.build_index(table(spark, sf_dir, "documents"), only=lexical.term_filter(items))
+    return lexical.rank(index, items)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS ts FROM benchmark),
+total AS (SELECT count(*) FILTER (len(ts) > 0) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d),
+p AS (SELECT r, doc_id, CAST(any_value(len(ts)) AS BIGINT) AS size, t, count(*) AS tf FROM (SELECT r, doc_id, ts, unnest(ts) AS t FROM d) GROUP BY r, doc_id, t),
+q AS (SELECT i, item_id, t, count(*) AS q FROM (SELECT i, item_id, unnest(ts) AS t FROM i) GROUP BY i, item_id, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, total GROUP BY t),
+s AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * n) // l)))) AS BIGINT) AS score
+  FROM q JOIN w USING (t) JOIN p USING (t), total GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
 OP3_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -215,7 +236,7 @@ FROM documents o JOIN d ON d.text = coalesce(o.text, '') JOIN class USING (r) LE
 """
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op2_suffixes": op2_suffixes, "op3_embeddings": op3_embeddings, "op6_windows": op6_windows, "op7_jaccard": op7_jaccard, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_chat": op10_chat,
+    "op1_toxicity": op1_toxicity, "op2_suffixes": op2_suffixes, "op3_embeddings": op3_embeddings, "op6_windows": op6_windows, "op7_jaccard": op7_jaccard, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_chat": op10_chat, "op11_search": op11_search,
     "simhash_edits": simhash_edits, "simhash_near": simhash_near, "pii_base": pii_base,
 }
-ORACLES = {"op3_embeddings": OP3_SQL, "op5_mixing": OP5_SQL, "op6_windows": OP6_SQL, "op7_jaccard": OP7_SQL, "op10_chat": OP10_SQL, "simhash_edits": EDITS_SQL, "pii_base": BASE_SQL}
+ORACLES = {"op3_embeddings": OP3_SQL, "op5_mixing": OP5_SQL, "op6_windows": OP6_SQL, "op7_jaccard": OP7_SQL, "op10_chat": OP10_SQL, "op11_search": OP11_SQL, "simhash_edits": EDITS_SQL, "pii_base": BASE_SQL}

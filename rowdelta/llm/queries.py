@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, jaccard, lexical, mixing, packing, pii, simhash, suffixes, toxicity, windows
+from . import chat, embeddings, jaccard, lexical, mixing, packing, pii, simhash, suffixes, toxicity, trie, windows
 from .common import table, text_or_empty
 
 
@@ -191,6 +191,36 @@ s AS (
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
 """
 
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+# CRC-32 of an id's digits, bit by bit.
+_IN = "xor(a, CASE WHEN k % 8 = 0 THEN ascii(s[k // 8 + 1]) ELSE 0 END)"
+_CRC = f"xor(list_reduce(range(0, 8 * length(s)), lambda a, k: xor({_IN} >> 1, CASE WHEN {_IN} & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT), 4294967295)"
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, turn, length(x) AS n, md5(length(r) || ':' || r || x) AS h
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+o AS (SELECT c, list(h ORDER BY turn NULLS FIRST, h, n) AS hs, list(n ORDER BY turn NULLS FIRST, h, n) AS ns FROM t GROUP BY c),
+cut AS (SELECT *, CAST({_CRC} AS BIGINT) % 6 AS h FROM (SELECT *, CAST(c AS VARCHAR) AS s FROM o)),
+w AS (
+  SELECT a.c, list_concat(coalesce(b.hs[1:a.h], []), a.hs[a.h + 1:]) AS hs, list_concat(coalesce(b.ns[1:a.h], []), a.ns[a.h + 1:]) AS ns
+  FROM cut a LEFT JOIN o b ON b.c = a.c - a.c % 100),
+p AS (
+  SELECT c, d, md5(array_to_string(hs[1:d], '')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(hs[1:d - 1], '')) END AS up, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS x, d = len(hs) AS ends
+  FROM (SELECT *, unnest(range(0, len(hs) + 1)) AS d FROM w)),
+node AS (
+  SELECT d, k, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(x) AS x, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS sha FROM p GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS m FROM node WHERE d > 0 GROUP BY ALL),
+sub AS (
+  SELECT a.d, a.k, count(*) FILTER (m IS NULL) AS leaves, sum((n - 1) * node.x) AS saved
+  FROM node LEFT JOIN kids USING (d, k) JOIN p a ON a.c = node.c AND a.d <= node.d GROUP BY a.d, a.k)
+SELECT node.c AS conv_id, node.d AS depth, above.c AS parent_conv_id, node.n AS n_convs, coalesce(m, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.sha AS ends_sha256
+FROM node JOIN sub USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN node above ON above.d = node.d - 1 AND above.k = node.up
+"""
+
 OP3_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -236,7 +266,7 @@ FROM documents o JOIN d ON d.text = coalesce(o.text, '') JOIN class USING (r) LE
 """
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op2_suffixes": op2_suffixes, "op3_embeddings": op3_embeddings, "op6_windows": op6_windows, "op7_jaccard": op7_jaccard, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_chat": op10_chat, "op11_search": op11_search,
+    "op1_toxicity": op1_toxicity, "op2_suffixes": op2_suffixes, "op3_embeddings": op3_embeddings, "op6_windows": op6_windows, "op7_jaccard": op7_jaccard, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_chat": op10_chat, "op11_search": op11_search, "op12_trie": op12_trie,
     "simhash_edits": simhash_edits, "simhash_near": simhash_near, "pii_base": pii_base,
 }
-ORACLES = {"op3_embeddings": OP3_SQL, "op5_mixing": OP5_SQL, "op6_windows": OP6_SQL, "op7_jaccard": OP7_SQL, "op10_chat": OP10_SQL, "op11_search": OP11_SQL, "simhash_edits": EDITS_SQL, "pii_base": BASE_SQL}
+ORACLES = {"op3_embeddings": OP3_SQL, "op5_mixing": OP5_SQL, "op6_windows": OP6_SQL, "op7_jaccard": OP7_SQL, "op10_chat": OP10_SQL, "op11_search": OP11_SQL, "op12_trie": OP12_SQL, "simhash_edits": EDITS_SQL, "pii_base": BASE_SQL}

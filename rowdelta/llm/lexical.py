@@ -39,6 +39,9 @@ SENT_ROWS = 500_000
 SEED_POSTINGS = 1000
 #: Documents of each item, found by these, that are scored in full first, as a multiple of k.
 SEED_DOCS = 5
+#: Terms whose bounds sum up to this part (in tenths) of what the k-th best reaches are left until the others have found their documents. With all
+#: ten tenths nearly every document that is found could still get there.
+COMMON_TENTHS = 6
 #: Matches are worth this at most, times their weight in thousandths.
 _SCALE = 1_000_000_000
 _KNOWN_TERMS = 500_000
@@ -209,11 +212,12 @@ def rank(index: Index, items: DataFrame, k: int = 10, text: str = "text", item_i
     first = cut(_best(_summed(index, seeds), SEED_DOCS * k).select("item", "row", "id"))
     full = first.join(_looked_up(index, first, weights), ["item", "row"]).withColumnRenamed("more", "score")
     reached = _best(full, k).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("reached")).where(F.col("n") == k).select("item", "reached")
-    # Terms from the least bound upwards, as long as all of them together stay below what the k-th best reaches.
+    # Terms from the least bound upwards, as long as all of them together stay well below what the k-th best reaches.
     up_to = F.sum("bound").over(by_item.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
     parted = cut(weights.join(reached, "item", "left").withColumns({"reached": F.coalesce("reached", F.lit(0)), "up_to": up_to}))
-    common, telling = parted.where("up_to < reached"), parted.where("up_to >= reached")
-    rest = parted.groupBy("item").agg(F.any_value("item_id").alias("item_id"), F.any_value("reached").alias("reached"), F.max(F.when(F.col("up_to") < F.col("reached"), F.col("up_to"))).alias("rest"))
+    is_common = F.col("up_to") * 10 < F.col("reached") * COMMON_TENTHS
+    common, telling = parted.where(is_common), parted.where(~is_common)
+    rest = parted.groupBy("item").agg(F.any_value("item_id").alias("item_id"), F.any_value("reached").alias("reached"), F.max(F.when(is_common, F.col("up_to"))).alias("rest"))
     found = _summed(index, telling).join(rest, "item").where(F.col("score") + F.coalesce("rest", F.lit(0)) >= F.col("reached"))
     found = cut(found.select("item", "item_id", "row", "id", "score"))
     scored = found.join(_looked_up(index, found, common), ["item", "row"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0)))

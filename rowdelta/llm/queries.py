@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, jaccard, lexical, mixing, packing, pii, simhash, suffixes, toxicity, trie, windows
+from . import chat, embeddings, jaccard, language, lexical, mixing, packing, pii, simhash, suffixes, toxicity, trie, windows
 from .common import table, text_or_empty
 
 
@@ -196,6 +196,11 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 # CRC-32 of an id's digits, bit by bit.
 _IN = "xor(a, CASE WHEN k % 8 = 0 THEN ascii(s[k // 8 + 1]) ELSE 0 END)"
 _CRC = f"xor(list_reduce(range(0, 8 * length(s)), lambda a, k: xor({_IN} >> 1, CASE WHEN {_IN} & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT), 4294967295)"
@@ -266,7 +271,7 @@ FROM documents o JOIN d ON d.text = coalesce(o.text, '') JOIN class USING (r) LE
 """
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op2_suffixes": op2_suffixes, "op3_embeddings": op3_embeddings, "op6_windows": op6_windows, "op7_jaccard": op7_jaccard, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_chat": op10_chat, "op11_search": op11_search, "op12_trie": op12_trie,
+    "op1_toxicity": op1_toxicity, "op2_suffixes": op2_suffixes, "op3_embeddings": op3_embeddings, "op6_windows": op6_windows, "op7_jaccard": op7_jaccard, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_chat": op10_chat, "op11_search": op11_search, "op12_trie": op12_trie, "op13_language": op13_language,
     "simhash_edits": simhash_edits, "simhash_near": simhash_near, "pii_base": pii_base,
 }
 ORACLES = {"op3_embeddings": OP3_SQL, "op5_mixing": OP5_SQL, "op6_windows": OP6_SQL, "op7_jaccard": OP7_SQL, "op10_chat": OP10_SQL, "op11_search": OP11_SQL, "op12_trie": OP12_SQL, "simhash_edits": EDITS_SQL, "pii_base": BASE_SQL}

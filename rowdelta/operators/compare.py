@@ -25,6 +25,12 @@ def side(data: Dataset, prefix: str) -> DataFrame:
     return data.df.select(*[F.col(c).alias(prefix + c) for c in data.df.columns])
 
 
+def alone(data: Dataset, prefix: str, other: Dataset) -> DataFrame:
+    """One side's rows with nulls for the other's columns."""
+    away = T if prefix == S else S
+    return side(data, prefix).select("*", *[F.lit(None).cast(f.dataType).alias(away + f.name) for f in other.df.schema.fields])
+
+
 def any_difference(source: Dataset, target: Dataset, options: DiffOptions) -> Column:
     out = F.lit(False)
     for n in compared_columns(source, target, options):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowdelta.functions.keys import row_key
-from rowdelta.operators.compare import S, T, any_difference, side, unified
+from rowdelta.operators.compare import S, T, alone, any_difference, side, unified
 from rowdelta.options import DiffOptions
 from rowdelta.sources.dataset import INDEX, Dataset
 
@@ -23,7 +23,7 @@ def check_keys(source: Dataset, target: Dataset, options: DiffOptions) -> None:
 
 
 def key_of(data: Dataset, options: DiffOptions, prefix: str = "") -> Column:
-    return row_key([data.cell(n, prefix) for n in options.key_columns])
+    return F.col(prefix + data.key) if data.key else row_key([data.cell(n, prefix) for n in options.key_columns])
 
 
 def duplicate_keys(data: Dataset, options: DiffOptions) -> DataFrame:
@@ -69,6 +69,12 @@ def keyed_pairs(source: Dataset, target: Dataset, options: DiffOptions, how: str
     return pairs.withColumns({"_key": F.coalesce("_s_key", "_t_key"), "_status": status})
 
 
+def one_sided(data: Dataset, prefix: str, other: Dataset, options: DiffOptions) -> DataFrame:
+    """Rows that have no partner, with ``_key`` and ``_status``, as ``keyed_pairs`` gives them."""
+    status = "removed" if prefix == S else "added"
+    return alone(data, prefix, other).withColumns({"_key": key_of(data, options, prefix), "_status": F.lit(status)})
+
+
 def keyed_diff(source: Dataset, target: Dataset, options: DiffOptions, check: bool = True) -> DataFrame:
     """The unified result of a comparison by key; ``check=False`` trusts the keys to be unique and saves the pass that looks."""
     check_keys(source, target, options)

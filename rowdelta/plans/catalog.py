@@ -22,7 +22,8 @@ from rowdelta.plans.diff import DiffResult, diff
 from rowdelta.plans.scratch import scratch
 from rowdelta.plans.search import parse_search, remove_token
 from rowdelta.sources.codec import decode_frame, encode_rows, frame_head, to_json
-from rowdelta.sources.csv_text import read_csv, read_csv_text, sample
+from rowdelta.sources.csv_files import read_csv, write_csv
+from rowdelta.sources.csv_text import read_csv_text, sample
 from rowdelta.sources.dataset import INDEX, Dataset, from_table, numbered
 from rowdelta.streaming.incremental import Differ, StreamingKeyDiff, stream_csv
 
@@ -397,7 +398,7 @@ def _function_queries() -> None:
     prints = " || chr(124) || chr(124) || ".join(f"({_norm(f'CAST({c} AS VARCHAR)', o)})" for c in _P)
     _register("fingerprint_hash_groups", lambda s, d: part(s, d).groupBy(fingerprint_hash(cells(), o)).agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("groups")),
               f"SELECT n, count(*) AS groups FROM (SELECT count(*) AS n FROM (SELECT {prints} AS fp FROM part) GROUP BY fp) GROUP BY n")
-    _register("benchmark_parallel", lambda s, d: s.range(1_000_000).select(F.sum(F.col("id") * F.col("id")).alias("sum_of_squares")), "SELECT CAST(sum(i * i) AS BIGINT) AS sum_of_squares FROM range(1000000) r(i)")
+    _register("benchmark_parallel", lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select(F.sum(F.col("l_partkey") * F.col("l_partkey")).alias("sum_of_squares")), "SELECT CAST(sum(l_partkey * l_partkey) AS BIGINT) AS sum_of_squares FROM lineitem")
 
 
 def _view_queries() -> None:
@@ -462,7 +463,7 @@ def _view_queries() -> None:
 def _source_queries() -> None:
     def trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch(spark, "nation-csv")
-        nation = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").coalesce(1)
+        nation = spark.read.parquet(f"{sf_dir}/nation.parquet").repartitionByRange(3, "n_nationkey").sortWithinPartitions("n_nationkey")
         nation.write.option("header", True).csv(path)
         return read_csv(spark, path).named().select(F.col(INDEX).alias("row_idx"), "n_nationkey", "n_name", "n_regionkey")
 
@@ -470,14 +471,14 @@ def _source_queries() -> None:
 
     def sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch(spark, "region-csv")
-        spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").coalesce(1).write.option("header", False).csv(path)
+        spark.read.parquet(f"{sf_dir}/region.parquet").repartitionByRange(2, "r_regionkey").sortWithinPartitions("r_regionkey").write.option("header", False).csv(path)
         return read_csv(spark, path, has_headers=True).named().select("Column1", "Column2")
 
     _register("header_sniff", sniff, "SELECT CAST(r_regionkey AS VARCHAR) AS Column1, r_name AS Column2 FROM region")
 
     def first_five(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch(spark, "nation-sample")
-        spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").coalesce(1).write.option("header", True).csv(path)
+        spark.read.parquet(f"{sf_dir}/nation.parquet").repartitionByRange(3, "n_nationkey").sortWithinPartitions("n_nationkey").write.option("header", True).csv(path)
         names = ["n_nationkey", "n_name", "n_regionkey"]
         return spark.createDataFrame([[row[n] for n in names] for row in sample(read_csv(spark, path))], ", ".join(f"{n} string" for n in names))
 
@@ -493,8 +494,44 @@ def _source_queries() -> None:
         return read.select(*[F.col(f"Column{i + 1}").alias(n) for i, n in enumerate(names)])
 
     _register("csv_many_files", many_files, "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
-    text = 'id,note\n1,"a, b"\n2,"say ""x"""\n3,\n'
-    _register("csv_text", lambda s, d: read_csv_text(s, text).named().drop(INDEX), "SELECT * FROM (VALUES ('1', 'a, b'), ('2', 'say \"x\"'), ('3', '')) v(id, note)")
+
+    def with_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A large table in many sorted files that have a header each, read in splits; rows are numbered over all of them."""
+        path = scratch(spark, "orders-with-headers")
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority")
+        orders.repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).csv(path)
+        return read_csv(spark, path).named().withColumnRenamed(INDEX, "row_idx")
+
+    _register("csv_folder_headers", with_headers, "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderpriority FROM orders")
+
+    def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Cells with line feeds and quotes: records that go on over a line's end."""
+        path = scratch(spark, "customers-csv")
+        note = F.concat(F.lit('say "'), "c_name", F.lit('",\n'), "c_mktsegment")
+        spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("c_custkey"), note.alias("note")).repartitionByRange(4, "c_custkey").transform(lambda d: write_csv(d, path) or d)
+        return read_csv(spark, path).named().drop(INDEX)
+
+    _register("csv_quoted_lines", broken_lines, """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, 'say "' || c_name || '",' || chr(10) || c_mktsegment AS note FROM customer""")
+
+    def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A stream of files in which some records have a cell too many: these are set aside, the rest is compared."""
+        source, _ = ORDERS_FEWER.read(spark, sf_dir)
+        path = scratch(spark, "ragged-stream")
+        text = "concat_ws(',', o_orderkey, o_custkey, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 101 = 0 THEN 'EXTRA' END) as value"
+        spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(4, "o_orderkey").selectExpr(text).write.text(f"{path}/in")
+        live = StreamingKeyDiff(source, tuple(ORDERS_FEWER.source), _key_options("o_orderkey", **STRICT), f"{path}/out")
+        live.start(stream_csv(spark, f"{path}/in", live.headers, has_headers=False, files_per_batch=2, on_ragged="reject")).awaitTermination()
+        return live.finish().select("status", "key").unionByName(live.rejected().select(F.lit("rejected").alias("status"), F.col("text").alias("key")))
+
+    _register("stream_ragged_records", ragged, """SELECT CASE WHEN o_orderkey % 101 = 0 THEN 'removed' ELSE 'unchanged' END AS status, CAST(o_orderkey AS VARCHAR) AS key FROM orders
+UNION ALL SELECT 'rejected', concat_ws(',', o_orderkey, o_custkey, o_orderstatus, o_orderpriority, 'EXTRA') FROM orders WHERE o_orderkey % 101 = 0""")
+
+    def pasted(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """CSV text that the driver holds, as a user pastes it: the five regions."""
+        lines = [f'{r["r_regionkey"]},"{r["r_name"]}, ""{r["r_name"].lower()}"""' for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").collect()]
+        return read_csv_text(spark, "\n".join(["id,note", *lines])).named().drop(INDEX)
+
+    _register("csv_text", pasted, """SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name || ', "' || lower(r_name) || '"' AS note FROM region""")
 
 
 _keyed_queries()

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INDEX = "_row_idx"
+#: The row key of a side that has it as a column.
+KEY_COLUMN = "_key"
 
 
 @dataclass(frozen=True)
@@ -22,6 +24,8 @@ class Dataset:
     df: DataFrame
     headers: tuple[str, ...]
     warnings: tuple[str, ...] = field(default=())
+    #: The column that holds the row key, where a table is kept by it.
+    key: str | None = None
 
     def ordinal(self, name: str) -> int | None:
         return next((i for i in range(len(self.headers) - 1, -1, -1) if self.headers[i] == name), None)
@@ -37,7 +41,7 @@ class Dataset:
         return list(dict.fromkeys(self.headers))
 
     def renamed(self, headers: Iterable[str]) -> Dataset:
-        return Dataset(self.df, tuple(headers), self.warnings)
+        return replace(self, headers=tuple(headers))
 
     def as_map(self, prefix: str = "") -> Column:
         """The row as a map from name to value."""
@@ -46,7 +50,7 @@ class Dataset:
         return F.create_map(*[x for name in self.names for x in (F.lit(name), self.cell(name, prefix))])
 
     def select_rows(self, start: int, end: int) -> Dataset:
-        return Dataset(self.df.where(F.col(INDEX).between(start, end - 1)), self.headers, self.warnings)
+        return replace(self, df=self.df.where(F.col(INDEX).between(start, end - 1)))
 
     def chunks(self, size: int) -> Iterator[Dataset]:
         """The rows in slices of ``size`` row numbers, each a lazy filter."""

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rowdelta.functions.normalize import unicode_trim
-from rowdelta.operators.compare import S, T, side, unified
+from rowdelta.operators.compare import S, T, alone, side, unified
 from rowdelta.operators.content import align_headers, greedy_matches
-from rowdelta.operators.keyed import check_keys, check_unique, duplicate_error, key_of, keyed_pairs
+from rowdelta.operators.keyed import check_all_unique, check_keys, check_unique, duplicate_error, key_of, keyed_pairs, one_sided
 from rowdelta.options import KEY, DiffOptions, StreamingConfig
-from rowdelta.plans.scratch import settled
-from rowdelta.sources.dataset import INDEX, Dataset, numbered
+from rowdelta.plans.scratch import scratch, settled
+from rowdelta.sources.csv_files import CsvStream
+from rowdelta.sources.dataset import INDEX, KEY_COLUMN, Dataset, numbered
+from rowdelta.sources.prepared import SeenKeys, discard, prepare
 
 
 @dataclass
@@ -41,8 +43,10 @@ class PartialResult:
 class Differ:
     """Both sides, prepared once, for comparison by ``chunk``.
 
-    By key a chunk is a range of target rows and the last chunk also gives the removed rows. By content a chunk is a range of source
-    rows, matched row by row with the target rows that earlier chunks left, and the last chunk gives the added rows.
+    By key a chunk is a range of target rows and the last chunk also gives the removed rows; the source is written once, bucketed by key, and no chunk
+    shuffles it. By content a chunk is a range of source
+    rows, matched row by row with the target rows that earlier chunks left, and the last chunk gives the added rows. ``close``, or the end of a ``with`` block, gives up what was
+    prepared; results have to be used before.
     """
 
     source: Dataset
@@ -52,17 +56,32 @@ class Differ:
     progress: Callable[[float, str], None] | None = None
 
     def __post_init__(self) -> None:
+        self._path: str | None = None
         if self.options.mode == KEY:
             check_keys(self.source, self.target, self.options)
-            check_unique(self.source, self.options, "source")
-            check_unique(self.target, self.options, "target")
+            check_all_unique([(self.source, "source"), (self.target, "target")], self.options)
+            self._path = scratch(self.source.df.sparkSession, "prepared")
+            self.source = prepare(self.source, self.options, self._path)
         else:
             self.target = align_headers(self.source, self.target)
-        self.source = Dataset(self.source.df.persist(), self.source.headers)
-        self.target = Dataset(self.target.df.persist(), self.target.headers)
+            self.source = replace(self.source, df=self.source.df.persist())
+        self.target = replace(self.target, df=self.target.df.persist())
         self._free: Dataset = self.target
         self.total = (self.target if self.options.mode == KEY else self.source).df.count()
 
+    def close(self) -> None:
+        self.target.df.unpersist()
+        if self._path:
+            discard(self.source, self._path)
+        else:
+            self.source.df.unpersist()
+
+    def __enter__(self) -> Differ:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def chunk(self, start: int, size: int) -> DataFrame:
         return self._key_chunk(start, size) if self.options.mode == KEY else self._content_chunk(start, size)
 
@@ -84,10 +103,8 @@ class Differ:
         if start + size < self.total:
             return rows
         seen = self.target.df.select(key_of(self.target, self.options).alias("_k"))
-        gone = Dataset(self.source.df.join(seen, key_of(self.source, self.options) == F.col("_k"), "left_anti"), self.source.headers)
-        empty = Dataset(self.target.df.where(F.lit(False)), self.target.headers)
-        left = keyed_pairs(gone, empty, self.options, "left")
-        return rows.unionByName(unified(left, gone, empty, self.options, F.col("_key"), F.col("_status")))
+        gone = replace(self.source, df=self.source.df.join(seen, key_of(self.source, self.options) == F.col("_k"), "left_anti"))
+        return rows.unionByName(unified(one_sided(gone, S, self.target, self.options), gone, self.target, self.options, F.col("_key"), F.col("_status")))
 
     def _content_chunk(self, start: int, size: int) -> DataFrame:
         part = self.source.select_rows(start, start + size)
@@ -106,57 +123,82 @@ class Differ:
         self._free = Dataset(rest, self.target.headers)
         if start + size < self.total:
             return rows
-        new = numbered(side(self._free, T), "_n", [F.col(T + INDEX)])
-        empty = side(self.source, S).where(F.lit(False))
-        added = new.join(empty, F.lit(False), "left")
+        added = numbered(alone(self._free, T, self.source), "_n", [F.col(T + INDEX)])
         return rows.unionByName(unified(added, self.source, self._free, self.options, F.concat(F.lit("Added "), (F.col("_n") + 1).cast("string")), F.lit("added")))
 
 
-def stream_csv(spark: SparkSession, path: str, headers: tuple[str, ...], has_headers: bool = True, files_per_batch: int = 1) -> DataFrame:
-    """A folder that CSV files arrive in, as a stream of text columns."""
-    schema = ", ".join(f"`{h}` string" for h in headers)
-    reader = spark.readStream.schema(schema).option("header", has_headers).option("escape", '"').option("maxFilesPerTrigger", files_per_batch)
-    rows = reader.option("emptyValue", "").csv(path)
-    return rows.select(*[unicode_trim(F.coalesce(F.col(f"`{h}`"), F.lit(""))).alias(h) for h in headers])
+def stream_csv(spark: SparkSession, path: str, headers: tuple[str, ...], has_headers: bool = True, files_per_batch: int = 1, on_ragged: str = "error") -> CsvStream:
+    """A folder that CSV files arrive in, as a stream under the rules of ``read_csv``."""
+    return CsvStream(spark, path, tuple(headers), has_headers, files_per_batch, on_ragged)
 
 
 class StreamingKeyDiff:
     """A static source against a target that arrives as a stream.
 
-    Each micro-batch is joined with the source and its added, modified and unchanged rows are appended to ``path/rows``; its keys go to
-    ``path/seen``. ``finish`` adds the removed rows: those whose key never came. A batch that is run again after a failure
-    overwrites its own folder, so results are written once. A key that comes twice is an error, within a batch when it arrives, over batches in ``finish``.
+    The source is written once below ``path``, bucketed by key, so that a micro-batch is shuffled and the source isn't. A batch's added, modified and
+    unchanged rows go to ``path/rows``, its keys to ``path/seen``, bucketed as well; ``finish`` adds the removed rows: those whose key never came. A batch that is run again after a failure
+    overwrites its own folder, so results are written once. A key that comes twice, in a batch or over batches, is an error when it arrives, also after a restart. Records that a ``CsvStream``
+    rejects go to ``path/rejected``.
     """
 
     def __init__(self, source: Dataset, headers: tuple[str, ...], options: DiffOptions, path: str) -> None:
-        self.source, self.headers, self.options, self.path = source, headers, options, path
         check_unique(source, options, "source")
+        self.headers, self.options, self.path = tuple(headers), options, path
+        self.source = prepare(source, options, f"{path}/source")
+        self.seen = SeenKeys(source.df.sparkSession, f"{path}/seen")
+        self._read: Callable[[DataFrame, int], Dataset] = self._named
 
-    def _batch(self, batch: DataFrame, epoch: int) -> None:
+    def _named(self, batch: DataFrame, epoch: int) -> Dataset:
         if INDEX not in batch.columns:
             batch = batch.withColumn(INDEX, F.monotonically_increasing_id())
-        target = Dataset(batch.select(F.col(INDEX), *[F.coalesce(F.col(f"`{h}`").cast("string"), F.lit("")).alias(f"c{i}") for i, h in enumerate(self.headers)]).persist(), self.headers)
-        check_keys(self.source, target, self.options)
-        check_unique(target, self.options, "target")
-        rows = unified(keyed_pairs(self.source, target, self.options, "right"), self.source, target, self.options, F.col("_key"), F.col("_status"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/rows/epoch={epoch}")
-        target.df.select(key_of(target, self.options).alias("key")).write.mode("overwrite").parquet(f"{self.path}/seen/epoch={epoch}")
-        target.df.unpersist()
-
-    def start(self, stream: DataFrame, **trigger: object) -> StreamingQuery:
-        """``stream`` has the target's named columns and maybe ``_row_idx``; without it rows are numbered within their batch."""
-        writer = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.path}/checkpoint")
+        return Dataset(batch.select(F.col(INDEX), *[F.coalesce(F.col(f"`{h}`").cast("string"), F.lit("")).alias(f"c{i}") for i, h in enumerate(self.headers)]), self.headers)
+
+    def _batch(self, batch: DataFrame, epoch: int) -> None:
+        target = self._read(batch, epoch)
+        target = replace(target, df=target.df.withColumn(KEY_COLUMN, key_of(target, self.options)).persist(), key=KEY_COLUMN)
+        try:
+            check_keys(self.source, target, self.options)
+            check_unique(target, self.options, "target")
+            keys = target.df.select(KEY_COLUMN)
+            self.seen.merge(epoch)
+            if (twice := self.seen.repeated(keys, epoch)) is not None:
+                raise duplicate_error("target", twice)
+            self.classified(target).write.mode("overwrite").parquet(f"{self.path}/rows/epoch={epoch}")
+            self.seen.add(keys, epoch)
+        finally:
+            target.df.unpersist()
+
+    def classified(self, target: Dataset) -> DataFrame:
+        """The added, modified and unchanged rows of a part of the target."""
+        return unified(keyed_pairs(self.source, target, self.options, "right"), self.source, target, self.options, F.col("_key"), F.col("_status"))
+
+    def _reject(self, rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/rejected/epoch={epoch}")
+
+    def start(self, stream: DataFrame | CsvStream, **trigger: object) -> StreamingQuery:
+        """``stream`` is a ``CsvStream``, or has the target's named columns and maybe ``_row_idx``; without it rows are numbered within their batch."""
+        lines = stream
+        if isinstance(stream, CsvStream):
+            reader = stream if stream.rejected else replace(stream, rejected=self._reject)
+            self._read, lines = reader.read, stream.lines
+        writer = lines.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.path}/checkpoint")
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
+    def rejected(self) -> DataFrame:
+        """The records that were left out: file, line, text, epoch."""
+        spark = self.source.df.sparkSession
+        try:
+            return spark.read.parquet(f"{self.path}/rejected")
+        except AnalysisException:
+            return spark.createDataFrame([], "file string, line long, text string, epoch int")
+
     def finish(self) -> DataFrame:
         """The whole result, with the removed rows."""
-        spark = self.source.df.sparkSession
-        rows = spark.read.parquet(f"{self.path}/rows").drop("epoch")
-        seen = spark.read.parquet(f"{self.path}/seen").select(F.col("key").alias("_k"))
-        twice = seen.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.min("_k")).first()[0]
-        if twice is not None:
-            raise duplicate_error("target", twice)
-        gone = Dataset(self.source.df.join(seen, key_of(self.source, self.options) == F.col("_k"), "left_anti"), self.source.headers)
-        empty = Dataset(self.source.df.where(F.lit(False)), self.source.headers)
-        left = keyed_pairs(gone, empty, self.options, "left")
-        return rows.unionByName(unified(left, gone, empty, self.options, F.col("_key"), F.col("_status")))
+        rows = self.source.df.sparkSession.read.parquet(f"{self.path}/rows").drop("epoch")
+        gone = replace(self.source, df=self.source.df.join(self.seen.before(), KEY_COLUMN, "left_anti"))
+        return rows.unionByName(unified(one_sided(gone, S, self._like_source(), self.options), gone, self._like_source(), self.options, F.col("_key"), F.col("_status")))
+
+    def _like_source(self) -> Dataset:
+        """A target's columns, for rows that have none."""
+        names = ", ".join([f"{INDEX} long", *[f"c{i} string" for i in range(len(self.headers))]])
+        return Dataset(self.source.df.sparkSession.createDataFrame([], names), self.headers)

@@ -212,17 +212,22 @@ def test_stream_of_csv_files(spark, tmp_path):
 
 
 def test_a_key_that_comes_twice_is_an_error(spark, tmp_path):
-    """Within a batch when it arrives, over two batches in the end."""
+    """Within a batch and over batches, when it arrives."""
     source, _ = (read_csv_text(spark, text) for text in ("id,b\n1,x\n2,y\n", "id,b\n"))
     o = STRICT.but(mode="primary-key", key_columns=("id",))
     batch = lambda *rows: spark.createDataFrame(list(rows), "id string, b string")
     live = StreamingKeyDiff(source, ("id", "b"), o, f"{tmp_path}/out")
     live._batch(batch(("1", "x"), ("3", "z")), 0)
-    live._batch(batch(("1", "q")), 1)
+    live._batch(batch(("1", "x"), ("3", "z")), 0)  # the same batch once more, after a failure
     with pytest.raises(ValueError, match='Duplicate Primary Key found in target: "1"'):
-        live.finish()
+        live._batch(batch(("1", "q"), ("4", "q")), 1)
     with pytest.raises(ValueError, match="Duplicate Primary Key found in target"):
         live._batch(batch(("5", "x"), ("5", "z")), 2)
+    again = StreamingKeyDiff(source, ("id", "b"), o, f"{tmp_path}/out")  # another session
+    with pytest.raises(ValueError, match='Duplicate Primary Key found in target: "3"'):
+        again._batch(batch(("3", "q")), 1)
+    again._batch(batch(("4", "q")), 1)
+    assert sorted((r.status, r.key) for r in again.finish().collect()) == [("added", "3"), ("added", "4"), ("removed", "2"), ("unchanged", "1")]
 
 
 def test_greedy_with_many_copies(spark):

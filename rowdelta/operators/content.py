@@ -5,8 +5,8 @@ score (of equal ones the lowest), and each target row takes the best proposal (a
 don't depend on the order of work.
 
 Rows that share a cell meet in that cell's block. Small blocks are joined and scored in whole batches. A block may be large, a common value is in
-most rows, so large blocks are cut into chunks and each pair of chunks is one bounded task, which returns the best partner for each source row
-it has seen: their pairs are never rows of a table.
+most rows; for rows of such blocks the best partner is searched by bounds (``bounded.py``). Where all pairs above the threshold are wanted, large blocks
+are cut into chunks and each pair of chunks is one bounded task.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from rowdelta.functions.keys import fingerprint
 from rowdelta.functions.normalize import normalized, unicode_trim
-from rowdelta.functions.similarity import edit_distance, jaro_winkler, jaro_winkler_distinct, normalized_levenshtein
+from rowdelta.functions.similarity import jaro_winkler, normalized_levenshtein
+from rowdelta.operators.bounded import best_partners, similarities
 from rowdelta.operators.compare import S, T, side, unified
+from rowdelta.operators.conflicts import settle
 from rowdelta.options import DiffOptions
 from rowdelta.plans.scratch import settled
 from rowdelta.sources.dataset import INDEX, Dataset
@@ -117,19 +119,7 @@ def _matrix(left: list[list[str]], right: list[list[str]], rule: str) -> np.ndar
     total = np.zeros((len(left), len(right)))
     for a, b in zip(zip(*left, strict=True), zip(*right, strict=True), strict=True):
         (x, at_x), (y, at_y) = (_distinct(v) for v in (a, b))
-        scores = np.empty((len(x), len(y)))
-        pairs = [(i, j) for i in range(len(x)) for j in range(len(y))]
-        long = [rule == "row" and (len(x[i].encode()) > 20 or len(y[j].encode()) > 20) for i, j in pairs]
-        same = [rule != "row" and x[i] == y[j] for i, j in pairs]
-        jw = [p for p, skip in zip(pairs, map(any, zip(long, same, strict=True)), strict=True) if not skip]
-        for (i, j), s in zip(jw, jaro_winkler_distinct([x[i] for i, _ in jw], [y[j] for _, j in jw]), strict=True):
-            scores[i, j] = s
-        for (i, j), lev, eq in zip(pairs, long, same, strict=True):
-            if eq:
-                scores[i, j] = 1.0
-            elif lev:
-                most = max(len(x[i]), len(y[j]))
-                scores[i, j] = 1 - edit_distance(x[i], y[j]) / most
+        scores = similarities([v for v in x for _ in y], y * len(x), rule).reshape(len(x), len(y))
         total += scores[np.ix_(at_x, at_y)]
     return np.round(total / max(1, len(left[0]) if left else 1), 12)
 
@@ -160,6 +150,27 @@ def _in_chunks(rule: str, pick: Callable[[np.ndarray], tuple[np.ndarray, np.ndar
     return run
 
 
+def _no_pairs(source: Dataset) -> DataFrame:
+    return source.df.select(F.col(INDEX).alias("source_idx"), F.lit(0.0).alias("score"), F.col(INDEX).alias("target_idx")).where(F.lit(False))
+
+
+def _scored_values(data: Dataset, columns: list[str], options: DiffOptions) -> Column:
+    return F.array(*[data.cell(n) if options.similarity == "row" else normalized(data.cell(n), options) for n in columns])
+
+
+def _blocks(source: Dataset, target: Dataset, options: DiffOptions, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The scored pairs above the threshold of all small blocks, and the large blocks (col, val, n_s, n_t), if there are any."""
+    s_cells, t_cells = cells(source, columns, options, False), cells(target, columns, options, True)
+    count = lambda df, name: df.groupBy("col", "val").agg(F.count(F.lit(1)).alias(name))
+    sizes = count(s_cells, "n_s").join(count(t_cells, "n_t"), ["col", "val"]).withColumn("small", F.col("n_s") * F.col("n_t") <= SMALL)
+    sizes = settled(sizes.repartition(int(source.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    few = sizes.where("small").select("col", "val")
+    pairs = s_cells.withColumnRenamed("idx", "source_idx").join(few, ["col", "val"]).join(t_cells.withColumnRenamed("idx", "target_idx"), ["col", "val"]).select("source_idx", "target_idx").distinct()
+    scored = score_pairs(pairs, source, target, options).where(F.col("score") > options.threshold).select("source_idx", "score", "target_idx")
+    large = sizes.where("not small").select("col", "val", "n_s", "n_t")
+    return scored, None if large.isEmpty() else large
+
+
 def _compared(source: Dataset, target: Dataset, options: DiffOptions, pick: Callable, all_pairs: bool = False) -> DataFrame:
     """Score rows that share a cell (or all rows) block by block, in pairs of chunks: source_idx, score, target_idx of what ``pick`` chooses.
 
@@ -168,9 +179,8 @@ def _compared(source: Dataset, target: Dataset, options: DiffOptions, pick: Call
     """
     columns = shared_columns(source, target, options)
     if not columns:
-        return source.df.select(F.col(INDEX).alias("source_idx"), F.lit(0.0).alias("score"), F.col(INDEX).alias("target_idx")).where(F.lit(False))
-    shown = lambda d: F.array(*[d.cell(n) if options.similarity == "row" else normalized(d.cell(n), options) for n in columns])
-    rows = lambda d: d.df.select(F.col(INDEX).alias("idx"), shown(d).alias("row"))
+        return _no_pairs(source)
+    rows = lambda d: d.df.select(F.col(INDEX).alias("idx"), _scored_values(d, columns, options).alias("row"))
     part = lambda n: F.pmod(F.xxhash64("idx", F.lit(11)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     chunks = lambda n: F.ceil(n / CHUNK).cast("int")
@@ -179,17 +189,11 @@ def _compared(source: Dataset, target: Dataset, options: DiffOptions, pick: Call
         whole = lambda d: rows(d).withColumns({"col": F.lit(-1), "val": F.lit(""), "n_s": F.lit(n_s), "n_t": F.lit(n_t)})
         s, t = whole(source), whole(target)
     else:
-        s_cells, t_cells = cells(source, columns, options, False), cells(target, columns, options, True)
-        count = lambda df, name: df.groupBy("col", "val").agg(F.count(F.lit(1)).alias(name))
-        sizes = count(s_cells, "n_s").join(count(t_cells, "n_t"), ["col", "val"]).withColumn("small", F.col("n_s") * F.col("n_t") <= SMALL)
-        sizes = settled(sizes.repartition(int(source.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-        few = sizes.where("small").select("col", "val")
-        pairs = s_cells.withColumnRenamed("idx", "source_idx").join(few, ["col", "val"]).join(t_cells.withColumnRenamed("idx", "target_idx"), ["col", "val"]).select("source_idx", "target_idx").distinct()
-        scored = score_pairs(pairs, source, target, options).where(F.col("score") > options.threshold).select("source_idx", "score", "target_idx")
-        if sizes.where("not small").isEmpty():
+        scored, large = _blocks(source, target, options, columns)
+        if large is None:
             return scored
-        many = sizes.where("not small").select("col", "val", chunks(F.col("n_s")).alias("n_s"), chunks(F.col("n_t")).alias("n_t"))
-        s, t = s_cells.join(many, ["col", "val"]).join(rows(source), "idx"), t_cells.join(many, ["col", "val"]).join(rows(target), "idx")
+        many = large.select("col", "val", chunks(F.col("n_s")).alias("n_s"), chunks(F.col("n_t")).alias("n_t"))
+        s, t = cells(source, columns, options, False).join(many, ["col", "val"]).join(rows(source), "idx"), cells(target, columns, options, True).join(many, ["col", "val"]).join(rows(target), "idx")
     keys = ["col", "val", "i", "j"]
     left = s.withColumns({"i": part("n_s"), "j": every("n_t")}).select(*keys, "idx", "row")
     right = t.withColumns({"j": part("n_t"), "i": every("n_s")}).select(*keys, "idx", "row")
@@ -198,16 +202,24 @@ def _compared(source: Dataset, target: Dataset, options: DiffOptions, pick: Call
 
 
 def best_targets(source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:
-    """Each source row's best partner above the threshold (of equal scores the lowest target): source_idx, score, target_idx."""
-
-    def best(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        to = score.argmax(axis=1)
-        at = np.flatnonzero(score[np.arange(len(to)), to] > options.threshold)
-        return at, to[at]
+    """Each source row's best partner above the threshold (of equal scores the lowest target): source_idx, score, target_idx.
 
+    Small blocks are scored as joined rows; their scores are where the search by bounds over rows of large blocks begins.
+    """
+    columns = shared_columns(source, target, options)
+    if not columns:
+        return _no_pairs(source)
+    small, large = _blocks(source, target, options, columns)
     low = F.max(F.struct("score", (-F.col("target_idx")).alias("low"))).alias("b")
-    found = _compared(source, target, options, best).groupBy("source_idx").agg(low)
-    return found.select("source_idx", F.col("b.score").alias("score"), (-F.col("b.low")).alias("target_idx"))
+    best = small.groupBy("source_idx").agg(low).select("source_idx", F.col("b.score").alias("score"), (-F.col("b.low")).alias("target_idx"))
+    if large is None:
+        return best
+    probes = lambda d, of_target: F.array(*[F.when(unicode_trim(p) != "", p) for n in columns for p in [_probe(d.cell(n), options, of_target)]])
+    rows = lambda d, of_target: d.df.select(F.col(INDEX).alias("idx"), _scored_values(d, columns, options).alias("row"), probes(d, of_target).alias("probe"))
+    hot = lambda c: c.join(large.select("col", "val"), ["col", "val"]).select("idx").distinct()
+    s = rows(source, False).join(hot(cells(source, columns, options, False)), "idx", "left_semi")
+    t = rows(target, True).join(hot(cells(target, columns, options, True)), "idx", "left_semi")
+    return best_partners(s, t, settled(best), len(columns), options.similarity, options.threshold)
 
 
 def good_pairs(source: Dataset, target: Dataset, options: DiffOptions, all_pairs: bool = False) -> DataFrame:
@@ -230,22 +242,36 @@ def _without(data: Dataset, matched: DataFrame, column: str) -> Dataset:
 def greedy_matches(source: Dataset, target: Dataset, options: DiffOptions, all_pairs: bool = False) -> DataFrame:
     """Row by row in the source's order, each row takes the last exact copy that is free, or else its best free partner.
 
-    That outcome is what deferred acceptance gives when every target prefers the lowest source row: in each round the unmatched source
-    rows propose to their best target that hasn't turned them down, and a target keeps the lowest proposer. Only pairs above the threshold are
-    rows; ``all_pairs`` drops the demand for a shared cell. Returns source_idx, target_idx, score (null if exact).
-
-    Copies wish for the same targets in the same order, so the k-th of them is turned down by the first k - 1 for certain and begins with
-    the k-th. Their wishes are looked up by number, never listed: n copies on both sides cost n rows and no round of their own.
+    Only pairs above the threshold are rows; ``all_pairs`` drops the demand for a shared cell. Rows that want the same partners are settled group by group (``conflicts.py``). Returns
+    source_idx, target_idx, score (null if exact).
     """
     s_fp = source.df.select(F.col(INDEX).alias("source_idx"), fingerprint_of(source, source, options).alias("fp"))
     t_fp = target.df.select(F.col(INDEX).alias("target_idx"), fingerprint_of(target, source, options).alias("fp"))
-    copies = settled(ranked_in_bag(t_fp, "fp", "target_idx", "number", True))
+    sources, targets = settled(s_fp), settled(t_fp)
+    copies = targets.join(sources.select("fp").distinct(), "fp", "left_semi")
+    other = good_pairs(source, target, options, all_pairs).join(sources.withColumnRenamed("fp", "s_fp"), "source_idx").join(targets.withColumnRenamed("fp", "t_fp"), "target_idx").where("s_fp != t_fp")
+    wishes = settled(other.select("source_idx", "target_idx", "score"))
+    done, left = settle(sources, copies, wishes)
+    if left is None:
+        return done
+    left = settled(left)
+    return done.unionByName(_in_rounds(sources.join(left, "source_idx"), copies, wishes.join(left, "source_idx")))
+
+
+def _in_rounds(sources: DataFrame, copies: DataFrame, wishes: DataFrame) -> DataFrame:
+    """The same for rows of groups that are too large for a task.
+
+    The outcome is what deferred acceptance gives when every target prefers the lowest source row: in each round the unmatched source
+    rows propose to their best target that hasn't turned them down, and a target keeps the lowest proposer.
+    Copies wish for the same targets in the same order, so the k-th of them is turned down by the first k - 1 for certain and begins with
+    the k-th. Their wishes are looked up by number, never listed: n copies on both sides cost n rows and no round of their own.
+    """
+    copies = settled(ranked_in_bag(copies, "fp", "target_idx", "number", True))
     counts = copies.groupBy("fp").agg(F.count(F.lit(1)).alias("n_copies"))
-    sources = ranked_in_bag(s_fp, "fp", "source_idx", "place", False).join(counts, "fp", "left").select("source_idx", "fp", "place", F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
+    sources = ranked_in_bag(sources, "fp", "source_idx", "place", False).join(counts, "fp", "left").select("source_idx", "fp", "place", F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
     sources = settled(sources)
-    other = good_pairs(source, target, options, all_pairs).join(s_fp.withColumnRenamed("fp", "s_fp"), "source_idx").join(t_fp.withColumnRenamed("fp", "t_fp"), "target_idx").where("s_fp != t_fp")
     choice = Window.partitionBy("source_idx").orderBy(F.col("score").desc(), F.col("target_idx"))
-    fuzzy = settled(other.select("source_idx", "target_idx", "score", F.row_number().over(choice).alias("wish")))
+    fuzzy = settled(wishes.select("source_idx", "target_idx", "score", F.row_number().over(choice).alias("wish")))
     down = sources.select("source_idx", "fp", "n_copies", F.least(F.col("place") - 1, F.col("n_copies")).cast("long").alias("down"))
     while True:
         # The next wish of each row is the one after those that turned it down: first the copies, then the others.

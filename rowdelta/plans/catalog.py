@@ -99,6 +99,7 @@ SUPPLIERS = Pair(
 )
 NATIONS = Pair("nation", "n_nationkey", _plain("n_nationkey", "n_name", "n_regionkey"), {"id": "n_nationkey", "title": "CASE WHEN n_nationkey % 3 = 0 THEN concat(n_name, 'X') ELSE n_name END", "region": "n_regionkey"}, "n_nationkey % 8 <> 0")
 
+CUSTOMERS = Pair("customer", "c_custkey", _C, _C | {"c_name": "CASE WHEN c_custkey % 5 = 0 THEN concat(c_name, 'x') ELSE c_name END", "c_custkey": "CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 3 ELSE c_custkey END", "c_acctbal": "CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END"}, "c_custkey % 16 <> 0", doubles=("c_acctbal",))
 REGIONS = Pair("nation", "n_nationkey", _plain("n_nationkey", "n_name", "n_regionkey"), _plain("n_nationkey", "n_name", "n_regionkey") | {"n_name": "CASE WHEN n_nationkey % 3 = 0 THEN concat(n_name, 'X') ELSE n_name END"}, "n_nationkey % 8 <> 0")
 
 
@@ -317,6 +318,10 @@ def _content_queries() -> None:
     _register("content_default_flags", lambda s, d: _run(SUPPLIERS, loose)(s, d).rows.select("status", "key"), f"{_content_sql(SUPPLIERS, loose)} SELECT status, key FROM ({label})")
     _register("content_header_align", lambda s, d: _run(NATIONS, o)(s, d).rows.selectExpr("status", "key", *_INDEXES), f"{_content_sql(NATIONS, o)} SELECT status, key, source_idx, target_idx FROM ({label})")
 
+    # The same over whole tables whose columns have common values: all pairs of a market segment or a brand are candidates.
+    for name, p in (("content_customers", CUSTOMERS), ("content_parts", PARTS)):
+        _register(name, lambda s, d, p=p: _run(p, o)(s, d).rows.selectExpr("status", "key", *_INDEXES, "round(coalesce(score, -1.0D), 6) as score"), f"{_content_sql(p, o)} {label}")
+
     greedy = o.but(strategy="greedy")
     whole = """ SELECT CASE WHEN ti IS NULL THEN 'removed' WHEN score IS NULL THEN 'unchanged' ELSE 'modified' END AS status, 'Row ' || (si + 1) AS key, si AS source_idx, CAST(coalesce(ti, -1) AS BIGINT) AS target_idx FROM m
 UNION ALL SELECT 'added', 'Row ' || (i + 1), -1, i FROM t WHERE i NOT IN (SELECT ti FROM m WHERE ti IS NOT NULL)"""
@@ -395,6 +400,15 @@ def _function_queries() -> None:
         return d.select("p_partkey", F.array_join(F.transform(F.filter("d", lambda x: ~x["removed"]), lambda x: x["value"]), "").alias("new"), F.size(F.filter("d", lambda x: x["added"] | x["removed"])).cast("long").alias("n_changes"))
 
     _register("word_diff_case", folded, "SELECT p_partkey, lower(CASE WHEN p_partkey % 3 = 0 THEN 'New ' || p_name ELSE p_name END) AS new, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS n_changes FROM part")
+
+    def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Whole texts against the texts of the next ids, which have nothing to do with them: both are rebuilt from the script."""
+        texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("old"))
+        d = texts.join(texts.select((F.col("doc_id") - 1).alias("doc_id"), F.col("old").alias("new")), "doc_id").select("doc_id", word_diff(F.col("old"), F.col("new")).alias("d"))
+        digest = lambda flag: F.sha2(F.array_join(F.transform(F.filter("d", lambda x: ~x[flag]), lambda x: x["value"]), "").cast("binary"), 256)
+        return d.select("doc_id", digest("added").alias("old_sha256"), digest("removed").alias("new_sha256"))
+
+    _register("word_diff_documents", documents, "SELECT a.doc_id, sha256(coalesce(a.text, '')) AS old_sha256, sha256(coalesce(b.text, '')) AS new_sha256 FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
     prints = " || chr(124) || chr(124) || ".join(f"({_norm(f'CAST({c} AS VARCHAR)', o)})" for c in _P)
     _register("fingerprint_hash_groups", lambda s, d: part(s, d).groupBy(fingerprint_hash(cells(), o)).agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("groups")),
               f"SELECT n, count(*) AS groups FROM (SELECT count(*) AS n FROM (SELECT {prints} AS fp FROM part) GROUP BY fp) GROUP BY n")

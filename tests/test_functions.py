@@ -1,6 +1,7 @@
 """Scalar functions, the search language and codecs."""
 
 import random
+import time
 import re
 
 import numpy as np
@@ -70,20 +71,21 @@ def test_edit_distance(a, b):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("ab \n", max_size=30), st.text("ab \n", max_size=30), st.sampled_from([1, 3, 2000]))
+@given(st.text("ab \n", max_size=30), st.text("ab \n", max_size=30), st.sampled_from([(0, 4), (3, 1 << 26), (256, 1 << 26)]))
 def test_word_changes_rebuild_both_texts(old, new, kept):
-    was, textdiff.KEPT = textdiff.KEPT, kept
+    was = textdiff.FEW, textdiff.KEPT_BYTES
+    textdiff.FEW, textdiff.KEPT_BYTES = kept
     try:
         changes = word_changes(old, new)
     finally:
-        textdiff.KEPT = was
+        textdiff.FEW, textdiff.KEPT_BYTES = was
     assert "".join(v for added, _, v in changes if not added) == old
     assert "".join(v for _, removed, v in changes if not removed) == new
     assert not any(added and removed for added, removed, _ in changes)
     assert (old == new) == (not any(added or removed for added, removed, _ in changes))
 
 
-def test_scripts_are_shortest_in_the_middle_too():
+def test_scripts_are_shortest_by_rows_of_bits_too(monkeypatch):
     rng = random.Random(1)
     for _ in range(600):
         a, b = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
@@ -93,14 +95,28 @@ def test_scripts_are_shortest_in_the_middle_too():
             for j, y in enumerate(b):
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
-        for kept in (1, 2, 5, 1000):
-            script = textdiff._script(a, b, kept)
+        for few, kept in ((0, 0), (0, 2), (2, 1000), (256, 0)):
+            monkeypatch.setattr(textdiff, "FEW", few)
+            monkeypatch.setattr(textdiff, "KEPT_BYTES", kept)
+            script = textdiff._script(a, b)
             assert [v for added, _, v in script if not added] == a and [v for _, removed, v in script if not removed] == b
             assert sum(added or removed for added, removed, _ in script) == len(a) + len(b) - 2 * row[-1]
     far = [" ".join(f"{side}{k}" if k % 2 else f"c{k}" for k in range(2400)) for side in "ab"]
+    monkeypatch.undo()
     assert sum(added or removed for added, removed, _ in word_changes(*far)) == 2400
 
 
+def test_word_changes_of_long_texts_take_seconds():
+    rng = random.Random(3)
+    old = [f"w{rng.randint(0, 3000)}" for _ in range(20_000)]
+    new = [w if rng.random() < 0.5 else f"w{rng.randint(0, 3000)}" for w in old]
+    began = time.perf_counter()
+    changes = word_changes(" ".join(old), " ".join(new))
+    assert time.perf_counter() - began < 30
+    assert "".join(v for added, _, v in changes if not added) == " ".join(old) and "".join(v for _, removed, v in changes if not removed) == " ".join(new)
+    assert sum(added or removed for added, removed, _ in changes) <= 2 * sum(a != b for a, b in zip(old, new, strict=True))
+
+
 def test_word_changes_are_few():
     assert [c for c in word_changes("Hello World", "Hello Universe") if c[0] or c[1]] == [(False, True, "World"), (True, False, "Universe")]
     assert not any(a or r for a, r, _ in word_changes("Hello World", "hello world", case_sensitive=False))

@@ -1,8 +1,8 @@
-"""The best partner of each row among many, by bounds: most pairs are ruled out before any similarity is computed.
+"""The best partners of each row among many, by bounds: most pairs are ruled out before any similarity is computed.
 
 Rows get a signature: their values where a column has few different ones, else how many letters of some classes a value has. Two signatures bound the
 score of all pairs of their rows from above. Each source row looks at the target rows of one signature after another, those with the highest bound first, in ranges that
-grow, and is done when the next bound is below the best score it has found. In a task the same is done with pairs of rows: bounds
+grow, and is done when the next bound is below the (last of the) best it has found. In a task the same is done with pairs of rows: bounds
 for all, then scores for those that can still be the best.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowdelta.functions.similarity import edit_distance, jaro_winkler_distinct
@@ -83,33 +83,32 @@ def _coded(left: list[str], right: list[str]) -> tuple[list[str], np.ndarray, li
     return list(x), np.array([x[v] for v in left], np.int64), list(y), np.array([y[v] for v in right], np.int64)
 
 
-def best_pairs(left: list[list[str]], right: list[list[str]], shared: np.ndarray, floor: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each left row the score and place of its best right row (the first of equal ones) among ``shared`` pairs of at least its ``floor``; place -1 where there is none."""
+def top_pairs(left: list[list[str]], right: list[list[str]], allowed: np.ndarray, floor: np.ndarray, rule: str, k: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each left row its ``k`` best right rows (the first of equal ones) among ``allowed`` pairs of at least its ``floor``: places and scores, best first."""
     columns = list(zip(zip(*left, strict=True), zip(*right, strict=True), strict=True))
-    bound, scored = np.zeros(shared.shape), []
+    bound = np.zeros(allowed.shape)
     for a, b in columns:
         x, at_x, y, at_y = _coded(a, b)
-        whole = len(x) * len(y) <= SCORED
-        part = similarities([v for v in x for _ in y], y * len(x), rule).reshape(len(x), len(y)) if whole else ceilings(x, y)
-        scored.append(whole)
+        part = similarities([v for v in x for _ in y], y * len(x), rule).reshape(len(x), len(y)) if len(x) * len(y) <= SCORED else ceilings(x, y)
         bound += part[np.ix_(at_x, at_y)]
-    bound = np.where(shared, bound / len(columns), -1.0)
-    best, place = floor.astype(float).copy(), np.full(len(left), -1)
+    bound = np.where(allowed, bound / len(columns), -1.0)
+    score, least, n = np.full(bound.shape, -1.0), floor.astype(float), bound.shape[1]
     while True:
         # The pairs with the highest bounds, a few for each row at once.
-        few = np.argpartition(-bound, min(3, bound.shape[1] - 1), axis=1)[:, :4]
-        i = np.repeat(np.arange(len(left)), few.shape[1])
-        j = few.ravel()
-        keep = bound[i, j] >= np.maximum(best[i] - SLACK, 0)
+        few = np.argpartition(-bound, min(k + 2, n - 1), axis=1)[:, : k + 3]
+        i, j = np.repeat(np.arange(len(left)), few.shape[1]), few.ravel()
+        keep = bound[i, j] >= np.maximum(least[i] - SLACK, 0)
         i, j = i[keep], j[keep]
         if not len(i):
-            return best, place
-        total = sum((similarities([a[k] for k in i], [b[k] for k in j], rule) for a, b in columns), np.zeros(len(i)))
-        score = np.round(total / len(columns), 12)
+            break
+        score[i, j] = np.round(sum((similarities([a[r] for r in i], [b[c] for c in j], rule) for a, b in columns), np.zeros(len(i))) / len(columns), 12)
         bound[i, j] = -1.0
-        for row, at, s in sorted(zip(i.tolist(), j.tolist(), score.tolist(), strict=True), key=lambda t: (t[0], -t[2], t[1])):
-            if s > best[row] or s == best[row] and (place[row] < 0 or at < place[row]):
-                best[row], place[row] = s, at
+        if k <= n:
+            least = np.maximum(floor, np.partition(score, n - k, axis=1)[:, n - k])
+    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    i, j = np.repeat(np.arange(len(left)), order.shape[1]), order.ravel()
+    keep = score[i, j] >= np.maximum(floor[i], 0)
+    return i[keep], j[keep], score[i, j][keep]
 
 
 def _shared(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
@@ -123,15 +122,16 @@ def _shared(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
     return out
 
 
-def _in_chunks(rule: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _in_chunks(rule: str, k: int, any_pair: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"source_idx": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "target_idx": pa.array([], pa.int64())})
         right = right.sort_by("idx")
         lists = lambda t, name: t.column(name).to_pylist()
-        score, place = best_pairs(lists(left, "row"), lists(right, "row"), _shared(lists(left, "probe"), lists(right, "probe")), left.column("best").to_numpy(), rule)
-        hit = np.flatnonzero(place >= 0)
-        return pa.table({"source_idx": left.column("idx").to_numpy()[hit], "score": score[hit], "target_idx": right.column("idx").to_numpy()[place[hit]]})
+        allowed = np.ones((left.num_rows, right.num_rows), bool) if any_pair else _shared(lists(left, "probe"), lists(right, "probe"))
+        allowed &= ~_shared([[v] for v in lists(left, "print")], [[v] for v in lists(right, "print")])
+        i, j, score = top_pairs(lists(left, "row"), lists(right, "row"), allowed, left.column("floor").to_numpy(), rule, k)
+        return pa.table({"source_idx": left.column("idx").to_numpy()[i], "score": score, "target_idx": right.column("idx").to_numpy()[j]})
 
     return run
 
@@ -189,44 +189,48 @@ def _ranked(targets: list[list[str]], kinds: list[str], width: int, rule: str):
     return run
 
 
-def best_partners(source: DataFrame, target: DataFrame, best: DataFrame, width: int, rule: str, threshold: float) -> DataFrame:
-    """Each source row's best target row above the threshold: source_idx, score, target_idx.
+def top(lists: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("source_idx").orderBy(F.col("score").desc(), F.col("target_idx"))
+    return lists.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+
+def best_partners(source: DataFrame, target: DataFrame, known: DataFrame, width: int, rule: str, threshold: float, k: int = 1, any_pair: bool = False) -> DataFrame:
+    """Each source row's ``k`` best target rows above the threshold: source_idx, score, target_idx.
 
-    ``source`` and ``target`` have idx, row (the ``width`` values that are scored) and probe (the values by which rows are candidates, null for none): pairs without a common probe are none. ``best``
-    has what is known already (source_idx, score, target_idx). Of equal scores the lowest target counts.
+    ``source`` and ``target`` have idx, row (the ``width`` values that are scored), probe (the values by which rows are candidates, null for none) and print: pairs
+    without a common probe are none, unless ``any_pair``, and neither are pairs with the same print. ``known`` has what is known already, of other rows too (source_idx, score,
+    target_idx). Of equal scores the lowest targets count.
     """
     spark = source.sparkSession
     chosen = choose_signature(source.select("row").unionByName(target.select("row")), width)
     signature = F.array(*[_signature(F.col("row")[c], kind) for c, kind in chosen]).cast("array<string>")
     source, target = settled(source.withColumn("signature", signature)), settled(target.withColumn("signature", signature))
     groups = [sorted(list(r[0]) for r in d.select("signature").distinct().collect()) for d in (source, target)]
+    lists = settled(top(known, k))
     if not groups[0] or not groups[1]:
-        return best
-    numbered = lambda signatures, name: F.broadcast(spark.createDataFrame([(s, k) for k, s in enumerate(signatures)], f"signature array<string>, {name} int"))
+        return lists
+    numbered = lambda signatures, name: F.broadcast(spark.createDataFrame([(s, n) for n, s in enumerate(signatures)], f"signature array<string>, {name} int"))
     near = settled(numbered(groups[0], "s_group").repartition(max(1, len(groups[0]) // 64)).mapInPandas(_ranked(groups[1], [kind for _, kind in chosen], width, rule), _NEAR))
     target = target.join(numbered(groups[1], "t_group"), "signature").drop("signature")
     source = source.join(numbered(groups[0], "s_group"), "signature").drop("signature")
     sizes = target.groupBy("t_group").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n_t"))
-    state = settled(source.select("idx", "s_group").join(best.withColumnRenamed("source_idx", "idx"), "idx", "left").select("idx", "s_group", F.coalesce("score", F.lit(threshold)).alias("best"), "target_idx"))
     part = lambda n: F.pmod(F.xxhash64("idx", F.lit(11)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lo, step = 0, 1
     while lo < len(groups[1]):
-        asked = state.withColumn("rank", F.explode(F.sequence(F.lit(lo), F.lit(min(lo + step, len(groups[1])) - 1)))).join(near, ["s_group", "rank"]).where(F.col("bound") >= F.col("best") - SLACK).select("idx", "t_group", "best")
+        floors = lists.groupBy(F.col("source_idx").alias("idx")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select("idx", "least")
+        state = source.select("idx", "s_group").join(floors, "idx", "left").select("idx", "s_group", F.coalesce("least", F.lit(threshold)).alias("floor"))
+        asked = state.withColumn("rank", F.explode(F.sequence(F.lit(lo), F.lit(min(lo + step, len(groups[1])) - 1)))).join(near, ["s_group", "rank"]).where(F.col("bound") >= F.col("floor") - SLACK).select("idx", "t_group", "floor")
         asked = settled(asked)
         if asked.isEmpty():
             break
         chunks = asked.groupBy("t_group").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n_s")).join(sizes, "t_group")
-        left = asked.join(chunks, "t_group").join(source.select("idx", "row", "probe"), "idx").withColumns({"i": part("n_s"), "j": every("n_t")}).select("t_group", "i", "j", "idx", "row", "probe", "best")
-        right = target.join(chunks, "t_group").withColumns({"j": part("n_t"), "i": every("n_s")}).select("t_group", "i", "j", "idx", "row", "probe")
+        left = asked.join(chunks, "t_group").join(source.drop("s_group"), "idx").withColumns({"i": part("n_s"), "j": every("n_t")}).select("t_group", "i", "j", "idx", "row", "probe", "print", "floor")
+        right = target.join(chunks, "t_group").withColumns({"j": part("n_t"), "i": every("n_s")}).select("t_group", "i", "j", "idx", "row", "probe", "print")
         keys = ["t_group", "i", "j"]
-        dealt = lambda d: d.repartition(tasks, *keys).groupBy(*keys)  # noqa: E731  by number: what is little to read may be much to do
-        found = dealt(left).cogroup(dealt(right)).applyInArrow(_in_chunks(rule), _FOUND)
-        now = found.groupBy(F.col("source_idx").alias("idx")).agg(F.max(F.struct("score", (-F.col("target_idx")).alias("low"))).alias("b"))
-        new, old = F.struct(F.col("b.score"), F.col("b.low")), F.struct(F.col("best").alias("score"), (-F.col("target_idx")).alias("low"))
-        better = F.col("b").isNotNull() & (F.col("b.score") > threshold) & (F.col("target_idx").isNull() | (new > old))
-        state = settled(state.join(now, "idx", "left").select("idx", "s_group", F.when(better, F.col("b.score")).otherwise(F.col("best")).alias("best"), F.when(better, -F.col("b.low")).otherwise(F.col("target_idx")).alias("target_idx")))
+        dealt = lambda d: d.repartition(tasks, *keys).groupBy(*keys)  # noqa: B023, E731  by number: what is little to read may be much to do
+        found = dealt(left).cogroup(dealt(right)).applyInArrow(_in_chunks(rule, k, any_pair), _FOUND)
+        lists = settled(top(lists.unionByName(found.where(F.col("score") > threshold)).dropDuplicates(["source_idx", "target_idx"]), k))
         lo, step = lo + step, 4 * step
-    rest = best.join(state.select(F.col("idx").alias("source_idx")), "source_idx", "left_anti").select("source_idx", "score", "target_idx")
-    return state.where("target_idx is not null").select(F.col("idx").alias("source_idx"), F.col("best").alias("score"), "target_idx").unionByName(rest)
+    return lists

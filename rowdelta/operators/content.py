@@ -12,6 +12,7 @@ are cut into chunks and each pair of chunks is one bounded task.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from rowdelta.functions.keys import fingerprint
 from rowdelta.functions.normalize import normalized, unicode_trim
 from rowdelta.functions.similarity import jaro_winkler, normalized_levenshtein
-from rowdelta.operators.bounded import best_partners, similarities
+from rowdelta.operators.bounded import best_partners, similarities, top
 from rowdelta.operators.compare import S, T, side, unified
 from rowdelta.operators.conflicts import settle
 from rowdelta.options import DiffOptions
@@ -32,6 +33,10 @@ from rowdelta.sources.dataset import INDEX, Dataset
 CHUNK = 512
 #: Blocks of so many pairs at most are compared as joined rows; only larger ones are worth tasks of their own.
 SMALL = 256
+#: Pairs of rows up to which greedy matching lists all that are above the threshold; beyond that each row lists its best partners first.
+DIRECT_PAIRS = 4_000_000
+#: Partners that a row lists first.
+WISHES = 8
 #: A fingerprint with more rows than this is numbered in slices of the row index, so that no task has to sort them all.
 HOT_ROWS = 1_000_000
 
@@ -201,25 +206,31 @@ def _compared(source: Dataset, target: Dataset, options: DiffOptions, pick: Call
     return found if all_pairs else found.unionByName(scored)
 
 
-def best_targets(source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:
-    """Each source row's best partner above the threshold (of equal scores the lowest target): source_idx, score, target_idx.
+def best_targets(source: Dataset, target: Dataset, options: DiffOptions, k: int = 1, all_pairs: bool = False, no_copies: bool = False) -> DataFrame:
+    """Each source row's ``k`` best partners above the threshold (of equal scores the lowest targets): source_idx, score, target_idx.
 
-    Small blocks are scored as joined rows; their scores are where the search by bounds over rows of large blocks begins.
+    Small blocks are scored as joined rows; their scores are where the search by bounds over rows of large blocks begins. ``all_pairs`` drops the demand for a
+    shared cell; ``no_copies`` leaves out pairs with equal fingerprints.
     """
     columns = shared_columns(source, target, options)
     if not columns:
         return _no_pairs(source)
+    copy = lambda d: fingerprint_of(d, source, options) if no_copies else F.lit(None).cast("string")
+    probes = lambda d, of_target: F.array(*[F.when(unicode_trim(p) != "", p) for n in columns for p in [_probe(d.cell(n), options, of_target)]])
+    rows = lambda d, of_target: d.df.select(F.col(INDEX).alias("idx"), _scored_values(d, columns, options).alias("row"), probes(d, of_target).alias("probe"), copy(d).alias("print"))
+    s, t = rows(source, False), rows(target, True)
+    if all_pairs:
+        return best_partners(s, t, _no_pairs(source).select("source_idx", "score", "target_idx"), len(columns), options.similarity, options.threshold, k, True)
     small, large = _blocks(source, target, options, columns)
-    low = F.max(F.struct("score", (-F.col("target_idx")).alias("low"))).alias("b")
-    best = small.groupBy("source_idx").agg(low).select("source_idx", F.col("b.score").alias("score"), (-F.col("b.low")).alias("target_idx"))
+    if no_copies:
+        prints = lambda d, name: d.select(F.col("idx").alias(name), F.col("print").alias(f"{name}_print"))
+        small = small.join(prints(s, "source_idx"), "source_idx").join(prints(t, "target_idx"), "target_idx").where("source_idx_print != target_idx_print").select("source_idx", "score", "target_idx")
     if large is None:
-        return best
-    probes = lambda d, of_target: F.array(*[F.when(unicode_trim(p) != "", p) for n in columns for p in [_probe(d.cell(n), options, of_target)]])
-    rows = lambda d, of_target: d.df.select(F.col(INDEX).alias("idx"), _scored_values(d, columns, options).alias("row"), probes(d, of_target).alias("probe"))
+        return top(small, k)
     hot = lambda c: c.join(large.select("col", "val"), ["col", "val"]).select("idx").distinct()
-    s = rows(source, False).join(hot(cells(source, columns, options, False)), "idx", "left_semi")
-    t = rows(target, True).join(hot(cells(target, columns, options, True)), "idx", "left_semi")
-    return best_partners(s, t, settled(best), len(columns), options.similarity, options.threshold)
+    s = s.join(hot(cells(source, columns, options, False)), "idx", "left_semi")
+    t = t.join(hot(cells(target, columns, options, True)), "idx", "left_semi")
+    return best_partners(s, t, small, len(columns), options.similarity, options.threshold, k)
 
 
 def good_pairs(source: Dataset, target: Dataset, options: DiffOptions, all_pairs: bool = False) -> DataFrame:
@@ -249,8 +260,25 @@ def greedy_matches(source: Dataset, target: Dataset, options: DiffOptions, all_p
     t_fp = target.df.select(F.col(INDEX).alias("target_idx"), fingerprint_of(target, source, options).alias("fp"))
     sources, targets = settled(s_fp), settled(t_fp)
     copies = targets.join(sources.select("fp").distinct(), "fp", "left_semi")
-    other = good_pairs(source, target, options, all_pairs).join(sources.withColumnRenamed("fp", "s_fp"), "source_idx").join(targets.withColumnRenamed("fp", "t_fp"), "target_idx").where("s_fp != t_fp")
-    wishes = settled(other.select("source_idx", "target_idx", "score"))
+    if sources.count() * targets.count() <= DIRECT_PAIRS:
+        other = good_pairs(source, target, options, all_pairs).join(sources.withColumnRenamed("fp", "s_fp"), "source_idx").join(targets.withColumnRenamed("fp", "t_fp"), "target_idx").where("s_fp != t_fp")
+        return _settled_matches(sources, copies, settled(other.select("source_idx", "target_idx", "score")))
+    k = WISHES
+    wishes = settled(best_targets(source, target, options, k, all_pairs, True).withColumn("k", F.lit(k)))
+    while True:
+        done = settled(_settled_matches(sources, copies, wishes.drop("k")))
+        full = wishes.groupBy("source_idx").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k")).where("n = k").select("source_idx")
+        short = settled(full.join(done, "source_idx", "left_anti"))
+        if short.isEmpty():
+            return done
+        # Rows all of whose listed partners are taken look further; what that changes for others is settled anew.
+        k *= 4
+        open_rows = replace(source, df=source.df.join(short.withColumnRenamed("source_idx", INDEX), INDEX, "left_semi"))
+        more = best_targets(open_rows, target, options, k, all_pairs, True).withColumn("k", F.lit(k))
+        wishes = settled(wishes.join(short, "source_idx", "left_anti").unionByName(more))
+
+
+def _settled_matches(sources: DataFrame, copies: DataFrame, wishes: DataFrame) -> DataFrame:
     done, left = settle(sources, copies, wishes)
     if left is None:
         return done

@@ -95,12 +95,15 @@ def test_bounds_are_never_below_similarities(spark):
     assert abs(far - bounded.similarities([values[-1] + "z" * 21], [values[-2]], "row")[0]) < 1e-12
 
 
-def test_best_pairs_keep_to_the_floor_and_to_what_is_shared():
+def test_top_pairs_keep_to_the_floor_and_to_what_is_allowed():
     rows = [["abc", "x"], ["abd", "x"], ["zzz", "y"]]
-    score, place = bounded.best_pairs(rows, rows[::-1], np.ones((3, 3), bool), np.array([0.5, 1.0, 0.5]), "normalized")
-    assert place.tolist() == [2, 1, 0] and score.tolist() == [1.0, 1.0, 1.0]
-    score, place = bounded.best_pairs(rows, rows, ~np.eye(3, dtype=bool), np.array([0.5, 0.99, 0.5]), "normalized")
-    assert place.tolist() == [1, -1, -1] and 0.9 < score[0] < 1
+    everything = np.ones((3, 3), bool)
+    found = bounded.top_pairs(rows, rows[::-1], everything, np.array([0.5, 1.0, 0.5]), "normalized")
+    assert [x.tolist() for x in found] == [[0, 1, 2], [2, 1, 0], [1.0, 1.0, 1.0]]
+    i, j, score = bounded.top_pairs(rows, rows, ~np.eye(3, dtype=bool), np.array([0.5, 0.99, 0.5]), "normalized")
+    assert (i.tolist(), j.tolist()) == ([0], [1]) and 0.9 < score[0] < 1
+    i, j, score = bounded.top_pairs(rows, rows, everything, np.zeros(3), "normalized", 2)
+    assert j.tolist() == [0, 1, 1, 0, 2, 0] and score.tolist()[:1] == [1.0]
 
 
 def loop(source, target, threshold):
@@ -127,6 +130,22 @@ def test_groups_of_conflicts_in_tasks_and_in_rounds(spark, limit, monkeypatch):
     assert {(r.source_idx, r.target_idx) for r in rows} == loop(a, b, 0.6)
 
 
+@pytest.mark.parametrize("all_pairs", [False, True])
+def test_greedy_by_lists_that_grow(spark, all_pairs, monkeypatch):
+    """Rows list their best partners first and look further when these are taken."""
+    monkeypatch.setattr(content, "WISHES", 2)
+    rng = random.Random(11)
+    a = [(f"name{k % 7}", "open", str(k % 9)) for k in range(45)]
+    b = [(f"name{k % 6}" + rng.choice(["", "x"]), "open", str(k % 8)) for k in range(40)]
+    o = STRICT.but(threshold=0.6, similarity="row" if all_pairs else "normalized")
+    sides = table(spark, a), table(spark, b)
+    whole = content.greedy_matches(*sides, o, all_pairs).collect()
+    monkeypatch.setattr(content, "DIRECT_PAIRS", 0)
+    lists = content.greedy_matches(*sides, o, all_pairs).collect()
+    key = lambda rows: sorted((r.source_idx, r.target_idx, -1 if r.score is None else round(r.score, 9)) for r in rows)
+    assert key(lists) == key(whole) and len(whole) > 30
+
+
 def test_a_thousand_rows_that_all_want_each_other(spark):
     ids = [(k,) for k in range(1000)]
     sources = spark.createDataFrame([(k, f"s{k}") for (k,) in ids], "source_idx long, fp string")

@@ -21,7 +21,7 @@ from rowdelta.options import DiffOptions, StreamingConfig
 from rowdelta.plans.diff import DiffResult, diff
 from rowdelta.plans.scratch import scratch
 from rowdelta.plans.search import parse_search, remove_token
-from rowdelta.sources.codec import decode_frame, encode_rows, frame_head, to_json
+from rowdelta.sources.codec import decode_frame, encode_rows, frame_head, read_frames, to_json, write_frames
 from rowdelta.sources.csv_files import read_csv, write_csv
 from rowdelta.sources.csv_text import read_csv_text, sample
 from rowdelta.sources.dataset import INDEX, Dataset, from_table, numbered
@@ -464,6 +464,29 @@ def _view_queries() -> None:
 
         return encode_rows(rows).select("status", decoded("status", "data").alias("d")).select("status", "d.*")
 
+    def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """All classified orders, written as frames by the tasks that have them and read in tasks again."""
+        path = scratch(spark, "orders-frames")
+        write_frames(orders_of(spark, sf_dir).rows, path, 1 << 18)
+        value = lambda row: F.element_at(row, "o_orderstatus")
+        return read_frames(spark, path).select("status", "key", value("source_row").alias("old_status"), value("target_row").alias("new_status"), F.size("differences").cast("long").alias("n_differences"))
+
+    def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Counts that come with the pass that writes the result, beside those of what is read again."""
+        path = scratch(spark, "orders-result")
+        counts = orders_of(spark, sf_dir).write(path)
+        read = spark.read.parquet(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+        return read.select("status", "n", F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("status")).cast("long").alias("observed"))
+
+    orders_of = _run(ORDERS, o)
+    _register("written_counts", observed, f"{base} SELECT status, count(*) AS n, count(*) AS observed FROM d GROUP BY 1")
+    _register("binary_frames", written, f"""{base} SELECT status, key, s_o_orderstatus AS old_status, CASE WHEN status <> 'unchanged' THEN t_o_orderstatus END AS new_status,
+  CAST(CASE WHEN status = 'modified' THEN {' + '.join(f'CAST(s_{c} <> t_{c} AS INT)' for c in _O)} ELSE 0 END AS BIGINT) AS n_differences FROM d""")
+    named = Pair("customer", "c_custkey", {"id": "concat('ID', c_custkey)", "seg": "c_mktsegment"}, {"id": "concat(CASE WHEN c_custkey % 2 = 0 THEN 'id' ELSE 'Id' END, c_custkey)", "seg": "c_mktsegment"})
+    by_id = DiffOptions(mode="primary-key", key_columns=("id",), ignore_whitespace=False, ignore_empty_vs_null=False)
+    digits = "list_transform(regexp_extract_all(lower({}), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(regexp_replace(x, '^0+([0-9])', '\\1')) AS VARCHAR), 9, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END)".format(new("id"))
+    _register("view_sort_natural", lambda s, d: _run(named, by_id)(s, d).view().sort_by("id", natural=True).page(30, 200), f"{_key_sql(named, by_id)} SELECT status, key, {new('id')} AS id, {new('seg')} AS seg FROM d ORDER BY {digits}, CASE status WHEN 'added' THEN 2 ELSE 3 END LIMIT 200 OFFSET 30")
+
     rule = _key_options("c_custkey")
     changed = " + ".join(f"CAST(({_norm(f's_{c}', rule)}) <> ({_norm(f't_{c}', rule)}) AS INT)" for c in _C)
     _register("binary_codec_read_back", read_back, f"{_key_sql(CUSTOMER, rule)} SELECT status, key, CASE WHEN status IN ('added', 'modified') THEN t_c_name ELSE s_c_name END AS name, CAST(CASE WHEN status = 'modified' THEN {changed} ELSE 0 END AS BIGINT) AS n_differences FROM d")

@@ -6,16 +6,19 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rowdelta.operators.compare import flat_differences
 from rowdelta.operators.content import align_headers, content_diff
 from rowdelta.operators.keyed import keyed_diff
 from rowdelta.options import KEY, DiffOptions
+from rowdelta.plans.progress import followed
 from rowdelta.plans.view import View
 from rowdelta.sources.dataset import Dataset, from_table
 
+#: Percent when the comparison is planned; the rest follows the tasks.
+PLANNED = 30.0
 STATUSES = ("added", "removed", "modified", "unchanged")
 
 
@@ -76,6 +79,14 @@ class DiffResult:
         found = self.metrics.time("compare", lambda: {r["status"]: r["count"] for r in self.rows.groupBy("status").count().collect()})
         return {s: found.get(s, 0) for s in STATUSES}
 
+    def write(self, path: str, progress: Callable[[float, str], None] | None = None) -> dict[str, int]:
+        """Write the classified rows as Parquet and return the rows of each status, counted in the same pass. ``progress`` follows the finished tasks."""
+        seen = Observation()
+        kept = self.rows.observe(seen, *[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATUSES])
+        work = lambda: self.metrics.time("compare", lambda: kept.write.mode("overwrite").parquet(path))
+        followed(self.rows.sparkSession, work, progress or (lambda _percent, _message: None), "Comparing", PLANNED)
+        return {s: seen.get[s] for s in STATUSES}
+
     def count_rows(self) -> DataFrame:
         """The counts as a table of one row."""
         return status_counts(self.rows)
@@ -92,7 +103,8 @@ def status_counts(rows: DataFrame) -> DataFrame:
 def diff(source: Dataset | DataFrame, target: Dataset | DataFrame, options: DiffOptions | None = None, progress: Callable[[float, str], None] | None = None, **changes: object) -> DiffResult:
     """Compare two datasets (or tables) and classify every row as added, removed, modified or unchanged.
 
-    Errors in keys are raised here, which takes a pass over the keys; everything else waits until the result is used.
+    Errors in keys are raised here, which takes a pass over the keys; everything else waits until the result is used. ``progress`` hears of the planning; the comparison
+    itself tells how far it is in ``DiffResult.write``.
     """
     options = (options or DiffOptions()).but(**changes) if changes or options is None else options
     say = progress or (lambda _percent, _message: None)
@@ -107,5 +119,5 @@ def diff(source: Dataset | DataFrame, target: Dataset | DataFrame, options: Diff
     else:
         target = align_headers(source, target)
         rows = metrics.time("plan", lambda: content_diff(source, target, options))
-    say(100, "Ready")
+    say(PLANNED, "Planned")
     return DiffResult(rows, source.headers, target.headers, options, metrics, source.warnings + target.warnings)

@@ -13,6 +13,13 @@ from rowdelta.plans.search import SearchToken, parse_search, search_predicate
 DISPLAY_ORDER = ("modified", "added", "removed", "unchanged")
 
 
+def natural_key(value: Column) -> Column:
+    """A key under which ``ID2`` comes before ``id10``: the runs of digits and of other letters, digits without leading zeros behind their length."""
+    runs = F.regexp_extract_all(F.lower(value), F.lit("([0-9]+|[^0-9]+)"), 1)
+    bare = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    return F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 9, "0"), bare(x))).otherwise(x))
+
+
 @dataclass(frozen=True)
 class View:
     rows: DataFrame
@@ -20,7 +27,7 @@ class View:
     target_headers: tuple[str, ...]
     hidden: tuple[str, ...] = ()
     status: str | None = None
-    sort: tuple[tuple[str, bool, bool], ...] = field(default=())
+    sort: tuple[tuple[str, bool, str], ...] = field(default=())
 
     @property
     def columns(self) -> list[str]:
@@ -69,8 +76,9 @@ class View:
     def show(self, *names: str) -> View:
         return replace(self, hidden=tuple(n for n in self.hidden if n not in names))
 
-    def sort_by(self, name: str, descending: bool = False, numeric: bool = False) -> View:
-        return replace(self, sort=(*self.sort, (name, descending, numeric)))
+    def sort_by(self, name: str, descending: bool = False, numeric: bool = False, natural: bool = False) -> View:
+        """Sort by a column: as text, ``numeric`` (what is no number last) or ``natural``, runs of digits by their value and letters whatever their case."""
+        return replace(self, sort=(*self.sort, (name, descending, "numeric" if numeric else "natural" if natural else "text")))
 
     def counts(self) -> DataFrame:
         """Rows of each status after search and column filters, whatever status is shown."""
@@ -86,9 +94,9 @@ class View:
 
     def _order(self) -> list[Column]:
         keys = []
-        for name, descending, numeric in self.sort:
+        for name, descending, kind in self.sort:
             value = F.col("status") if name == "type" else F.col("key") if name == "key" else self.display(name)
-            value = value.try_cast("double") if numeric else value
+            value = value.try_cast("double") if kind == "numeric" else natural_key(value) if kind == "natural" else value
             keys.append(value.desc_nulls_last() if descending else value.asc_nulls_last())
         rank = F.array_position(F.array(*[F.lit(s) for s in DISPLAY_ORDER]), F.col("status"))
         return [*keys, rank, F.coalesce("target_idx", "source_idx"), F.coalesce("source_idx", "target_idx")]

@@ -8,7 +8,11 @@ column, old and new values. A string is its length in bytes (u32) and UTF-8; a m
 from __future__ import annotations
 
 import struct
-from pyspark.sql import DataFrame
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TYPES = {"added": 1, "removed": 2, "modified": 3, "unchanged": 4}
@@ -62,7 +66,7 @@ def frame_head(counts: dict[str, int]) -> bytes:
 
 
 def to_binary_frame(rows: DataFrame) -> bytes:
-    """A whole frame, for export of a result that fits the driver; ``encode_rows`` is the form for large ones."""
+    """A whole frame, for export of a result that fits the driver; ``write_frames`` is the form for large ones."""
     encoded = encode_rows(rows).persist()
     counts = {r["status"]: r["count"] for r in encoded.groupBy("status").count().collect()}
     head = frame_head(counts)
@@ -72,6 +76,68 @@ def to_binary_frame(rows: DataFrame) -> bytes:
     return head + body
 
 
+#: Bytes of rows after which a task closes a frame.
+FRAME_BYTES = 8 << 20
+_FRAME = ", ".join([*[f"{s} long" for s in _ORDER], "data binary"])
+_ROW = "status string, key string, source_row map<string,string>, target_row map<string,string>, differences array<struct<column:string,old_value:string,new_value:string>>"
+
+
+def encode_frames(rows: DataFrame, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+    """A result as frames of about ``frame_bytes``, each complete in itself, with their counts: tasks make their own rows' frames, nothing goes through the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts, size = [], Counter(), 0
+
+        def frame() -> pa.RecordBatch:
+            columns = {s: pa.array([counts[s]], pa.int64()) for s in _ORDER}
+            return pa.RecordBatch.from_pydict(columns | {"data": pa.array([frame_head(counts) + b"".join(held)], pa.binary())})
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.append(encode_row(r["status"], r["key"], r["source_row"] and dict(r["source_row"]), r["target_row"] and dict(r["target_row"]), r["differences"] or []))
+                counts[r["status"]] += 1
+                size += len(held[-1])
+                if size >= frame_bytes:
+                    yield frame()
+                    held, counts, size = [], Counter(), 0
+        if held:
+            yield frame()
+
+    return rows.select("status", "key", "source_row", "target_row", "differences").mapInArrow(run, _FRAME)
+
+
+def decode_frames(frames: DataFrame) -> DataFrame:
+    """The rows of frames: status, key, source_row, target_row, differences. An unchanged row is its source's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                rows = [{"status": s, "key": r["key"], "source_row": r.get("sourceRow", r.get("row")), "target_row": r.get("targetRow"), "differences": [{"column": d["column"], "old_value": d["oldValue"], "new_value": d["newValue"]} for d in r.get("differences", ())]} for s, of in decode_frame(data.as_py()).items() for r in of]
+                yield pa.RecordBatch.from_pylist([r | {n: r[n] and list(r[n].items()) for n in ("source_row", "target_row")} for r in rows], schema=_ARROW_ROW)
+
+    return frames.select("data").mapInArrow(run, _ROW)
+
+
+_TEXTS = pa.map_(pa.string(), pa.string())
+_ARROW_ROW = pa.schema([("status", pa.string()), ("key", pa.string()), ("source_row", _TEXTS), ("target_row", _TEXTS), ("differences", pa.list_(pa.struct([("column", pa.string()), ("old_value", pa.string()), ("new_value", pa.string())])))])
+
+
+def write_frames(rows: DataFrame, path: str, frame_bytes: int = FRAME_BYTES) -> None:
+    """Write a result as frames. The files are committed by Spark as a whole, with each frame's counts beside it."""
+    encode_frames(rows, frame_bytes).write.mode("overwrite").parquet(path)
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``write_frames`` has written, decoded in the tasks that read them."""
+    return decode_frames(spark.read.parquet(path))
+
+
+def frame_counts(spark: SparkSession, path: str) -> dict[str, int]:
+    """Rows of each status in written frames, from their counts alone."""
+    found = spark.read.parquet(path).agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in _ORDER]).first()
+    return {s: found[s] for s in _ORDER}
+
+
 class _Reader:
     def __init__(self, data: bytes) -> None:
         self.data, self.at = memoryview(data), 0

@@ -37,6 +37,8 @@ SMALL = 256
 DIRECT_PAIRS = 4_000_000
 #: Partners that a row lists first.
 WISHES = 8
+#: Pairs in large blocks that are scored without a search.
+FEW_PAIRS = 100_000
 #: A fingerprint with more rows than this is numbered in slices of the row index, so that no task has to sort them all.
 HOT_ROWS = 1_000_000
 
@@ -176,7 +178,7 @@ def _blocks(source: Dataset, target: Dataset, options: DiffOptions, columns: lis
     return scored, None if large.isEmpty() else large
 
 
-def _compared(source: Dataset, target: Dataset, options: DiffOptions, pick: Callable, all_pairs: bool = False) -> DataFrame:
+def _compared(source: Dataset, target: Dataset, options: DiffOptions, pick: Callable, all_pairs: bool = False, blocks: tuple[DataFrame, DataFrame | None] | None = None) -> DataFrame:
     """Score rows that share a cell (or all rows) block by block, in pairs of chunks: source_idx, score, target_idx of what ``pick`` chooses.
 
     Blocks that only one side has vanish in the join of their sizes. Each side's chunk is sent once for each chunk of the other. The sizes
@@ -194,7 +196,7 @@ def _compared(source: Dataset, target: Dataset, options: DiffOptions, pick: Call
         whole = lambda d: rows(d).withColumns({"col": F.lit(-1), "val": F.lit(""), "n_s": F.lit(n_s), "n_t": F.lit(n_t)})
         s, t = whole(source), whole(target)
     else:
-        scored, large = _blocks(source, target, options, columns)
+        scored, large = blocks or _blocks(source, target, options, columns)
         if large is None:
             return scored
         many = large.select("col", "val", chunks(F.col("n_s")).alias("n_s"), chunks(F.col("n_t")).alias("n_t"))
@@ -206,10 +208,21 @@ def _compared(source: Dataset, target: Dataset, options: DiffOptions, pick: Call
     return found if all_pairs else found.unionByName(scored)
 
 
+def _best_above(threshold: float) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of a matrix of scores each row's first best one above the threshold."""
+
+    def pick(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = score.argmax(axis=1)
+        at = np.flatnonzero(score[np.arange(len(to)), to] > threshold)
+        return at, to[at]
+
+    return pick
+
+
 def best_targets(source: Dataset, target: Dataset, options: DiffOptions, k: int = 1, all_pairs: bool = False, no_copies: bool = False) -> DataFrame:
     """Each source row's ``k`` best partners above the threshold (of equal scores the lowest targets): source_idx, score, target_idx.
 
-    Small blocks are scored as joined rows; their scores are where the search by bounds over rows of large blocks begins. ``all_pairs`` drops the demand for a
+    Small blocks are scored as joined rows; their scores are where the search by bounds over rows of large blocks begins, unless these have few pairs, which are all scored. ``all_pairs`` drops the demand for a
     shared cell; ``no_copies`` leaves out pairs with equal fingerprints.
     """
     columns = shared_columns(source, target, options)
@@ -227,6 +240,8 @@ def best_targets(source: Dataset, target: Dataset, options: DiffOptions, k: int
         small = small.join(prints(s, "source_idx"), "source_idx").join(prints(t, "target_idx"), "target_idx").where("source_idx_print != target_idx_print").select("source_idx", "score", "target_idx")
     if large is None:
         return top(small, k)
+    if k == 1 and not no_copies and large.agg(F.sum(F.col("n_s") * F.col("n_t"))).first()[0] <= FEW_PAIRS:
+        return top(_compared(source, target, options, _best_above(options.threshold), blocks=(small, large)), 1)
     hot = lambda c: c.join(large.select("col", "val"), ["col", "val"]).select("idx").distinct()
     s = s.join(hot(cells(source, columns, options, False)), "idx", "left_semi")
     t = t.join(hot(cells(target, columns, options, True)), "idx", "left_semi")

@@ -55,6 +55,7 @@ def plain_best(source, target, threshold=0.5, probe=str):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_best_partners_among_many_with_a_common_value(spark, seed, monkeypatch):
     monkeypatch.setattr(bounded, "CHUNK", 40)
+    monkeypatch.setattr(content, "FEW_PAIRS", 0)
     monkeypatch.setattr(bounded, "SCORED", 100 if seed == 1 else 4096)
     monkeypatch.setattr(bounded, "SIGNATURES", 60 if seed == 1 else 1000)
     a = hot_rows(150, seed)
@@ -65,16 +66,19 @@ def test_best_partners_among_many_with_a_common_value(spark, seed, monkeypatch):
 
 def test_default_flags_among_many_with_a_common_value(spark, monkeypatch):
     monkeypatch.setattr(bounded, "CHUNK", 64)
+    few = content.best_targets(*(table(spark, r) for r in (hot_rows(120, 5), changed(hot_rows(120, 5), 6))), DiffOptions()).collect()
+    monkeypatch.setattr(content, "FEW_PAIRS", 0)
     a = hot_rows(120, 5)
     b = changed(a, 6)
     o = DiffOptions()
     hot = content.best_targets(table(spark, a), table(spark, b), o).collect()
     monkeypatch.setattr(content, "SMALL", 10**9)  # every block is joined and scored
     whole = content.best_targets(table(spark, a), table(spark, b), o).collect()
-    assert sorted(tuple(r) for r in hot) == sorted(tuple(r) for r in whole) and len(hot) > 50
+    assert sorted(tuple(r) for r in hot) == sorted(tuple(r) for r in whole) == sorted(tuple(r) for r in few) and len(hot) > 50
 
 
-def test_columns_that_are_all_alike_or_all_different(spark):
+def test_columns_that_are_all_alike_or_all_different(spark, monkeypatch):
+    monkeypatch.setattr(content, "FEW_PAIRS", 0)
     same = [("n", "open", "1")] * 40
     found = content.best_targets(table(spark, same), table(spark, [("m", "open", "1")] * 40), STRICT.but(threshold=0.6)).collect()
     assert {(r.source_idx, r.target_idx) for r in found} == {(k, 0) for k in range(40)}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +16,25 @@ from rowdelta.sources.dataset import KEY_COLUMN, Dataset
 MERGE_EVERY = 64
 
 
-def _folder(spark: SparkSession, path: str, keep: bool) -> None:
-    """Make a folder, or delete it, wherever it lies."""
+def _folder(spark: SparkSession, path: str):
+    """A folder, wherever it lies, and the file system that has it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(place) if keep else files.delete(place, True)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _folder(spark, path)
+    return files.exists(place)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, place = _folder(spark, path)
+    files.mkdirs(place)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, place = _folder(spark, path)
+    files.delete(place, True)
 
 
 def _name(kind: str, path: str) -> str:
@@ -37,10 +50,7 @@ def _register(spark: SparkSession, name: str, columns: str, buckets: int, path:
 
 def _remembered(spark: SparkSession, path: str) -> int | None:
     """The number of buckets that an earlier run has chosen."""
-    try:
-        return spark.read.parquet(f"{path}/buckets").first()["n"]
-    except AnalysisException:
-        return None
+    return spark.read.parquet(f"{path}/buckets").first()["n"] if exists(spark, f"{path}/buckets/_SUCCESS") else None
 
 
 def _buckets(spark: SparkSession, path: str) -> int:
@@ -54,7 +64,7 @@ def _buckets(spark: SparkSession, path: str) -> int:
 def prepare(data: Dataset, options: DiffOptions, path: str) -> Dataset:
     """``data`` as a table below ``path`` with its row key as a column, bucketed by it: written now, or found where an earlier run has finished writing it.
 
-    The number of buckets is that of the session's shuffle partitions when it is first written.
+    The number of buckets is that of the session's shuffle partitions when it is first written. What is finished is told by the ``_SUCCESS`` files that Spark writes by default.
     """
     spark = data.df.sparkSession
     done = _remembered(spark, f"{path}/done") is not None
@@ -79,7 +89,7 @@ class SeenKeys:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         self.buckets, self.name = _buckets(spark, path), _name("seen", path)
-        _folder(spark, f"{path}/rows", keep=True)
+        make_folder(spark, f"{path}/rows")
         _register(spark, self.name, f"{KEY_COLUMN} string, epoch bigint", self.buckets, f"{path}/rows", "PARTITIONED BY (epoch)")
         spark.sql(f"MSCK REPAIR TABLE {self.name}")
 
@@ -111,11 +121,11 @@ class SeenKeys:
         self._write(settled(self.before(epoch).distinct()), min(-1, min(old) - 1))
         for p in old:
             self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (epoch = {p})")
-            _folder(self.spark, f"{self.path}/rows/epoch={p}", keep=False)
+            remove_folder(self.spark, f"{self.path}/rows/epoch={p}")
 
 
 def discard(data: Dataset, path: str) -> None:
     """Forget a prepared table and delete its folder."""
     spark = data.df.sparkSession
     spark.sql(f"DROP TABLE IF EXISTS {_name('side', path)}")
-    _folder(spark, path, keep=False)
+    remove_folder(spark, path)

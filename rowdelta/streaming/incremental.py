@@ -6,7 +6,6 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +17,7 @@ from rowdelta.options import KEY, DiffOptions, StreamingConfig
 from rowdelta.plans.scratch import scratch, settled
 from rowdelta.sources.csv_files import CsvStream
 from rowdelta.sources.dataset import INDEX, KEY_COLUMN, Dataset, numbered
-from rowdelta.sources.prepared import SeenKeys, discard, prepare
+from rowdelta.sources.prepared import SeenKeys, discard, exists, prepare
 
 
 @dataclass
@@ -187,10 +186,9 @@ class StreamingKeyDiff:
     def rejected(self) -> DataFrame:
         """The records that were left out: file, line, text, epoch."""
         spark = self.source.df.sparkSession
-        try:
+        if exists(spark, f"{self.path}/rejected"):
             return spark.read.parquet(f"{self.path}/rejected")
-        except AnalysisException:
-            return spark.createDataFrame([], "file string, line long, text string, epoch int")
+        return spark.createDataFrame([], "file string, line long, text string, epoch int")
 
     def finish(self) -> DataFrame:
         """The whole result, with the removed rows."""

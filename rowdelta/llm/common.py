@@ -23,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only on a single machine (``local[...]``) where that is unset a
     temporary one is made.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "rowdelta-checkpoints"))
     return df.checkpoint(eager=True)
 

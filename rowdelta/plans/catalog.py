@@ -446,6 +446,11 @@ def _view_queries() -> None:
     _register("view_default_order", lambda s, d: view(s, d).page(0, 40), f"{base} SELECT {shown} FROM d ORDER BY {rank}, coalesce(t_i, s_i) LIMIT 40")
     _register("view_sort_page", lambda s, d: view(s, d).only_differences().sort_by("o_totalprice", descending=True, numeric=True).sort_by("o_orderkey").page(20, 30),
               f"{base} SELECT {shown} FROM d WHERE status <> 'unchanged' ORDER BY CAST({new('o_totalprice')} AS DOUBLE) DESC, {new('o_orderkey')} LIMIT 30 OFFSET 20")
+    price = f"CAST({new('o_totalprice')} AS DOUBLE)"
+    deep = f"{base} SELECT {shown} FROM d {{}} ORDER BY {price} DESC, {new('o_orderkey')} LIMIT 50"
+    stored = lambda s, d: view(s, d).sort_by("o_totalprice", descending=True, numeric=True).sort_by("o_orderkey").store(scratch(s, "orders-pages"))
+    _register("view_deep_page", lambda s, d: stored(s, d).page(9000, 50), deep.format("") + " OFFSET 9000")
+    _register("view_page_from", lambda s, d: stored(s, d).page_from("123456.5", 50), deep.format(f"WHERE {price} <= 123456.5"))
     _register("view_change_text", lambda s, d: (lambda v: v.rows.where("status = 'modified'").select("key", v.change_text("o_orderstatus").alias("change")))(view(s, d)), f"{base} SELECT key, CASE WHEN s_o_orderstatus <> t_o_orderstatus THEN s_o_orderstatus || ' → ' || t_o_orderstatus ELSE t_o_orderstatus END AS change FROM d WHERE status = 'modified'")
 
     def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowdelta.plans.pages import StoredPages, store_pages
 from rowdelta.plans.search import SearchToken, parse_search, search_predicate
 
 #: The order in which a result is shown.
@@ -20,6 +21,11 @@ def natural_key(value: Column) -> Column:
     return F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 9, "0"), bare(x))).otherwise(x))
 
 
+def sort_value(value: Column, kind: str) -> Column:
+    """A shown value as a key of one of the three ways to sort."""
+    return value.try_cast("double") if kind == "numeric" else natural_key(value) if kind == "natural" else value
+
+
 @dataclass(frozen=True)
 class View:
     rows: DataFrame
@@ -86,27 +92,33 @@ class View:
 
         return status_counts(self.rows)
 
-    def _shown(self) -> DataFrame:
+    def shown(self) -> DataFrame:
+        """The rows after all filters, that of the status included."""
         return self.rows if self.status is None else self.rows.where(F.col("status") == self.status)
 
     def visible_count(self) -> int:
-        return self._shown().count()
+        return self.shown().count()
 
-    def _order(self) -> list[Column]:
-        keys = []
-        for name, descending, kind in self.sort:
-            value = F.col("status") if name == "type" else F.col("key") if name == "key" else self.display(name)
-            value = value.try_cast("double") if kind == "numeric" else natural_key(value) if kind == "natural" else value
-            keys.append(value.desc_nulls_last() if descending else value.asc_nulls_last())
+    def sort_keys(self) -> list[tuple[Column, bool]]:
+        """What rows are sorted by, and whether from the greatest on; what is null stands last. No two rows are equal in all of it."""
         rank = F.array_position(F.array(*[F.lit(s) for s in DISPLAY_ORDER]), F.col("status"))
-        return [*keys, rank, F.coalesce("target_idx", "source_idx"), F.coalesce("source_idx", "target_idx")]
+        last = [(rank, False), (F.coalesce("target_idx", "source_idx"), False), (F.coalesce("source_idx", "target_idx"), False)]
+        value = lambda name: F.col("status") if name == "type" else F.col("key") if name == "key" else self.display(name)
+        return [*[(sort_value(value(name), kind), descending) for name, descending, kind in self.sort], *last]
+
+    def _order(self) -> list[Column]:
+        return [v.desc_nulls_last() if descending else v.asc_nulls_last() for v, descending in self.sort_keys()]
 
     def table(self) -> DataFrame:
         """Status, key and the visible columns, in order."""
         names = [n for n in self.columns if n not in self.hidden]
-        return self._shown().orderBy(*self._order()).select("status", "key", *[self.display(n).alias(n) for n in names])
+        return self.shown().orderBy(*self._order()).select("status", "key", *[self.display(n).alias(n) for n in names])
 
     def page(self, offset: int, limit: int) -> DataFrame:
-        """A slice of the sorted rows; Spark keeps only the first ``offset + limit`` of each partition."""
+        """A slice of the sorted rows; Spark keeps only the first ``offset + limit`` of each partition. For pages far down see ``store``."""
         names = [n for n in self.columns if n not in self.hidden]
-        return self._shown().orderBy(*self._order()).offset(offset).limit(limit).select("status", "key", *[self.display(n).alias(n) for n in names])
+        return self.shown().orderBy(*self._order()).offset(offset).limit(limit).select("status", "key", *[self.display(n).alias(n) for n in names])
+
+    def store(self, path: str) -> StoredPages:
+        """Sort once and write the sorted rows, so that any page, however deep, is read without sorting the rows before it."""
+        return store_pages(self, path)

@@ -32,12 +32,21 @@ _DIGITS = re.compile(r"[0-9]+")
 _STREET = re.compile(r"[0-9]{1,5}\x20+(?:[A-Z][a-z]+\x20+){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd)\b")
 _CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "ssn", "passport")
 #: Words that a secret follows, after a sign that assigns it, and beginnings by which well-known keys are told.
-_SECRET_CUES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "api-key", "api key", "apikey", "access_key", "access key", "private_key", "client_key", "auth_key", "credential", "bearer")
+_SECRET_CUES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "credential")
+#: Cues that need no sign before a secret; those above are words of prose too.
+_BARE_CUES = ("api_key", "api-key", "api key", "apikey", "access_key", "access key", "private_key", "client_key", "auth_key", "bearer")
 _KEY_STARTS = ("akia", "asia", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "xoxa-", "eyj", "-----begin ")
-_ASSIGNED = re.compile(r"[A-Za-z0-9_-]{0,24}[\"']?\x20{0,3}(?:[:=]\x20{0,3}|\x20)[\"']?([^\s\"'<>,;]{8,})")
+_ASSIGNED = re.compile(r"[A-Za-z0-9_-]{0,24}[\"']?\x20{0,3}(?:([:=])\x20{0,3}|\x20)([\"']?)([^\s\"'<>,;]{8,})")
 _KEY_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_./+=-")
 _KEY = re.compile(r"[A-Za-z0-9_./+=-]{16,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
+# A private key block: headers, then base64 in long pieces and a padded last one; up to its end mark pieces of any length may follow, a line each.
+_BREAK = r"(?:[\x20\t]*+(?:[\r\n]|\\[nr])\s*+)"
+_GAP = r"(?:\s|\\[nr])++"
+_PEM = re.compile(
+    rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_BREAK}[A-Za-z-]{{3,20}}:[^\r\n\\]{{0,200}})*+"
+    rf"(?:{_GAP}[A-Za-z0-9+/]{{32,}}+={{0,2}})*+(?:{_GAP}[A-Za-z0-9+/]{{1,31}}+={{1,2}})?+"
+    rf"(?:(?:{_BREAK}[A-Za-z0-9+/]{{1,76}}+={{0,2}})*+(?:{_GAP}[A-Za-z0-9+/]++)?+(?:{_GAP})?+-----END [A-Z ]{{0,40}}PRIVATE KEY-----)?+"
+)
 
 
 def luhn(digits: str) -> bool:
@@ -66,7 +75,7 @@ def _cues():
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for kind, words in (("account", _CUES), ("secret", _SECRET_CUES), ("key", _KEY_STARTS)):
+    for kind, words in (("account", _CUES), ("secret", _SECRET_CUES), ("bare", _BARE_CUES), ("key", _KEY_STARTS)):
         for word in words:
             machine.add_word(word, (kind, len(word)))
     return machine.make_automaton() or machine
@@ -117,6 +126,13 @@ def _random(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and len(set(value)) >= 6
 
 
+def _set(value: str, sign: str | None, quoted: bool) -> bool:
+    """Whether a value of letters only is a secret that a sign assigns: capitals inside it, or twelve letters in quotes or after an equals sign."""
+    if sign is None or not (value.isascii() and value.isalpha()) or len(set(value)) < 6:
+        return False
+    return (len(value) >= 12 and (quoted or sign == "=")) or not (value[1:].islower() or value.isupper())
+
+
 def _cued(text: str, digits: bool) -> dict[str, list[tuple[int, int]]]:
     """Account numbers and secrets, from their cues."""
     found: dict[str, list[tuple[int, int]]] = {"account": [], "secret": []}
@@ -129,9 +145,12 @@ def _cued(text: str, digits: bool) -> dict[str, list[tuple[int, int]]]:
             continue
         if start < reach or end + 40 < dull:  # inside a secret, or deep inside a run that is none, which no later start makes one
             continue
-        if kind == "secret":
-            block, m = None, _ASSIGNED.match(text, end + 1)
-            span = m.span(1) if m else None
+        if kind in ("secret", "bare"):
+            m = _ASSIGNED.match(text, end + 1)
+            if m and m[1] is None and kind == "secret":
+                continue
+            span = m.span(3) if m else None
+            block = m and _set(m[3].rstrip(".!?)"), m[1], bool(m[2]))
         elif start and text[start - 1] in _KEY_PART:
             continue
         else:

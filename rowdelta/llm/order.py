@@ -35,20 +35,23 @@ def _range_of(key: Column, bounds: Column, n: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
 
 
-def with_next(df: DataFrame, key: str, ties: list[str], value: str, out: str, bounds: list[int], keep_range: bool = False) -> DataFrame:
+def with_next(df: DataFrame, key: str, ties: list[str], value: str, out: str, bounds: list[int], keep_range: bool = False, rank: str | None = None) -> DataFrame:
     """Add ``out``: ``value`` of the next row by descending ``key``, then ``ties``; null keys come last; the last row gets the first's.
 
     The keys are cut into ranges at ``bounds``. A row whose key is a bound stands in its own range, where it serves the row before
     it, and once more on top of the range below, where its own successor is. Rows with the greatest key also stand at the end of the
     lowest range. Only rows at bounds are doubled, so each range is one task's sort. ``keep_range`` keeps the column ``_range`` by which
-    rows are partitioned then: what groups by it and more needs no shuffle.
+    rows are partitioned then: what groups by it and more needs no shuffle. ``rank`` adds a column that orders rows of one key as they stood here: all of
+    them get their result in one range, and it is their place there.
     """
+    place = {} if rank is None else {rank: F.row_number()}
     k = F.col(key)
     if not bounds:
         ranged = df.withColumns({"_range": F.lit(0), "_role": F.lit(1)})
         w = Window.partitionBy("_range").orderBy(k.desc_nulls_last(), *ties)
         first = F.first(F.struct(F.col(value).alias("v"))).over(w)["v"]
-        return ranged.withColumn(out, F.when(F.lead(F.lit(1)).over(w).isNull(), first).otherwise(F.lead(value).over(w))).drop("_role", *([] if keep_range else ["_range"]))
+        following = F.when(F.lead(F.lit(1)).over(w).isNull(), first).otherwise(F.lead(value).over(w))
+        return ranged.withColumns({out: following} | {c: x.over(w) for c, x in place.items()}).drop("_role", *([] if keep_range else ["_range"]))
     listed = literal_longs(bounds)
     df = df.withColumn("_own", F.when(k.isNull(), 0).otherwise(_range_of(k, listed, len(bounds))))
     own = F.col("_own")
@@ -64,4 +67,4 @@ def with_next(df: DataFrame, key: str, ties: list[str], value: str, out: str, bo
     )
     ranged = df.withColumn("_place", F.explode(places)).withColumns({"_range": F.col("_place.r"), "_role": F.col("_place.o")}).drop("_place", "_own")
     w = Window.partitionBy("_range").orderBy((F.col("_role") == 3).asc(), k.desc_nulls_last(), *ties)
-    return ranged.withColumn(out, F.lead(value).over(w)).where(F.col("_role") < 2).drop("_role", *([] if keep_range else ["_range"]))
+    return ranged.withColumns({out: F.lead(value).over(w)} | {c: x.over(w) for c, x in place.items()}).where(F.col("_role") < 2).drop("_role", *([] if keep_range else ["_range"]))

@@ -158,13 +158,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
     bounds = bounds_of(base, "doc_id")
-    followed = with_next(base, "doc_id", ["_text"], "_text", "_next", bounds, keep_range=True)
+    followed = with_next(base, "doc_id", ["_text"], "_text", "_next", bounds, keep_range=True, rank="_at")
     n = F.char_length("_text")
     half = F.floor(n / 2).cast("int")
-    edited = followed.select("_range", "doc_id", n.cast("long").alias("n_chars"), "_text", F.concat(F.expr("left(_text, char_length(_text) - cast(floor(char_length(_text) / 2) as int))"), F.substring("_next", F.lit(1), half)).alias("_edited"))
-    hashed = edited.withColumns({"_sha": F.unhex(F.sha2(F.col("_edited").cast("binary"), 256)), "_tie": F.xxhash64("_text")})
+    edited = followed.select("_range", "doc_id", "_at", n.cast("long").alias("n_chars"), "_text", F.concat(F.expr("left(_text, char_length(_text) - cast(floor(char_length(_text) / 2) as int))"), F.substring("_next", F.lit(1), half)).alias("_edited"))
+    hashed = edited.withColumn("_sha", F.unhex(F.sha2(F.col("_edited").cast("binary"), 256)))
     found = fingerprints(hashed, {"_text": "fingerprint", "_edited": "edited_fingerprint"}, ("_range",)).drop("_range")
-    # Order texts of one id as above: by the text itself there, by its hash here, which only matters for ids that repeat.
-    out = with_next(found, "doc_id", ["_tie"], "fingerprint", "_next_print", bounds)
+    # Rows with the same id stand here as they stood there, so that both likenesses are to the same next document.
+    out = with_next(found, "doc_id", ["_at"], "fingerprint", "_next_print", bounds)
     alike = lambda x: 1 - distance(F.col("fingerprint"), F.col(x)) / BITS
     return out.select("doc_id", "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", alike("edited_fingerprint").cast("double").alias("near_edited"), alike("_next_print").cast("double").alias("near_next"))

@@ -293,6 +293,20 @@ def test_edits_of_large_and_equal_ids(spark):
         assert all(r.near_next is not None and r.near_edited is not None for r in got)
 
 
+def test_both_likenesses_are_to_the_same_document_where_ids_repeat(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice((None, *range(-3, 12))), prose(rng.randrange(40), 3 + k % 9)) for k in range(150)]
+    got = simhash.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    expected = []
+    for k, (doc, text) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        apart = (int(plain_fingerprint(text), 16) ^ int(plain_fingerprint(following), 16)).bit_count()
+        expected.append((doc, sha(edited.encode()), plain_fingerprint(text), 1 - apart / 256))
+    same([(r.doc_id, r.edited_sha256, r.fingerprint, r.near_next) for r in got], expected)
+
+
 def test_likeness_is_the_share_of_equal_bits(spark):
     rows = [(k, prose(k % 4, 30 + 10 * (k % 3))) for k in range(12)]
     apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count() / 256

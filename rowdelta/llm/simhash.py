@@ -11,6 +11,7 @@ Empty and null texts have no terms and get the fingerprint of all zeros; equal t
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,11 @@ _RUN = 127
 _LANES = 0x0101010101010101
 _PAIR = 0x000000FF000000FF
 _LOW = 0xFFFFFFFF
-#: Bits in which near fingerprints may differ, and fingerprints of a chunk that is compared within one row.
-RADIUS, CHUNK = 7, 256
+#: Blocks of a fingerprint, each half a word.
+_BLOCKS = BITS // 32
+#: Bits in which near fingerprints may differ, and fingerprints of a chunk that is compared within one row. Texts that share four fifths of their
+#: runs of five words were found 11 to 39 bits apart, nineteen in twenty of them within 31; unrelated ones are some 127 bits apart.
+RADIUS, CHUNK = 31, 256
 
 
 def words_of(text: Column) -> Column:
@@ -82,11 +86,6 @@ def fingerprints(df: DataFrame, columns: dict[str, str], partitioned_by: tuple[s
     return wide.select("_kept.*", *[columns[c] for c in names])
 
 
-def _parts(print_: Column, n: int) -> list[Column]:
-    size = BITS // 4 // n
-    return [F.substring(print_, 1 + k * size, size) for k in range(n)]
-
-
 def distance(a: Column, b: Column) -> Column:
     """Hamming distance of two fingerprints."""
     return reduce(lambda x, y: x + y, [F.bit_count(_long(a, k).bitwiseXOR(_long(b, k))) for k in range(BITS // 64)])
@@ -98,53 +97,65 @@ def _long(print_: Column, k: int) -> Column:
     return F.shiftleft(part(1 + 16 * k), 32).bitwiseOR(part(9 + 16 * k))
 
 
-def _agree(differ: list[Column], block: int, n: int) -> Column:
-    """Whether block ``block`` of ``n`` has no bit that differs."""
-    size = BITS // n
-    if size >= 64:
-        return reduce(lambda a, b: a & b, [differ[k] == 0 for k in range(block * size // 64, (block + 1) * size // 64)])
-    return F.shiftrightunsigned(differ[block * size // 64], 64 - size - block * size % 64).bitwiseAND(F.lit((1 << size) - 1)) == 0
+def _tables(radius: int) -> list[tuple[int, int]]:
+    """Tables that two fingerprints within the radius cannot all miss: (block, mask of its bits that lead the table).
+
+    Of eight blocks one differs in at most t = radius div 8 bits. It is cut into t + 3 pieces, of which at least three don't differ, so
+    each choice of three pieces leads one table: 8 tables of 32 bits up to a radius of 7, 80 of some 19 bits to 23, 160 of 16 bits to 31.
+    """
+    if not 0 <= radius < 64:
+        raise ValueError(f"radius must be below 64 of {BITS} bits: beyond it tables have so few bits that nearly all fingerprints share one")
+    size = BITS // _BLOCKS
+    n = radius // _BLOCKS + 3
+    edges = [k * size // n for k in range(n + 1)]
+    pieces = [(1 << b) - (1 << a) for a, b in pairwise(edges)]
+    return [(block, sum(three)) for block in range(_BLOCKS) for three in combinations(pieces, 3)]
+
+
+def _block(word: Column, block: int) -> Column:
+    """The upper half of a word for an even block, the lower half for an odd one."""
+    return F.shiftrightunsigned(word, 32 * (1 - block % 2)).bitwiseAND(F.lit(_LOW))
 
 
-def _fewest_blocks(radius: int) -> int:
-    """Blocks of equal whole digits, of which two fingerprints within the radius must share one."""
-    n = next((k for k in (1, 2, 4, 8, 16, 32, 64) if k > radius), None)
-    if n is None:
-        raise ValueError(f"radius must be below 64 of {BITS} bits: beyond it blocks have less than a digit and nearly all fingerprints share one")
-    return n
+def _printed(words: list[Column]) -> Column:
+    return F.concat(*[F.lpad(F.lower(F.hex(w)), 16, "0") for w in words])
 
 
 def near_fingerprints(prints: DataFrame, column: str, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """How many other fingerprints lie within ``radius`` bits of each different one: p, copies, n_near, near_rows, least.
 
     ``copies`` counts the rows that have the fingerprint, ``n_near`` the other fingerprints within the radius, ``near_rows`` the rows that have those, and
-    ``least`` is the smallest fingerprint within the radius, itself included. Null fingerprints are left out; a radius of 64 or more is an error.
+    ``least`` is the smallest fingerprint within the radius, itself included. Null fingerprints are left out, an empty table gives no rows; a radius of 64 or more is an error.
 
-    Permuted block tables: the fingerprint is cut into ``radius + 1`` blocks or more, of whole digits. Two fingerprints within the radius agree in
-    one block or more, so each block in turn leads a table keyed by its value, and what meets in a table is compared in full. A pair
-    counts in the first block that it shares. Copies are one row. A table's value that many fingerprints share is cut into chunks,
+    Permuted block tables (``_tables``): each is led by some of the bits, and fingerprints that meet in it are compared in full. A pair
+    counts in the first table that it shares. Copies are one row. A table's value that more than ``chunk`` fingerprints share is cut into chunks,
     which are gathered as arrays and compared in pairs of chunks inside one row, so pairs are never rows and no task holds a whole group.
     """
-    n = _fewest_blocks(radius)
+    tables = _tables(radius)
     base = prints.select(F.col(column).alias("p")).where(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("copies"))
-    tables = base.select("p", "copies", F.posexplode(F.array(*_parts(F.col("p"), n))).alias("block", "value"))
-    sizes = tables.groupBy("block", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    parts = F.ceil(F.col("size") / chunk).cast("int")
-    dealt = tables.join(sizes.repartition(shuffle_width(prints.sparkSession)), ["block", "value"]).withColumns({"parts": parts, "part": F.pmod(F.xxhash64("p"), parts).cast("int")})
-    held = dealt.groupBy("block", "value", "parts", "part").agg(F.collect_list(F.struct("p", "copies", *[_long(F.col("p"), k).alias(w) for k, w in enumerate(_WORDS)])).alias("held"))
+    worded = base.select("copies", *[_long(F.col("p"), k).alias(w) for k, w in enumerate(_WORDS)])
+    leads = [_block(F.col(_WORDS[block // 2]), block).bitwiseAND(F.lit(mask)) for block, mask in tables]
+    rows = worded.select(F.struct(*_WORDS, "copies").alias("x"), F.posexplode(F.array(*leads)).alias("table", "value"))
+    crowded = rows.groupBy("table", "value").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > chunk)
+    parts = F.coalesce(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int")
+    dealt = rows.join(crowded, ["table", "value"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    held = dealt.groupBy("table", "value", "parts", "part").agg(F.collect_list("x").alias("held")).where((F.col("parts") > 1) | (F.size("held") > 1))
     pair = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pair = pair.select("block", "value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), "held")
-    both = pair.groupBy("block", "value", "i", "j").agg(F.first(F.when(~F.col("second"), F.col("held")), ignorenulls=True).alias("a"), F.first(F.when(F.col("second"), F.col("held")), ignorenulls=True).alias("b"))
+    pair = pair.select("table", "value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), "held")
+    both = pair.groupBy("table", "value", "i", "j").agg(F.first(F.when(~F.col("second"), F.col("held")), ignorenulls=True).alias("a"), F.first(F.when(F.col("second"), F.col("held")), ignorenulls=True).alias("b"))
     both = both.withColumn("b", F.when(F.col("i") == F.col("j"), F.col("a")).otherwise(F.col("b"))).where("a is not null and b is not null")
+    before = F.slice(F.array(*[F.struct(F.lit(block).alias("block"), F.lit(mask).alias("mask")) for block, mask in tables]), F.lit(1), F.col("table"))
     differ = lambda x, y: [x[w].bitwiseXOR(y[w]) for w in _WORDS]
-    earlier = lambda x, y: reduce(lambda at, k: at | ((F.col("block") > k) & _agree(differ(x, y), k, n)), range(n - 1), F.lit(False))
     bits = lambda x, y: reduce(lambda at, d: at + F.bit_count(d), differ(x, y), F.lit(0))
+    halves = lambda x, y: F.array(*[_block(differ(x, y)[block // 2], block) for block in range(_BLOCKS)])
+    earlier = lambda x, y: F.exists(before, lambda t: F.get(halves(x, y), t["block"]).bitwiseAND(t["mask"]) == 0)
     near = lambda x, y: bits(x, y).between(1, radius) & ~earlier(x, y)
+    printed = lambda y: _printed([y[w] for w in _WORDS])
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("rows"), F.lit("g").alias("least"))  # "g" is above all digits
-    add = lambda at, y: F.struct((at["n"] + 1).alias("n"), (at["rows"] + y["copies"]).alias("rows"), F.least(at["least"], y["p"]).alias("least"))
-    seen = lambda x, ys: F.struct(x["p"].alias("p"), F.aggregate(F.filter(ys, lambda y: near(x, y)), none, add).alias("f"))
+    add = lambda at, y: F.struct((at["n"] + 1).alias("n"), (at["rows"] + y["copies"]).alias("rows"), F.least(at["least"], printed(y)).alias("least"))
+    seen = lambda x, ys: F.struct(printed(x).alias("p"), F.aggregate(F.filter(ys, lambda y: near(x, y)), none, add).alias("f"))
     ways = F.when(F.col("i") == F.col("j"), F.transform("a", lambda x: seen(x, F.col("b")))).otherwise(F.concat(F.transform("a", lambda x: seen(x, F.col("b"))), F.transform("b", lambda y: seen(y, F.col("a")))))
-    found = both.select(F.explode(ways).alias("s")).where("s.f.n > 0").groupBy("s.p").agg(F.sum("s.f.n").alias("n_near"), F.sum("s.f.rows").alias("near_rows"), F.min("s.f.least").alias("least"))
+    found = both.select(F.explode(F.filter(ways, lambda s: s["f"]["n"] > 0)).alias("s")).groupBy("s.p").agg(F.sum("s.f.n").alias("n_near"), F.sum("s.f.rows").alias("near_rows"), F.min("s.f.least").alias("least"))
     out = base.join(found, "p", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("p", "copies", zero("n_near"), zero("near_rows"), F.coalesce(F.least("p", "least"), "p").alias("least"))

@@ -16,7 +16,7 @@ from itertools import combinations, pairwise
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, shuffle_width, text_or_empty
+from .common import WORD, cut, text_or_empty
 from .order import bounds_of, with_next
 
 BITS = 256
@@ -132,7 +132,7 @@ def near_fingerprints(prints: DataFrame, column: str, radius: int = RADIUS, chun
     which are gathered as arrays and compared in pairs of chunks inside one row, so pairs are never rows and no task holds a whole group.
     """
     tables = _tables(radius)
-    base = prints.select(F.col(column).alias("p")).where(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("copies"))
+    base = cut(prints.select(F.col(column).alias("p")).where(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("copies")))
     worded = base.select("copies", *[_long(F.col("p"), k).alias(w) for k, w in enumerate(_WORDS)])
     leads = [_block(F.col(_WORDS[block // 2]), block).bitwiseAND(F.lit(mask)) for block, mask in tables]
     rows = worded.select(F.struct(*_WORDS, "copies").alias("x"), F.posexplode(F.array(*leads)).alias("table", "value"))

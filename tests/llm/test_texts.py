@@ -336,6 +336,16 @@ def test_near_fingerprints(spark, radius, chunk):
     assert found == {(a, c, len(within[a]) - 1, sum(n[b] for b in within[a] if b != a), min(within[a])) for a, c in n.items()}
 
 
+def test_near_fingerprints_of_the_documents(spark):
+    """The registered query over the whole table against all pairs of its fingerprints."""
+    from rowdelta.llm.queries import QUERIES
+
+    found = QUERIES["simhash_near"](spark, "/root/testdata/sf0.001").collect()
+    prints = Counter(plain_fingerprint(r.text or "") for r in spark.read.parquet(f"{"/root/testdata/sf0.001"}/documents.parquet").select("text").collect())
+    near = {a: [b for b in prints if (int(a, 16) ^ int(b, 16)).bit_count() <= simhash.RADIUS] for a in prints}
+    same([tuple(r) for r in found], [(a, n, len(near[a]) - 1, sum(prints[b] for b in near[a] if b != a), min(near[a])) for a, n in prints.items()])
+
+
 def test_radius_without_blocks_is_an_error(spark):
     with pytest.raises(ValueError, match="below 64"):
         simhash.near_fingerprints(spark.createDataFrame([("0" * 64,)], "p string"), "p", 64)

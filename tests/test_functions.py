@@ -1,10 +1,12 @@
 """Scalar functions, the search language and codecs."""
 
 import random
-import time
 import re
+import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +17,7 @@ from rowdelta.functions.keys import fingerprint, fingerprint_hash, row_key
 from rowdelta.functions.normalize import is_empty_or_null, normalized, unicode_trim
 from rowdelta.functions.similarity import edit_distance, jaro_winkler, jaro_winkler_distinct, jaro_winkler_pairs, normalized_levenshtein
 from rowdelta.functions import textdiff
-from rowdelta.functions.textdiff import word_changes, word_diff
+from rowdelta.functions.textdiff import changes_of, word_changes, word_diff
 from rowdelta.options import PROFILES, StreamingConfig
 from rowdelta.plans.search import SearchToken, parse_search, remove_token, search_predicate, tokens_to_query
 from rowdelta.sources.codec import decode_frame, encode_row, to_binary_frame, to_json
@@ -242,3 +244,24 @@ def test_options():
     assert StreamingConfig() == StreamingConfig(5000, True, 10) and StreamingConfig().with_progress_interval(3).progress_interval == 3
     assert {p.chunk_size for p in PROFILES.values()} == {50_000, 10_000, 5_000}
     assert np.isclose(DiffOptions().threshold, 0.5)
+
+
+def test_word_diffs_of_many_texts_hold_few_python_objects():
+    """A diff's words were dictionaries all at once, a whole batch of texts long."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(2000)) for _ in range(200)]
+    held = pa.array(texts)
+    tracemalloc.start()
+    try:
+        found = changes_of(held, held)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20  # 800,000 words as dictionaries take above 150 MB
+    assert ["".join(d["value"] for d in found[k].as_py()) for k in (0, 199)] == [texts[0], texts[199]]
+
+
+def test_word_diff_has_rows_sent_in_batches_of_bytes(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    word_diff(F.col("a"), F.col("b"))
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", before or -1)) <= 4 << 20

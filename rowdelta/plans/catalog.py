@@ -19,7 +19,7 @@ from rowdelta.functions.textdiff import word_diff
 from rowdelta.operators import content, keyed
 from rowdelta.options import DiffOptions, StreamingConfig
 from rowdelta.plans.diff import DiffResult, diff
-from rowdelta.plans.scratch import scratch
+from rowdelta.plans.scratch import scratch, settled
 from rowdelta.plans.search import parse_search, remove_token
 from rowdelta.sources.codec import decode_frame, encode_rows, frame_head, read_frames, to_json, write_frames
 from rowdelta.sources.csv_files import read_csv, write_csv
@@ -412,7 +412,14 @@ def _function_queries() -> None:
     prints = " || chr(124) || chr(124) || ".join(f"({_norm(f'CAST({c} AS VARCHAR)', o)})" for c in _P)
     _register("fingerprint_hash_groups", lambda s, d: part(s, d).groupBy(fingerprint_hash(cells(), o)).agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("groups")),
               f"SELECT n, count(*) AS groups FROM (SELECT count(*) AS n FROM (SELECT {prints} AS fp FROM part) GROUP BY fp) GROUP BY n")
-    _register("benchmark_parallel", lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select(F.sum(F.col("l_partkey") * F.col("l_partkey")).alias("sum_of_squares")), "SELECT CAST(sum(l_partkey * l_partkey) AS BIGINT) AS sum_of_squares FROM lineitem")
+
+    def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The sum is exact at any size. It is a BIGINT as in the SQL while it fits one, else a decimal: the SQL has an error there."""
+        key = F.col("l_partkey").cast("decimal(19,0)")
+        total = settled(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.sum((key * key).cast("decimal(38,0)")).alias("sum_of_squares")))
+        return total if (total.first()[0] or 0) >= 1 << 63 else total.select(F.col("sum_of_squares").cast("long"))
+
+    _register("benchmark_parallel", squares, "SELECT CAST(sum(l_partkey * l_partkey) AS BIGINT) AS sum_of_squares FROM lineitem")
 
 
 def _view_queries() -> None:

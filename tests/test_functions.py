@@ -19,6 +19,7 @@ from rowdelta.functions.similarity import edit_distance, jaro_winkler, jaro_wink
 from rowdelta.functions import textdiff
 from rowdelta.functions.textdiff import changes_of, word_changes, word_diff
 from rowdelta.options import PROFILES, StreamingConfig
+from rowdelta.plans import catalog
 from rowdelta.plans.search import SearchToken, parse_search, remove_token, search_predicate, tokens_to_query
 from rowdelta.sources.codec import decode_frame, encode_row, to_binary_frame, to_json
 
@@ -265,3 +266,13 @@ def test_word_diff_has_rows_sent_in_batches_of_bytes(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
     word_diff(F.col("a"), F.col("b"))
     assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", before or -1)) <= 4 << 20
+
+
+def test_sum_of_squares_beyond_a_long(spark, tmp_path):
+    write = lambda keys: spark.createDataFrame([(k,) for k in keys], "l_partkey long").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda: catalog.QUERIES["benchmark_parallel"](spark, str(tmp_path))
+    for keys, kind in (([3_000_000_000, 2_999_999_999], "decimal(38,0)"), ([3, 4], "bigint")):
+        write(keys)
+        assert run().dtypes == [("sum_of_squares", kind)] and int(run().first()[0]) == sum(k * k for k in keys)
+    write([4_000_000_000])
+    assert int(run().first()[0]) == 4_000_000_000**2

@@ -33,7 +33,7 @@ from rowdelta.sources.dataset import INDEX, Dataset
 CHUNK = 512
 #: Blocks of so many pairs at most are compared as joined rows; only larger ones are worth tasks of their own.
 SMALL = 256
-#: Pairs of rows up to which greedy matching lists all that are above the threshold; beyond that each row lists its best partners first.
+#: Pairs of rows that may want each other up to which greedy matching lists all that are above the threshold; beyond that each row lists its best partners first.
 DIRECT_PAIRS = 4_000_000
 #: Partners that a row lists first.
 WISHES = 8
@@ -265,6 +265,17 @@ def _without(data: Dataset, matched: DataFrame, column: str) -> Dataset:
     return Dataset(rest, data.headers, data.warnings)
 
 
+def _n_pairs(source: Dataset, target: Dataset, options: DiffOptions, all_pairs: bool) -> int:
+    """Pairs of rows that share a cell, those that share several more than once; or of any rows."""
+    if all_pairs:
+        return source.df.count() * target.df.count()
+    columns = shared_columns(source, target, options)
+    if not columns:
+        return 0
+    count = lambda d, of_target, name: cells(d, columns, options, of_target).groupBy("col", "val").agg(F.count(F.lit(1)).alias(name))
+    return int(count(source, False, "n_s").join(count(target, True, "n_t"), ["col", "val"]).agg(F.sum(F.col("n_s").cast("decimal(38,0)") * F.col("n_t"))).first()[0] or 0)
+
+
 def greedy_matches(source: Dataset, target: Dataset, options: DiffOptions, all_pairs: bool = False) -> DataFrame:
     """Row by row in the source's order, each row takes the last exact copy that is free, or else its best free partner.
 
@@ -275,7 +286,7 @@ def greedy_matches(source: Dataset, target: Dataset, options: DiffOptions, all_p
     t_fp = target.df.select(F.col(INDEX).alias("target_idx"), fingerprint_of(target, source, options).alias("fp"))
     sources, targets = settled(s_fp), settled(t_fp)
     copies = targets.join(sources.select("fp").distinct(), "fp", "left_semi")
-    if sources.count() * targets.count() <= DIRECT_PAIRS:
+    if _n_pairs(source, target, options, all_pairs) <= DIRECT_PAIRS:
         other = good_pairs(source, target, options, all_pairs).join(sources.withColumnRenamed("fp", "s_fp"), "source_idx").join(targets.withColumnRenamed("fp", "t_fp"), "target_idx").where("s_fp != t_fp")
         return _settled_matches(sources, copies, settled(other.select("source_idx", "target_idx", "score")))
     k = WISHES

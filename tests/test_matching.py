@@ -173,3 +173,14 @@ def test_connected_groups(spark, limit):
         parent[max(a, b)] = min(a, b)
     found = conflicts.connected(spark.createDataFrame(edges, "u long, v long").repartition(3), limit).collect()
     assert {r.node: r.root for r in found} == {x: find(x) for x in parent} and len(found) == len(parent)
+
+
+def test_greedy_matching_counts_only_pairs_that_can_want_each_other(spark, monkeypatch):
+    """400 rows of which 20 share a value are few wishes, however many pairs of rows there are."""
+    rows = [(f"n{k}", f"group {k // 20}", str(1000 + k)) for k in range(400)]
+    new = [(a, s, c + "x") for a, s, c in rows]
+    monkeypatch.setattr(content, "DIRECT_PAIRS", 10_000)
+    expected = {k: k for k in range(400)}
+    monkeypatch.setattr(content, "best_targets", lambda *a, **k: pytest.fail("a search for few pairs"))
+    found = content.greedy_matches(table(spark, rows), table(spark, new), STRICT).collect()
+    assert {r.source_idx: r.target_idx for r in found} == expected

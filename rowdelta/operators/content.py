@@ -39,6 +39,8 @@ DIRECT_PAIRS = 4_000_000
 WISHES = 8
 #: Pairs in large blocks that are scored without a search.
 FEW_PAIRS = 100_000
+#: Pairs that a task of a report on all candidates makes.
+TASK_PAIRS = 4_000_000
 #: A fingerprint with more rows than this is numbered in slices of the row index, so that no task has to sort them all.
 HOT_ROWS = 1_000_000
 
@@ -97,18 +99,63 @@ def cells(data: Dataset, columns: list[str], options: DiffOptions, of_target: bo
     return long.where(unicode_trim(F.col("val")) != "")
 
 
-def candidate_pairs(source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:
-    """All distinct pairs of rows that share a cell, as rows (source_idx, target_idx). For reports on data without common values:
-    the main path doesn't make them."""
+def _probes(data: Dataset, columns: list[str], options: DiffOptions, of_target: bool) -> Column:
+    """What a row is looked up by, column by column; a blank cell is null."""
+    return F.array(*[F.when(unicode_trim(p) != "", p) for n in columns for p in [_probe(data.cell(n), options, of_target)]])
+
+
+def _meetings(source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:
+    """All pairs of rows that share a cell, once each: source_idx, target_idx and the cells of both (prefixed).
+
+    A pair is made in the block of the first column that it shares and in no other, so none has to be told from another. Blocks are dealt in
+    pairs of chunks, which bounds what a task holds of a common value; its pairs pass through.
+    """
     columns = shared_columns(source, target, options)
-    s, t = cells(source, columns, options, False).withColumnRenamed("idx", "source_idx"), cells(target, columns, options, True).withColumnRenamed("idx", "target_idx")
-    return s.join(t, ["col", "val"]).select("source_idx", "target_idx").distinct()
+
+    def long(data: Dataset, of_target: bool, prefix: str) -> DataFrame:
+        rows = data.df.withColumn("probe", _probes(data, columns, options, of_target))
+        return rows.select(*[F.col(c).alias(prefix + c) for c in rows.columns], F.posexplode("probe").alias("col", "val")).where("val is not null")
+
+    s, t = long(source, False, S), long(target, True, T)
+    count = lambda df, name: df.groupBy("col", "val").agg(F.count(F.lit(1)).alias(name))
+    sizes = count(s, "n_s").join(count(t, "n_t"), ["col", "val"])
+    sizes = settled(sizes.repartition(int(source.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    total = sizes.agg(F.sum(F.col("n_s") * F.col("n_t"))).first()[0] or 0
+    tasks = max(int(source.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, total // TASK_PAIRS))
+    many = sizes.select("col", "val", *[F.ceil(F.col(n) / CHUNK).cast("int").alias(n) for n in ("n_s", "n_t")])
+    part = lambda idx, n: F.pmod(F.xxhash64(idx, F.lit(11)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["col", "val", "i", "j"]
+    left = s.join(many, ["col", "val"]).withColumns({"i": part(S + INDEX, "n_s"), "j": every("n_t")}).drop("n_s", "n_t")
+    right = t.join(many, ["col", "val"]).withColumns({"j": part(T + INDEX, "n_t"), "i": every("n_s")}).drop("n_s", "n_t")
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys)
+    for c in range(len(columns) - 1):
+        met = met.where((F.col("col") <= c) | F.coalesce(F.col(S + "probe")[c] != F.col(T + "probe")[c], F.lit(True)))
+    return met.drop(*keys, S + "probe", T + "probe").withColumns({"source_idx": F.col(S + INDEX), "target_idx": F.col(T + INDEX)})
+
+
+def candidate_pairs(source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:
+    """All distinct pairs of rows that share a cell, as rows (source_idx, target_idx). For reports: the main path doesn't make them."""
+    if not shared_columns(source, target, options):
+        return _no_pairs(source).select("source_idx", "target_idx")
+    return _meetings(source, target, options).select("source_idx", "target_idx")
+
+
+def scored_candidates(source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:
+    """All distinct pairs of rows that share a cell with their score; rows are scored where they meet."""
+    if not shared_columns(source, target, options):
+        return _no_pairs(source).select("source_idx", "target_idx", "score")
+    return _scored(_meetings(source, target, options), source, target, options)
 
 
 def score_pairs(pairs: DataFrame, source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:
     """Add ``score`` to (source_idx, target_idx) rows: the mean similarity of the shared columns, 0 without any."""
-    columns = shared_columns(source, target, options)
     both = pairs.join(side(source, S), F.col("source_idx") == F.col(S + INDEX)).join(side(target, T), F.col("target_idx") == F.col(T + INDEX))
+    return _scored(both, source, target, options)
+
+
+def _scored(both: DataFrame, source: Dataset, target: Dataset, options: DiffOptions) -> DataFrame:
+    columns = shared_columns(source, target, options)
     total = F.lit(0.0)
     for n in columns:
         a, b = source.cell(n, S), target.cell(n, T)
@@ -229,8 +276,7 @@ def best_targets(source: Dataset, target: Dataset, options: DiffOptions, k: int
     if not columns:
         return _no_pairs(source)
     copy = lambda d: fingerprint_of(d, source, options) if no_copies else F.lit(None).cast("string")
-    probes = lambda d, of_target: F.array(*[F.when(unicode_trim(p) != "", p) for n in columns for p in [_probe(d.cell(n), options, of_target)]])
-    rows = lambda d, of_target: d.df.select(F.col(INDEX).alias("idx"), _scored_values(d, columns, options).alias("row"), probes(d, of_target).alias("probe"), copy(d).alias("print"))
+    rows = lambda d, of_target: d.df.select(F.col(INDEX).alias("idx"), _scored_values(d, columns, options).alias("row"), _probes(d, columns, options, of_target).alias("probe"), copy(d).alias("print"))
     s, t = rows(source, False), rows(target, True)
     if all_pairs:
         return best_partners(s, t, _no_pairs(source).select("source_idx", "score", "target_idx"), len(columns), options.similarity, options.threshold, k, True)

@@ -298,7 +298,7 @@ def _content_queries() -> None:
 
     def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         source, target = rest(spark, sf_dir)
-        return content.score_pairs(content.candidate_pairs(source, target, o), source, target, o).withColumn("score", F.round("score", 6))
+        return content.scored_candidates(source, target, o).withColumn("score", F.round("score", 6))
 
     def best(spark: SparkSession, sf_dir: str) -> DataFrame:
         return content.best_targets(*rest(spark, sf_dir), o).select("source_idx", "target_idx", F.round("score", 6).alias("score"))

@@ -184,3 +184,17 @@ def test_greedy_matching_counts_only_pairs_that_can_want_each_other(spark, monke
     monkeypatch.setattr(content, "best_targets", lambda *a, **k: pytest.fail("a search for few pairs"))
     found = content.greedy_matches(table(spark, rows), table(spark, new), STRICT).collect()
     assert {r.source_idx: r.target_idx for r in found} == expected
+
+
+def test_candidates_come_once_and_are_dealt_in_chunks(spark, monkeypatch):
+    a, b = hot_rows(60, 31), changed(hot_rows(60, 31), 32)
+    expected = sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if any(u.strip() and u == v for u, v in zip(x, y, strict=True)))
+    monkeypatch.setattr(content, "CHUNK", 7)
+    monkeypatch.setattr(content, "TASK_PAIRS", 100)
+    pairs = content.candidate_pairs(table(spark, a), table(spark, b), STRICT)
+    assert sorted(tuple(r) for r in pairs.collect()) == expected
+    assert pairs.rdd.getNumPartitions() >= sum(1 for _ in expected) // 100  # one task had all pairs of a common value
+    scores = content.scored_candidates(table(spark, a), table(spark, b), STRICT).collect()
+    assert {(r.source_idx, r.target_idx): round(r.score, 9) for r in scores} == {(i, j): round(sum(similarity(u, v) for u, v in zip(a[i], b[j], strict=True)) / 3, 9) for i, j in expected}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "SortAggregate" not in plan  # none is told from another

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -52,12 +50,14 @@ def jaro_winkler_pairs(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def jaro_winkler(left: Column, right: Column) -> Column:
-    """Jaro-Winkler similarity as a column (an Arrow UDF; Spark has no built-in for it). A null counts as empty."""
+    """Jaro-Winkler similarity as a column (an Arrow UDF; Spark has no built-in for it). A null counts as empty.
+
+    It isn't one over iterators of batches: Spark gives each of those a Python worker of its own, so a row of five columns took five for each task.
+    """
 
     @F.pandas_udf("double")
-    def pairs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series(jaro_winkler_distinct(a.fillna("").tolist(), b.fillna("").tolist()))
+    def pairs(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(jaro_winkler_distinct(a.fillna("").tolist(), b.fillna("").tolist()))
 
     return pairs(left, right)
 

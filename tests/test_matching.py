@@ -198,3 +198,9 @@ def test_candidates_come_once_and_are_dealt_in_chunks(spark, monkeypatch):
     assert {(r.source_idx, r.target_idx): round(r.score, 9) for r in scores} == {(i, j): round(sum(similarity(u, v) for u, v in zip(a[i], b[j], strict=True)) / 3, 9) for i, j in expected}
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and "SortAggregate" not in plan  # none is told from another
+
+
+def test_a_row_of_columns_is_scored_by_one_python_worker(spark):
+    pairs = spark.createDataFrame([(0, 0)], "source_idx long, target_idx long")
+    scored = content.score_pairs(pairs, table(spark, [("a", "b", "c")]), table(spark, [("d", "e", "f")]), STRICT)
+    assert scored._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

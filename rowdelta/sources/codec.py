@@ -8,10 +8,11 @@ column, old and new values. A string is its length in bytes (u32) and UTF-8; a m
 from __future__ import annotations
 
 import struct
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,44 +79,193 @@ def to_binary_frame(rows: DataFrame) -> bytes:
 
 #: Bytes of rows after which a task closes a frame.
 FRAME_BYTES = 8 << 20
-_FRAME = ", ".join([*[f"{s} long" for s in _ORDER], "data binary"])
+#: Bytes of rows that are encoded or decoded at once.
+_SLICE = 8 << 20
+_FRAME = ", ".join([*[f"{s} long" for s in _ORDER], "data binary", "row_bytes binary"])
 _ROW = "status string, key string, source_row map<string,string>, target_row map<string,string>, differences array<struct<column:string,old_value:string,new_value:string>>"
 
 
+def _u32(numbers: np.ndarray) -> pa.Array:
+    """Numbers as four bytes each."""
+    places = np.arange(0, 4 * len(numbers) + 4, 4, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(numbers, "<u4"))])
+
+
+def _sized(values: pa.Array) -> pa.Array:
+    """Strings with their length before them; a null is an empty one."""
+    data = values.cast(pa.binary()).fill_null(b"")
+    return pc.binary_join_element_wise(_u32(pc.binary_length(data).to_numpy()), data, b"")
+
+
+def _listed(lists: pa.Array, wanted: pa.Array, fields: list[pa.Array]) -> pa.Array:
+    """Of each wanted list its size and its entries' fields; nothing of the others."""
+    entries = pc.binary_join_element_wise(*[_sized(f) for f in fields], b"")
+    sizes = np.diff(lists.offsets.to_numpy())
+    joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, entries), b"")
+    return pc.if_else(wanted, pc.binary_join_element_wise(_u32(sizes), joined, b""), pa.scalar(b"", pa.binary()))
+
+
+def _encoded(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """Places of the rows' statuses in ``_ORDER`` and the rows' bytes, column by column."""
+    kinds = pc.index_in(batch.column("status"), pa.array(_ORDER))
+    if kinds.null_count:
+        raise ValueError("Unknown row type")
+    kinds = kinds.to_numpy()
+    old, new, changed = (batch.column(c) for c in ("source_row", "target_row", "differences"))
+    has_old, has_new, has_changes = (pa.array(np.isin(kinds, [_ORDER.index(s) for s in of])) for of in (("removed", "modified", "unchanged"), ("added", "modified"), ("modified",)))
+    parts = [
+        pa.Array.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer(np.arange(len(kinds) + 1, dtype=np.int32)), pa.py_buffer((kinds + 1).astype(np.uint8))]),
+        _sized(batch.column("key")),
+        _listed(old, has_old, [old.keys, old.items]),
+        _listed(new, has_new, [new.keys, new.items]),
+        _listed(changed, has_changes, [changed.values.field(c) for c in ("column", "old_value", "new_value")]),
+    ]
+    return kinds, pc.binary_join_element_wise(*parts, b"")
+
+
 def encode_frames(rows: DataFrame, frame_bytes: int = FRAME_BYTES) -> DataFrame:
-    """A result as frames of about ``frame_bytes``, each complete in itself, with their counts: tasks make their own rows' frames, nothing goes through the driver."""
+    """A result as frames of about ``frame_bytes``, each complete in itself, with their counts: tasks make their own rows' frames, nothing goes through the driver.
+
+    ``row_bytes`` has the bytes of each row of the frame (u32), so that its rows can be decoded beside each other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts, size = [], Counter(), 0
+        held: list[bytes] = []
+        sizes: list[np.ndarray] = []
+        counts, size = np.zeros(4, np.int64), 0
 
         def frame() -> pa.RecordBatch:
-            columns = {s: pa.array([counts[s]], pa.int64()) for s in _ORDER}
-            return pa.RecordBatch.from_pydict(columns | {"data": pa.array([frame_head(counts) + b"".join(held)], pa.binary())})
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                held.append(encode_row(r["status"], r["key"], r["source_row"] and dict(r["source_row"]), r["target_row"] and dict(r["target_row"]), r["differences"] or []))
-                counts[r["status"]] += 1
-                size += len(held[-1])
-                if size >= frame_bytes:
-                    yield frame()
-                    held, counts, size = [], Counter(), 0
+            found = dict(zip(_ORDER, counts.tolist(), strict=True))
+            columns = {s: pa.array([n], pa.int64()) for s, n in found.items()}
+            return pa.RecordBatch.from_pydict(columns | {"data": pa.array([frame_head(found) + b"".join(held)], pa.binary()), "row_bytes": pa.array([np.concatenate(sizes).astype("<u4").tobytes()], pa.binary())})
+
+        for whole in batches:
+            step = max(1, whole.num_rows * _SLICE // max(1, whole.nbytes))
+            for at in range(0, whole.num_rows, step):
+                # Taken, not sliced, so that lists and their values begin at nought.
+                batch = whole if step >= whole.num_rows else pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(at, min(at + step, whole.num_rows)))) for c in whole.columns], whole.schema.names)
+                kinds, encoded = _encoded(batch)
+                ends = np.frombuffer(encoded.buffers()[1], np.int32)[encoded.offset : encoded.offset + len(encoded) + 1].astype(np.int64)
+                data, lo = memoryview(encoded.buffers()[2] or b""), 0
+                while lo < len(kinds):
+                    full = np.searchsorted(ends[lo + 1 :], ends[lo] + frame_bytes - size)
+                    hi = min(len(kinds), lo + int(full) + 1)
+                    held.append(bytes(data[ends[lo] : ends[hi]]))
+                    sizes.append(np.diff(ends[lo : hi + 1]))
+                    counts += np.bincount(kinds[lo:hi], minlength=4)
+                    size += len(held[-1])
+                    if size >= frame_bytes:
+                        yield frame()
+                        held, sizes, counts, size = [], [], np.zeros(4, np.int64), 0
+                    lo = hi
         if held:
             yield frame()
 
-    return rows.select("status", "key", "source_row", "target_row", "differences").mapInArrow(run, _FRAME)
+    slim = F.transform("differences", lambda d: F.struct(d["column"].alias("column"), d["old_value"].alias("old_value"), d["new_value"].alias("new_value"))).alias("differences")
+    return rows.select("status", "key", "source_row", "target_row", slim).mapInArrow(run, _FRAME)
+
+
+class _Side:
+    """Rows of a frame that are decoded beside each other: ``at`` is the place that each has come to."""
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray) -> None:
+        self.raw, self.at = raw, at.copy()
+
+    def _move(self, which: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        began = self.at[which]
+        if len(began) and (began + n).max() > len(self.raw):
+            raise ValueError(f"Buffer overflow: a row goes on beyond {len(self.raw)}")
+        self.at[which] = began + n
+        return began
+
+    def u32(self, which: np.ndarray) -> np.ndarray:
+        at = self._move(which, 4)
+        return sum(self.raw[at + k].astype(np.int64) << (8 * k) for k in range(4))
+
+    def text(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.u32(which)
+        return self._move(which, n), n
+
+    def strings(self, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.raw[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
+        out = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        out.validate(full=True)
+        return out
+
+    def lists(self, which: np.ndarray, fields: int) -> tuple[np.ndarray, list[pa.Array]]:
+        """Offsets of the lists of these rows, of none for the others, and their entries' fields."""
+        sizes = np.zeros(len(self.at), np.int64)
+        sizes[which] = self.u32(which)
+        if sizes.sum() * 4 * fields > len(self.raw):
+            raise ValueError("Buffer overflow: more entries than bytes")
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.zeros((fields, 2, offsets[-1]), np.int64)
+        k = 0
+        while len(which := which[sizes[which] > k]):
+            for f in range(fields):
+                places[f][:, offsets[which] + k] = self.text(which)
+            k += 1
+        return offsets.astype(np.int32), [self.strings(*p) for p in places]
+
+
+def _row_bytes(data: bytes, total: int) -> np.ndarray:
+    """The size of each row of a frame, row after row."""
+    r = _Reader(data)
+    r.take(20)
+    out = np.zeros(min(total, len(data)), np.int64)
+    for k in range(total):
+        began = r.at
+        _read_row(r)
+        out[k] = r.at - began
+    return out
+
+
+def _decoded(data: bytes, row_bytes: bytes | None) -> Iterator[pa.RecordBatch]:
+    total, *counts = struct.unpack("<5I", _Reader(data).take(20))
+    sizes = _row_bytes(data, total) if row_bytes is None else np.frombuffer(row_bytes, "<u4").astype(np.int64)
+    ends = 20 + np.concatenate([[0], np.cumsum(sizes)])
+    if len(sizes) != total or ends[-1] > len(data):
+        raise ValueError("The sizes of the rows don't agree with the frame")
+    raw, seen, lo = np.frombuffer(data, np.uint8), np.zeros(4, np.int64), 0
+    while lo < total:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _SLICE, side="right")) - 1)
+        side = _Side(raw, ends[lo:hi])
+        every = np.arange(hi - lo)
+        kinds = raw[side._move(every, 1)].astype(np.int64) - 1
+        if kinds.min() < 0 or kinds.max() > 3:
+            raise ValueError("Unknown row type")
+        seen += np.bincount(kinds, minlength=4)
+        added, modified, unchanged = (kinds == _ORDER.index(s) for s in ("added", "modified", "unchanged"))
+        removed = kinds == _ORDER.index("removed")
+        key = side.strings(*side.text(every))
+        old, old_fields = side.lists(np.flatnonzero(~added), 2)
+        new, new_fields = side.lists(np.flatnonzero(added | modified), 2)
+        changed, fields = side.lists(np.flatnonzero(modified), 3)
+        if (side.at != ends[lo + 1 : hi + 1]).any():
+            raise ValueError("The sizes of the rows don't agree with the frame")
+        rows = lambda offsets, none, of: pa.MapArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(none, False)), *of)
+        differences = pa.ListArray.from_arrays(pa.array(changed, pa.int32()), pa.StructArray.from_arrays(fields, ["column", "old_value", "new_value"]))
+        columns = [pa.array(_ORDER).take(pa.array(kinds)), key, rows(old, added, old_fields), rows(new, removed | unchanged, new_fields), differences]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _ARROW_ROW, strict=True)], schema=_ARROW_ROW)
+        lo = hi
+    if seen.tolist() != counts:
+        raise ValueError("The header's counts don't agree with the rows")
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
-    """The rows of frames: status, key, source_row, target_row, differences. An unchanged row is its source's."""
+    """The rows of frames: status, key, source_row, target_row, differences. An unchanged row is its source's.
+
+    The rows of a frame are decoded beside each other where the frame comes with ``row_bytes``; else it is read through for them first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("data"):
-                rows = [{"status": s, "key": r["key"], "source_row": r.get("sourceRow", r.get("row")), "target_row": r.get("targetRow"), "differences": [{"column": d["column"], "old_value": d["oldValue"], "new_value": d["newValue"]} for d in r.get("differences", ())]} for s, of in decode_frame(data.as_py()).items() for r in of]
-                yield pa.RecordBatch.from_pylist([r | {n: r[n] and list(r[n].items()) for n in ("source_row", "target_row")} for r in rows], schema=_ARROW_ROW)
+            for data, row_bytes in zip(batch.column("data"), batch.column("row_bytes"), strict=True):
+                yield from _decoded(data.as_py(), row_bytes.as_py())
 
-    return frames.select("data").mapInArrow(run, _ROW)
+    known = "row_bytes" if "row_bytes" in frames.columns else F.lit(None).cast("binary").alias("row_bytes")
+    return frames.select("data", known).mapInArrow(run, _ROW)
 
 
 _TEXTS = pa.map_(pa.string(), pa.string())
@@ -158,24 +308,29 @@ class _Reader:
         return {self.text(): self.text() for _ in range(self.u32())}
 
 
+def _read_row(r: _Reader) -> tuple[str, dict]:
+    status = _NAMES.get(r.take(1)[0])
+    if status is None:
+        raise ValueError("Unknown row type")
+    row: dict = {"key": r.text()}
+    if status == "unchanged":
+        row["row"] = r.row()
+    if status in ("removed", "modified"):
+        row["sourceRow"] = r.row()
+    if status in ("added", "modified"):
+        row["targetRow"] = r.row()
+    if status == "modified":
+        row["differences"] = [{"column": r.text(), "oldValue": r.text(), "newValue": r.text()} for _ in range(r.u32())]
+    return status, row
+
+
 def decode_frame(data: bytes) -> dict[str, list[dict]]:
     """The rows of a frame by status; the header's counts must agree with them."""
     r = _Reader(data)
     total, *counts = struct.unpack("<5I", r.take(20))
     out: dict[str, list[dict]] = {s: [] for s in _ORDER}
     for _ in range(total):
-        status = _NAMES.get(r.take(1)[0])
-        if status is None:
-            raise ValueError("Unknown row type")
-        row: dict = {"key": r.text()}
-        if status == "unchanged":
-            row["row"] = r.row()
-        if status in ("removed", "modified"):
-            row["sourceRow"] = r.row()
-        if status in ("added", "modified"):
-            row["targetRow"] = r.row()
-        if status == "modified":
-            row["differences"] = [{"column": r.text(), "oldValue": r.text(), "newValue": r.text()} for _ in range(r.u32())]
+        status, row = _read_row(r)
         out[status].append(row)
     if [len(out[s]) for s in _ORDER] != counts:
         raise ValueError("The header's counts don't agree with the rows")

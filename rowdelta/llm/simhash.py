@@ -16,7 +16,7 @@ from itertools import combinations, pairwise
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_or_empty
+from .common import WORD, cut, shuffle_width, text_or_empty
 from .order import bounds_of, with_next
 
 BITS = 256
@@ -32,6 +32,8 @@ _BLOCKS = BITS // 32
 #: Bits in which near fingerprints may differ, and fingerprints of a chunk that is compared within one row. Texts that share four fifths of their
 #: runs of five words were found 11 to 39 bits apart, nineteen in twenty of them within 31; unrelated ones are some 127 bits apart.
 RADIUS, CHUNK = 31, 256
+#: Crowded values that are broadcast; more are joined by a shuffle.
+_FEW = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -97,8 +99,8 @@ def _long(print_: Column, k: int) -> Column:
     return F.shiftleft(part(1 + 16 * k), 32).bitwiseOR(part(9 + 16 * k))
 
 
-def _tables(radius: int) -> list[tuple[int, int]]:
-    """Tables that two fingerprints within the radius cannot all miss: (block, mask of its bits that lead the table).
+def _tables(radius: int) -> list[tuple[int, int, int]]:
+    """Tables that two fingerprints within the radius cannot all miss: (block, mask of its bits that lead the table, mask of the first piece of these).
 
     Of eight blocks one differs in at most t = radius div 8 bits. It is cut into t + 3 pieces, of which at least three don't differ, so
     each choice of three pieces leads one table: 8 tables of 32 bits up to a radius of 7, 80 of some 19 bits to 23, 160 of 16 bits to 31.
@@ -109,7 +111,7 @@ def _tables(radius: int) -> list[tuple[int, int]]:
     n = radius // _BLOCKS + 3
     edges = [k * size // n for k in range(n + 1)]
     pieces = [(1 << b) - (1 << a) for a, b in pairwise(edges)]
-    return [(block, sum(three)) for block in range(_BLOCKS) for three in combinations(pieces, 3)]
+    return [(block, sum(three), three[0]) for block in range(_BLOCKS) for three in combinations(pieces, 3)]
 
 
 def _block(word: Column, block: int) -> Column:
@@ -121,6 +123,22 @@ def _printed(words: list[Column]) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(w)), 16, "0") for w in words])
 
 
+def _met(chunks: DataFrame, tables: list[tuple[int, int, int]], radius: int) -> DataFrame:
+    """(x, y) of the fingerprints within the radius of those in the arrays ``a`` and ``b`` of a row, which are the same array where ``same``; each pair in the first ``table`` that it shares.
+
+    The arrays are exploded and compared in one piece of generated code; only near pairs come out of it.
+    """
+    # A table's mask within its word, signed as longs are.
+    masks = [(block // 2, mask << 32 * (1 - block % 2)) for block, mask, _ in tables]
+    listed = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(m - (1 << 64) if m >> 63 else m).cast("long").alias("mask")) for w, m in masks])
+    differ = [F.col("x")[w].bitwiseXOR(F.col("y")[w]) for w in _WORDS]
+    bits = reduce(lambda at, d: at + d, [F.bit_count(d) for d in differ])
+    of = lambda k: reduce(lambda rest, w: F.when(k == w, differ[w]).otherwise(rest), range(len(_WORDS) - 1), differ[-1])
+    earlier = F.exists(F.slice(listed, F.lit(1), F.col("table")), lambda t: of(t["word"]).bitwiseAND(t["mask"]) == 0)
+    pairs = chunks.select("table", "same", "b", F.posexplode("a").alias("i", "x")).select("table", "same", "i", "x", F.posexplode("b").alias("j", "y"))
+    return pairs.where((~F.col("same") | (F.col("j") > F.col("i"))) & (bits <= radius)).where(~earlier).select("x", "y")
+
+
 def near_fingerprints(prints: DataFrame, column: str, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """How many other fingerprints lie within ``radius`` bits of each different one: p, copies, n_near, near_rows, least.
 
@@ -128,34 +146,43 @@ def near_fingerprints(prints: DataFrame, column: str, radius: int = RADIUS, chun
     ``least`` is the smallest fingerprint within the radius, itself included. Null fingerprints are left out, an empty table gives no rows; a radius of 64 or more is an error.
 
     Permuted block tables (``_tables``): each is led by some of the bits, and fingerprints that meet in it are compared in full. A pair
-    counts in the first table that it shares. Copies are one row. A table's value that more than ``chunk`` fingerprints share is cut into chunks,
-    which are gathered as arrays and compared in pairs of chunks inside one row, so pairs are never rows and no task holds a whole group.
+    counts in the first table that it shares. Copies are one row. A fingerprint is sent once for all tables of a block that begin with the same piece, to the
+    task of that piece's bits, which has these tables to itself. A table's value that more than ``chunk`` fingerprints share is cut into chunks,
+    which are gathered as arrays and compared in pairs of chunks inside one row, so only near pairs are rows and no task holds a whole group.
     """
     tables = _tables(radius)
+    width = shuffle_width(prints.sparkSession)
     base = cut(prints.select(F.col(column).alias("p")).where(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("copies")))
-    worded = base.select("copies", *[_long(F.col("p"), k).alias(w) for k, w in enumerate(_WORDS)])
-    leads = [_block(F.col(_WORDS[block // 2]), block).bitwiseAND(F.lit(mask)) for block, mask in tables]
-    rows = worded.select(F.struct(*_WORDS, "copies").alias("x"), F.posexplode(F.array(*leads)).alias("table", "value"))
-    crowded = rows.groupBy("table", "value").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > chunk)
-    parts = F.coalesce(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int")
-    dealt = rows.join(crowded, ["table", "value"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
-    held = dealt.groupBy("table", "value", "parts", "part").agg(F.collect_list("x").alias("held")).where((F.col("parts") > 1) | (F.size("held") > 1))
-    pair = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pair = pair.select("table", "value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), "held")
-    both = pair.groupBy("table", "value", "i", "j").agg(F.first(F.when(~F.col("second"), F.col("held")), ignorenulls=True).alias("a"), F.first(F.when(F.col("second"), F.col("held")), ignorenulls=True).alias("b"))
-    both = both.withColumn("b", F.when(F.col("i") == F.col("j"), F.col("a")).otherwise(F.col("b"))).where("a is not null and b is not null")
-    before = F.slice(F.array(*[F.struct(F.lit(block).alias("block"), F.lit(mask).alias("mask")) for block, mask in tables]), F.lit(1), F.col("table"))
-    differ = lambda x, y: [x[w].bitwiseXOR(y[w]) for w in _WORDS]
-    bits = lambda x, y: reduce(lambda at, d: at + F.bit_count(d), differ(x, y), F.lit(0))
-    halves = lambda x, y: F.array(*[_block(differ(x, y)[block // 2], block) for block in range(_BLOCKS)])
-    earlier = lambda x, y: F.exists(before, lambda t: F.get(halves(x, y), t["block"]).bitwiseAND(t["mask"]) == 0)
-    near = lambda x, y: bits(x, y).between(1, radius) & ~earlier(x, y)
-    printed = lambda y: _printed([y[w] for w in _WORDS])
-    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("rows"), F.lit("g").alias("least"))  # "g" is above all digits
-    add = lambda at, y: F.struct((at["n"] + 1).alias("n"), (at["rows"] + y["copies"]).alias("rows"), F.least(at["least"], printed(y)).alias("least"))
-    seen = lambda x, ys: F.struct(printed(x).alias("p"), F.aggregate(F.filter(ys, lambda y: near(x, y)), none, add).alias("f"))
-    ways = F.when(F.col("i") == F.col("j"), F.transform("a", lambda x: seen(x, F.col("b")))).otherwise(F.concat(F.transform("a", lambda x: seen(x, F.col("b"))), F.transform("b", lambda y: seen(y, F.col("a")))))
-    found = both.select(F.explode(F.filter(ways, lambda s: s["f"]["n"] > 0)).alias("s")).groupBy("s.p").agg(F.sum("s.f.n").alias("n_near"), F.sum("s.f.rows").alias("near_rows"), F.min("s.f.least").alias("least"))
+    # With the sign turned round words are ordered as their digits are.
+    turned = lambda w: w.bitwiseXOR(F.lit(-(1 << 63)))
+    worded = base.select(F.struct(*[turned(_long(F.col("p"), k)).alias(w) for k, w in enumerate(_WORDS)], "copies").alias("x"))
+    block_of = lambda block: _block(F.col("x")[_WORDS[block // 2]], block)
+    routes = list(dict.fromkeys((block, first) for block, _, first in tables))
+    led = [F.array(*[F.struct(F.lit(at).alias("at"), F.lit(mask).alias("mask")) for at, (block, mask, first) in enumerate(tables) if (block, first) == route]) for route in routes]
+    sent = worded.select("x", F.posexplode(F.array(*[block_of(block).bitwiseAND(F.lit(first)) for block, first in routes])).alias("route", "lead")).repartition(width, "route", "lead")
+    of_route = F.get(F.array(*[block_of(block) for block in range(_BLOCKS)]), F.get(F.array(*[F.lit(block) for block, _ in routes]), F.col("route")))
+    rows = sent.select("x", "route", "lead", of_route.alias("bits"), F.explode(F.get(F.array(*led), F.col("route"))).alias("t"))
+    keys = ["value", "table", "route", "lead"]
+    rows = rows.select(F.col("bits").bitwiseAND(F.col("t.mask")).alias("value"), F.col("t.at").alias("table"), "route", "lead", "x")
+    crowded = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > chunk))
+    some = crowded.count()
+    known = F.broadcast(crowded) if some <= _FEW else crowded
+    few = rows.join(known.select(*keys), keys, "left_anti") if some else rows
+    held = few.groupBy(*keys).agg(F.collect_list("x").alias("a")).where(F.size("a") > 1)
+    met = _met(held.select("table", "a", F.col("a").alias("b"), F.lit(True).alias("same")), tables, radius)
+    if some:
+        dealt = rows.join(known, keys).withColumn("parts", F.ceil(F.col("size") / chunk).cast("int")).withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+        parts = dealt.repartition(width, "table", "value", "part").groupBy("table", "value", "parts", "part").agg(F.collect_list("x").alias("held"))
+        pair = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        pair = pair.select("table", "value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), "held")
+        both = pair.groupBy("table", "value", "i", "j").agg(F.first(F.when(~F.col("second"), F.col("held")), ignorenulls=True).alias("a"), F.first(F.when(F.col("second"), F.col("held")), ignorenulls=True).alias("b"))
+        same = F.col("i") == F.col("j")
+        both = both.select("table", "a", F.when(same, F.col("a")).otherwise(F.col("b")).alias("b"), same.alias("same")).where("a is not null and b is not null")
+        met = met.unionByName(_met(both, tables, radius))
+    ways = met.select(F.explode(F.array(F.struct(F.col("x").alias("own"), F.col("y").alias("other")), F.struct(F.col("y").alias("own"), F.col("x").alias("other")))).alias("s")).select("s.*")
+    found = ways.groupBy(*[F.col("own")[w].alias(w) for w in _WORDS]).agg(F.count(F.lit(1)).alias("n_near"), F.sum("other.copies").alias("near_rows"), F.min("other").alias("o"))
+    digits = lambda of: _printed([turned(of(w)) for w in _WORDS])
+    found = found.select(digits(F.col).alias("p"), "n_near", "near_rows", digits(lambda w: F.col("o")[w]).alias("least"))
     out = base.join(found, "p", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("p", "copies", zero("n_near"), zero("near_rows"), F.coalesce(F.least("p", "least"), "p").alias("least"))

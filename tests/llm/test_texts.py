@@ -336,6 +336,13 @@ def test_near_fingerprints(spark, radius, chunk):
     assert found == {(a, c, len(within[a]) - 1, sum(n[b] for b in within[a] if b != a), min(within[a])) for a, c in n.items()}
 
 
+def test_fingerprints_are_sent_once_for_tables_that_begin_alike():
+    """At the default radius 160 tables take 32 rows of a fingerprint, and a table's first piece is among the bits that lead it."""
+    tables = simhash._tables(simhash.RADIUS)
+    assert len(tables) == 160 and len({(block, first) for block, _, first in tables}) == 32
+    assert all(first & mask == first and mask & -mask == first & -first for _, mask, first in tables)
+
+
 def test_near_fingerprints_of_the_documents(spark):
     """The registered query over the whole table against all pairs of its fingerprints."""
     from rowdelta.llm.queries import QUERIES

@@ -138,6 +138,36 @@ def test_passes_follow_dense_parts(spark):
     assert linked_pairs(spark, clusters(3000, 400), window=16) >= 0.99
 
 
+def test_passes_are_planned_from_all_vectors(spark):
+    """A label is counted in full, also a dense part that a sample of 256 would hardly see; over partitions no chance is overrated."""
+    rng = np.random.default_rng(8)
+    wide, dense = rng.standard_normal((4000, 64)), rng.standard_normal(64) + 0.4 * rng.standard_normal((40, 64))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    labels = {3: unit(np.concatenate([wide, dense])), 5: unit(wide[:900]), 7: unit(wide[:10])}
+    rows = [(label * 10_000 + k, label, v.tobytes()) for label, x in labels.items() for k, v in enumerate(x)]
+    own = spark.createDataFrame(rows, "id long, grp long, load binary").repartition(3)
+    groups = spark.createDataFrame([(g, len(x)) for g, x in labels.items()], "grp long, size long")
+    centres = spark.createDataFrame([(g, x.mean(axis=0).tobytes()) for g, x in labels.items()], "grp long, centre binary")
+
+    def plan() -> tuple[dict, dict]:
+        plans, counts = embeddings.planned(own, groups, centres, 0.93, 16, 1e-3, 7)
+        found: dict = {}
+        for r in counts.collect():
+            found.setdefault((r.grp, r.place), []).append((r.step, r.n))
+        return {r.grp: (r.passes, r.window) for r in plans.collect()}, found
+
+    plans, counts = plan()
+    assert set(plans) == {3, 5, 7} and plans[7] == (1, 16) and plans[5][0] >= 1
+    assert all(sum(n for _, n in found) == len(labels[g]) for (g, _), found in counts.items()) and {g for g, _ in counts} == {3, 5}
+    mean = lambda found: sum(2 ** (s / 8) * n for s, n in found) / sum(n for _, n in found)
+    old, embeddings.TRIAL_ROWS = embeddings.TRIAL_ROWS, 5000
+    try:
+        _, parted = plan()
+    finally:
+        embeddings.TRIAL_ROWS = old
+    assert all(sum(n for _, n in found) == len(labels[g]) and mean(found) <= mean(counts[g, place]) + 1e-9 for (g, place), found in parted.items())
+
+
 def test_plans_keep_their_promise():
     """Planned passes against a plain model of keys, sorting and windows."""
     x = clusters(4000, 300, mutual=0.7)

@@ -1,9 +1,12 @@
 """The best partners of each row among many, by bounds: most pairs are ruled out before any similarity is computed.
 
-Rows get a signature: their values where a column has few different ones, else how many letters of some classes a value has. Two signatures bound the
-score of all pairs of their rows from above. Each source row looks at the target rows of one signature after another, those with the highest bound first, in ranges that
-grow, and is done when the next bound is below the (last of the) best it has found. In a task the same is done with pairs of rows: bounds
-for all, then scores for those that can still be the best.
+In a block of rows with a common value all pairs get a bound, column by column: the characters that have an equal within reach, and the prefix. The pairs
+with the highest bounds are scored, then the others that can still be better.
+
+Where any rows may meet, or blocks have very many pairs, rows get a signature: their values where a column has few different ones, else how many letters of
+some classes a value has. Two signatures bound the score of all pairs of their rows from above. Each source row looks at the target rows of one signature
+after another, those with the highest bound first, in ranges that grow, and is done when the next bound is below the (last of the) best it has found. In a
+task pairs are then bounded as in a block.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from rowdelta.plans.scratch import settled
 
 #: Rows of a side in a task.
 CHUNK = 512
+#: Target rows in a task where whole blocks are bounded.
+WIDE = 4096
 #: Different signatures at most; their pairs are ranked, so their number is squared.
 SIGNATURES = 1000
 #: Different values of a signature's part at most.
@@ -29,6 +34,10 @@ PARTS = 256
 SCORED = 4096
 #: Scores are compared to 12 decimals; bounds give way by more than sums of doubles can differ.
 SLACK = 1e-9
+#: The same in single precision.
+ROUGH = 1e-5
+#: Numbers that a value has in a bound by places; long values have stretches of several places.
+FEATURES = 256
 _CHARS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .-#"
 _CLASSES = {"letters": 8, "rough": 3, "length": 0}
 _NEAR = "s_group int, rank int, t_group int, bound double"
@@ -83,32 +92,105 @@ def _coded(left: list[str], right: list[str]) -> tuple[list[str], np.ndarray, li
     return list(x), np.array([x[v] for v in left], np.int64), list(y), np.array([y[v] for v in right], np.int64)
 
 
-def top_pairs(left: list[list[str]], right: list[list[str]], allowed: np.ndarray, floor: np.ndarray, rule: str, k: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each left row its ``k`` best right rows (the first of equal ones) among ``allowed`` pairs of at least its ``floor``: places and scores, best first."""
+def _features(values: list[str], alphabet: np.ndarray, classes: int, reach: int, step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many characters of each class a value has in each of ``n`` stretches of ``step`` places, and which ones it has within ``reach`` of the stretch."""
+    sizes = np.array([len(v) for v in values], np.int64)
+    codes = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(values)), sizes)
+    at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    known = np.isin(codes, alphabet)
+    row, at, kind = row[known], at[known], np.searchsorted(alphabet, codes[known]) % classes
+    has = np.bincount((row * n + at // step) * classes + kind, minlength=len(values) * n * classes)
+    near = np.zeros((len(values), n, classes), np.float32)
+    first, last = np.maximum(at - reach, 0) // step, np.minimum((at + reach) // step, n - 1)
+    for more in range(int((last - first).max()) + 1 if len(at) else 0):
+        there = first + more <= last
+        near[row[there], first[there] + more, kind[there]] = 1
+    return has.astype(np.float32).reshape(len(values), n * classes), near.reshape(len(values), n * classes)
+
+
+def near_ceilings(left: list[str], right: list[str]) -> np.ndarray:
+    """Bounds for the Jaro-Winkler similarity of every left with every right value: as if all matched that have an equal within reach, in order."""
+    codes = [np.frombuffer("".join(v).encode("utf-32-le", "surrogatepass"), np.uint32) for v in (left, right)]
+    alphabet = np.intersect1d(*codes)
+    na, nb = (np.array([len(v) for v in side], np.float32) for side in (left, right))
+    longest = int(max(na.max(), nb.max(), 1))
+    classes = max(1, min(len(alphabet), 32))
+    step = -(-longest * classes // FEATURES)
+    a, b = (_features(v, alphabet, classes, max(longest // 2 - 1, 0), step, -(-longest // step)) for v in (left, right))
+    most = np.minimum(a[0] @ b[1].T, a[1] @ b[0].T)
+    none = most == 0
+    part = lambda n: np.divide(1, n, where=n > 0, out=np.zeros_like(n))
+    most *= part(na)[:, None] + part(nb)[None, :]
+    most += 1
+    most /= 3
+    most[none] = 0
+    prefix = np.zeros(most.shape, np.float32)
+    for n in range(1, 5):
+        code: dict[str, int] = {}
+        x, y = (np.array([code.setdefault(v[:n], len(code)) if len(v) >= n else short for v in side], np.int32) for side, short in ((left, -1), (right, -2)))
+        prefix += x[:, None] == y[None, :]
+    prefix[most <= 0.7 - ROUGH] = 0
+    most += np.float32(0.1) * prefix * (1 - most)
+    most[np.ix_(na == 0, nb == 0)] = 1
+    return most
+
+
+def _bounds(left: list[str], right: list[str], rule: str) -> np.ndarray:
+    """Bounds for the similarity of every left with every right value; where few are different they are scored."""
+    x, at_x, y, at_y = _coded(left, right)
+    if len(x) * len(y) <= SCORED:
+        part = similarities([v for v in x for _ in y], y * len(x), rule).reshape(len(x), len(y))
+    elif rule == "row" and any(len(v.encode()) > 20 for v in (*x, *y)):
+        part = ceilings(x, y)  # letters that an edit distance keeps may be further apart
+    else:
+        part = near_ceilings(x, y)
+    return part if part.shape == (len(left), len(right)) else part[np.ix_(at_x, at_y)]
+
+
+def top_pairs(left: list[list[str]], right: list[list[str]], allowed: np.ndarray | None, floor: np.ndarray, rule: str, k: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each left row its ``k`` best right rows (the first of equal ones) among ``allowed`` pairs (or all) of at least its ``floor``: places and scores, best first."""
     columns = list(zip(zip(*left, strict=True), zip(*right, strict=True), strict=True))
-    bound = np.zeros(allowed.shape)
+    bound = np.zeros((len(left), len(right)), np.float32)
     for a, b in columns:
-        x, at_x, y, at_y = _coded(a, b)
-        part = similarities([v for v in x for _ in y], y * len(x), rule).reshape(len(x), len(y)) if len(x) * len(y) <= SCORED else ceilings(x, y)
-        bound += part[np.ix_(at_x, at_y)]
-    bound = np.where(allowed, bound / len(columns), -1.0)
-    score, least, n = np.full(bound.shape, -1.0), floor.astype(float), bound.shape[1]
-    while True:
-        # The pairs with the highest bounds, a few for each row at once.
-        few = np.argpartition(-bound, min(k + 2, n - 1), axis=1)[:, : k + 3]
-        i, j = np.repeat(np.arange(len(left)), few.shape[1]), few.ravel()
-        keep = bound[i, j] >= np.maximum(least[i] - SLACK, 0)
+        bound += _bounds(a, b, rule)
+    bound /= len(columns)
+    if allowed is not None:
+        bound[~allowed] = -1
+    least, best = np.maximum(floor.astype(float), 0), np.full((len(left), k), -1.0)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def look(i: np.ndarray, j: np.ndarray) -> None:
+        """Score those pairs that can still be among the best; ``i`` rises."""
+        nonlocal least, best
+        keep = bound[i, j] >= least[i] - ROUGH
         i, j = i[keep], j[keep]
-        if not len(i):
-            break
-        score[i, j] = np.round(sum((similarities([a[r] for r in i], [b[c] for c in j], rule) for a, b in columns), np.zeros(len(i))) / len(columns), 12)
-        bound[i, j] = -1.0
-        if k <= n:
-            least = np.maximum(floor, np.partition(score, n - k, axis=1)[:, n - k])
-    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-    i, j = np.repeat(np.arange(len(left)), order.shape[1]), order.ravel()
-    keep = score[i, j] >= np.maximum(floor[i], 0)
-    return i[keep], j[keep], score[i, j][keep]
+        score = np.round(sum((similarities([a[r] for r in i], [b[c] for c in j], rule) for a, b in columns), np.zeros(len(i))) / len(columns), 12)
+        found.append((i, j, score))
+        order = np.lexsort((-score, i))
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        more = np.full((len(left), k), -1.0)
+        more[i[rank < k], rank[rank < k]] = score[order][rank < k]
+        best = -np.sort(-np.concatenate([best, more], axis=1), axis=1)[:, :k]
+        least = np.maximum(least, best[:, -1])
+
+    # The pairs with the highest bounds, a few for each row at once; then those of the others that their scores leave, by falling bound.
+    few = np.argpartition(-bound, min(k + 2, bound.shape[1] - 1), axis=1)[:, : k + 3]
+    look(np.repeat(np.arange(len(left)), few.shape[1]), few.ravel())
+    np.put_along_axis(bound, few, -1, axis=1)
+    i, j = np.nonzero(bound >= (least - ROUGH)[:, None])
+    order = np.lexsort((-bound[i, j], i))
+    i, j = i[order], j[order]
+    rank, lo, step = np.arange(len(i)) - np.searchsorted(i, i), 0, k + 3
+    while len(i) and lo <= rank.max():
+        now = (rank >= lo) & (rank < lo + step)
+        look(i[now], j[now])
+        lo, step = lo + step, 2 * step
+    i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((j, -score, i))
+    i, j, score = i[order], j[order], score[order]
+    keep = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (score >= np.maximum(floor[i], 0))
+    return i[keep], j[keep], score[keep]
 
 
 def _shared(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
@@ -128,8 +210,10 @@ def _in_chunks(rule: str, k: int, any_pair: bool) -> Callable[[pa.Table, pa.Tabl
             return pa.table({"source_idx": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "target_idx": pa.array([], pa.int64())})
         right = right.sort_by("idx")
         lists = lambda t, name: t.column(name).to_pylist()
-        allowed = np.ones((left.num_rows, right.num_rows), bool) if any_pair else _shared(lists(left, "probe"), lists(right, "probe"))
-        allowed &= ~_shared([[v] for v in lists(left, "print")], [[v] for v in lists(right, "print")])
+        allowed = None if any_pair else _shared(lists(left, "probe"), lists(right, "probe"))
+        if left.column("print").null_count < left.num_rows:
+            others = ~_shared([[v] for v in lists(left, "print")], [[v] for v in lists(right, "print")])
+            allowed = others if allowed is None else allowed & others
         i, j, score = top_pairs(lists(left, "row"), lists(right, "row"), allowed, left.column("floor").to_numpy(), rule, k)
         return pa.table({"source_idx": left.column("idx").to_numpy()[i], "score": score, "target_idx": right.column("idx").to_numpy()[j]})
 
@@ -234,3 +318,23 @@ def best_partners(source: DataFrame, target: DataFrame, known: DataFrame, width:
         lists = settled(top(lists.unionByName(found.where(F.col("score") > threshold)).dropDuplicates(["source_idx", "target_idx"]), k))
         lo, step = lo + step, 4 * step
     return lists
+
+
+def best_in_blocks(source: DataFrame, target: DataFrame, blocks: DataFrame, known: DataFrame, rule: str, threshold: float, k: int = 1) -> DataFrame:
+    """The same for rows that meet in ``blocks`` (col, val, n_s, n_t): block by block, in pairs of chunks.
+
+    All pairs of a block are bounded, which is one product of matrices for a column, and few of them are scored. A task holds a pair of chunks, however common
+    the value.
+    """
+    tasks = max(1, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    floors = known.groupBy(F.col("source_idx").alias("idx")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select("idx", "least")
+    many = blocks.select("col", "val", F.ceil(F.col("n_s") / CHUNK).cast("int").alias("n_s"), F.ceil(F.col("n_t") / WIDE).cast("int").alias("n_t"))
+    part = lambda n: F.pmod(F.xxhash64("idx", F.lit(11)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = lambda d: d.select("idx", "row", "print", F.posexplode("probe").alias("col", "val")).where("val is not null").join(many, ["col", "val"])
+    left = met(source).join(floors, "idx", "left").withColumns({"i": part("n_s"), "j": every("n_t"), "floor": F.coalesce("least", F.lit(threshold))})
+    right = met(target).withColumns({"j": part("n_t"), "i": every("n_s")})
+    keys = ["col", "val", "i", "j"]
+    dealt = lambda d, *more: d.select(*keys, "idx", "row", "print", *more).repartition(tasks, *keys).groupBy(*keys)
+    found = dealt(left, "floor").cogroup(dealt(right)).applyInArrow(_in_chunks(rule, k, True), _FOUND).where(F.col("score") > threshold)
+    return settled(top(known.unionByName(found).dropDuplicates(["source_idx", "target_idx"]), k))

@@ -5,7 +5,7 @@ score (of equal ones the lowest), and each target row takes the best proposal (a
 don't depend on the order of work.
 
 Rows that share a cell meet in that cell's block. Small blocks are joined and scored in whole batches. A block may be large, a common value is in
-most rows; for rows of such blocks the best partner is searched by bounds (``bounded.py``). Where all pairs above the threshold are wanted, large blocks
+most rows; in such blocks the best partner is searched by bounds (``bounded.py``). Where all pairs above the threshold are wanted, large blocks
 are cut into chunks and each pair of chunks is one bounded task.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rowdelta.functions.keys import fingerprint
 from rowdelta.functions.normalize import normalized, unicode_trim
 from rowdelta.functions.similarity import jaro_winkler, normalized_levenshtein
-from rowdelta.operators.bounded import best_partners, similarities, top
+from rowdelta.operators.bounded import best_in_blocks, best_partners, similarities, top
 from rowdelta.operators.compare import S, T, side, unified
 from rowdelta.operators.conflicts import settle
 from rowdelta.options import DiffOptions
@@ -39,6 +39,8 @@ DIRECT_PAIRS = 4_000_000
 WISHES = 8
 #: Pairs in large blocks that are scored without a search.
 FEW_PAIRS = 100_000
+#: Pairs in large blocks up to which each gets a bound; beyond that signatures rule most of them out together.
+BOUNDED_PAIRS = 20_000_000_000
 #: Pairs that a task of a report on all candidates makes.
 TASK_PAIRS = 4_000_000
 #: A fingerprint with more rows than this is numbered in slices of the row index, so that no task has to sort them all.
@@ -269,12 +271,13 @@ def _best_above(threshold: float) -> Callable[[np.ndarray], tuple[np.ndarray, np
 def best_targets(source: Dataset, target: Dataset, options: DiffOptions, k: int = 1, all_pairs: bool = False, no_copies: bool = False) -> DataFrame:
     """Each source row's ``k`` best partners above the threshold (of equal scores the lowest targets): source_idx, score, target_idx.
 
-    Small blocks are scored as joined rows; their scores are where the search by bounds over rows of large blocks begins, unless these have few pairs, which are all scored. ``all_pairs`` drops the demand for a
+    Small blocks are scored as joined rows; their scores are where the search by bounds in large blocks begins, unless these have few pairs, which are all scored. ``all_pairs`` drops the demand for a
     shared cell; ``no_copies`` leaves out pairs with equal fingerprints.
     """
     columns = shared_columns(source, target, options)
     if not columns:
         return _no_pairs(source)
+    source, target = (replace(d, df=settled(d.df)) for d in (source, target))  # read several times
     copy = lambda d: fingerprint_of(d, source, options) if no_copies else F.lit(None).cast("string")
     rows = lambda d, of_target: d.df.select(F.col(INDEX).alias("idx"), _scored_values(d, columns, options).alias("row"), _probes(d, columns, options, of_target).alias("probe"), copy(d).alias("print"))
     s, t = rows(source, False), rows(target, True)
@@ -286,8 +289,11 @@ def best_targets(source: Dataset, target: Dataset, options: DiffOptions, k: int
         small = small.join(prints(s, "source_idx"), "source_idx").join(prints(t, "target_idx"), "target_idx").where("source_idx_print != target_idx_print").select("source_idx", "score", "target_idx")
     if large is None:
         return top(small, k)
-    if k == 1 and not no_copies and large.agg(F.sum(F.col("n_s") * F.col("n_t"))).first()[0] <= FEW_PAIRS:
+    n_pairs = large.agg(F.sum(F.col("n_s").cast("decimal(38,0)") * F.col("n_t"))).first()[0]
+    if k == 1 and not no_copies and n_pairs <= FEW_PAIRS:
         return top(_compared(source, target, options, _best_above(options.threshold), blocks=(small, large)), 1)
+    if n_pairs <= BOUNDED_PAIRS:
+        return best_in_blocks(s, t, large, settled(top(small, k)), options.similarity, options.threshold, k)
     hot = lambda c: c.join(large.select("col", "val"), ["col", "val"]).select("idx").distinct()
     s = s.join(hot(cells(source, columns, options, False)), "idx", "left_semi")
     t = t.join(hot(cells(target, columns, options, True)), "idx", "left_semi")

@@ -64,6 +64,18 @@ def test_best_partners_among_many_with_a_common_value(spark, seed, monkeypatch):
     assert {r.source_idx: (r.target_idx, round(r.score, 9)) for r in found} == {i: (j, round(s, 9)) for i, (j, s) in plain_best(a, b).items()}
 
 
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_common_values_are_searched_block_by_block(spark, limit, monkeypatch):
+    if limit:
+        monkeypatch.setattr(content, "best_partners", None)  # signatures only beyond the limit
+    for module, name, value in ((bounded, "CHUNK", 40), (bounded, "WIDE", 64), (bounded, "SCORED", 9), (content, "FEW_PAIRS", 0), (content, "BOUNDED_PAIRS", limit)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    a = hot_rows(150, 11)
+    b = changed(a, 12)
+    found = content.best_targets(table(spark, a), table(spark, b), STRICT).collect()
+    assert {r.source_idx: (r.target_idx, round(r.score, 9)) for r in found} == {i: (j, round(s, 9)) for i, (j, s) in plain_best(a, b).items()}
+
+
 def test_default_flags_among_many_with_a_common_value(spark, monkeypatch):
     monkeypatch.setattr(bounded, "CHUNK", 64)
     few = content.best_targets(*(table(spark, r) for r in (hot_rows(120, 5), changed(hot_rows(120, 5), 6))), DiffOptions()).collect()
@@ -99,6 +111,31 @@ def test_bounds_are_never_below_similarities(spark):
     assert abs(far - bounded.similarities([values[-1] + "z" * 21], [values[-2]], "row")[0]) < 1e-12
 
 
+def test_bounds_by_places_are_never_below_and_close():
+    rng = random.Random(5)
+    for letters, longest in (("01", 4), ("0123456789.-", 9), ("abc XYZé漢", 12), ("ab", 200)):
+        left, right = ([rng.choice(["", "Ab"]) + "".join(rng.choice(letters) for _ in range(rng.randint(0, longest))) for _ in range(40)] for _ in range(2))
+        exact = bounded.similarities([v for v in left for _ in right], right * len(left), "normalized").reshape(40, 40)
+        assert (bounded.near_ceilings(left, right) >= exact - 1e-6).all()
+
+
+def test_few_pairs_of_a_block_are_scored(monkeypatch):
+    rng = random.Random(6)
+    row = lambda: (lambda k: [str(k), f"Supplier#{k:09d}", "7", f"{rng.uniform(-999, 9999):.2f}"])(rng.randint(0, 360_000))
+    left, right = [row() for _ in range(60)], [row() for _ in range(1500)]
+    scored, similarities = [0], bounded.similarities
+
+    def counted(x, y, rule):
+        scored[0] += len(x)
+        return similarities(x, y, rule)
+
+    monkeypatch.setattr(bounded, "similarities", counted)
+    i, j, score = bounded.top_pairs(left, right, np.ones((60, 1500), bool), np.full(60, 0.5), "normalized")
+    assert scored[0] < 30 * 60 * 4
+    exact = sum(similarities([a[c] for a in left for _ in right], [b[c] for b in right] * 60, "normalized") for c in range(4)).reshape(60, 1500) / 4
+    assert i.tolist() == list(range(60)) and j.tolist() == np.round(exact, 12).argmax(axis=1).tolist() and np.allclose(score, exact.max(axis=1))
+
+
 def test_top_pairs_keep_to_the_floor_and_to_what_is_allowed():
     rows = [["abc", "x"], ["abd", "x"], ["zzz", "y"]]
     everything = np.ones((3, 3), bool)

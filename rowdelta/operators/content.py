@@ -40,7 +40,7 @@ WISHES = 8
 #: Pairs in large blocks that are scored without a search.
 FEW_PAIRS = 100_000
 #: Pairs in large blocks up to which each gets a bound; beyond that signatures rule most of them out together.
-BOUNDED_PAIRS = 20_000_000_000
+BOUNDED_PAIRS = 2_000_000_000
 #: Pairs that a task of a report on all candidates makes.
 TASK_PAIRS = 4_000_000
 #: A fingerprint with more rows than this is numbered in slices of the row index, so that no task has to sort them all.

@@ -405,7 +405,7 @@ def _function_queries() -> None:
         """Whole texts against the texts of the next ids, which have nothing to do with them: both are rebuilt from the script."""
         texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("old"))
         d = texts.join(texts.select((F.col("doc_id") - 1).alias("doc_id"), F.col("old").alias("new")), "doc_id").select("doc_id", word_diff(F.col("old"), F.col("new")).alias("d"))
-        digest = lambda flag: F.sha2(F.array_join(F.transform(F.filter("d", lambda x: ~x[flag]), lambda x: x["value"]), "").cast("binary"), 256)
+        digest = lambda flag: F.sha2(F.array_join(F.filter("d", lambda x: ~x[flag])["value"], "").cast("binary"), 256)
         return d.select("doc_id", digest("added").alias("old_sha256"), digest("removed").alias("new_sha256"))
 
     _register("word_diff_documents", documents, "SELECT a.doc_id, sha256(coalesce(a.text, '')) AS old_sha256, sha256(coalesce(b.text, '')) AS new_sha256 FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")

@@ -120,6 +120,42 @@ def test_word_changes_of_long_texts_take_seconds():
     assert sum(added or removed for added, removed, _ in changes) <= 2 * sum(a != b for a, b in zip(old, new, strict=True))
 
 
+def test_word_diffs_of_far_texts_compare_few_words():
+    """The greedy search walked through 256 edits before it was given up, some 33,000 comparisons for every pair of unrelated texts."""
+    compared = []
+
+    class Word(str):
+        __hash__ = str.__hash__
+
+        def __eq__(self, other):
+            compared.append(other)
+            return str.__eq__(self, other)
+
+    a, b = ([Word(" ") if k % 2 else Word(f"{side}{k}") for k in range(400)] for side in "ab")
+    script = textdiff._script(a, b)
+    assert len(compared) <= len(a) + len(b)
+    assert [v for added, _, v in script if not added] == a and [v for _, removed, v in script if not removed] == b
+    assert sum(added or removed for added, removed, _ in script) == 400
+
+
+@pytest.mark.parametrize("held", [1, 200, 1 << 19])
+def test_word_diffs_of_a_batch_are_those_of_its_pairs(monkeypatch, held):
+    monkeypatch.setattr(textdiff, "HELD_BYTES", held)
+    rng = random.Random(5)
+    spaces = [" ", "  ", "\n", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", ""]
+    text = lambda: rng.choice([None, "", " "] + [t for _ in range(5) for t in ["".join(rng.choice(["a", "B", "ß", "İ", "你好", "😀", "Σ"]) + rng.choice(spaces) for _ in range(rng.randint(1, 60)))]])
+    old = [text() for _ in range(200)]
+    new = [rng.choice([a, text(), (a or "")[:9] + "x " + (a or "")[9:]]) for a in old]
+    sides = [pa.array(["skipped", *x], kind).slice(1) for x in (old, new) for kind in (pa.string(), pa.large_string())]
+    for few, case in ((256, True), (256, False), (0, True)):
+        monkeypatch.setattr(textdiff, "FEW", few)
+        expected = [word_changes(a, b, case) for a, b in zip(old, new, strict=True)]
+        for a, b in (sides[::2], sides[1::2]):
+            assert [[tuple(c.values()) for c in changes] for changes in changes_of(a, b, case).to_pylist()] == expected
+    none = pa.array([], pa.string())
+    assert changes_of(none, none).to_pylist() == [] and changes_of(pa.array([None], pa.string()), pa.array([None], pa.string())).to_pylist() == [[]]
+
+
 def test_word_changes_are_few():
     assert [c for c in word_changes("Hello World", "Hello Universe") if c[0] or c[1]] == [(False, True, "World"), (True, False, "Universe")]
     assert not any(a or r for a, r, _ in word_changes("Hello World", "hello world", case_sensitive=False))

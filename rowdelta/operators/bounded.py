@@ -214,6 +214,10 @@ def _in_chunks(rule: str, k: int, any_pair: bool) -> Callable[[pa.Table, pa.Tabl
         if left.column("print").null_count < left.num_rows:
             others = ~_shared([[v] for v in lists(left, "print")], [[v] for v in lists(right, "print")])
             allowed = others if allowed is None else allowed & others
+        if "holder" in right.column_names and right.column("holder").null_count < right.num_rows:
+            holder = right.column("holder").fill_null(np.iinfo(np.int64).max).to_numpy()
+            free = left.column("idx").to_numpy()[:, None] < holder[None, :]
+            allowed = free if allowed is None else allowed & free
         i, j, score = top_pairs(lists(left, "row"), lists(right, "row"), allowed, left.column("floor").to_numpy(), rule, k)
         return pa.table({"source_idx": left.column("idx").to_numpy()[i], "score": score, "target_idx": right.column("idx").to_numpy()[j]})
 
@@ -282,7 +286,7 @@ def best_partners(source: DataFrame, target: DataFrame, known: DataFrame, width:
     """Each source row's ``k`` best target rows above the threshold: source_idx, score, target_idx.
 
     ``source`` and ``target`` have idx, row (the ``width`` values that are scored), probe (the values by which rows are candidates, null for none) and print: pairs
-    without a common probe are none, unless ``any_pair``, and neither are pairs with the same print. ``known`` has what is known already, of other rows too (source_idx, score,
+    without a common probe are none, unless ``any_pair``, and neither are pairs with the same print, nor those of a target with a holder, if it has one, and a row that isn't before the holder. ``known`` has what is known already, of other rows too (source_idx, score,
     target_idx). Of equal scores the lowest targets count.
     """
     spark = source.sparkSession
@@ -300,7 +304,7 @@ def best_partners(source: DataFrame, target: DataFrame, known: DataFrame, width:
     sizes = target.groupBy("t_group").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n_t"))
     part = lambda n: F.pmod(F.xxhash64("idx", F.lit(11)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks, holder = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), [c for c in target.columns if c == "holder"]
     lo, step = 0, 1
     while lo < len(groups[1]):
         floors = lists.groupBy(F.col("source_idx").alias("idx")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select("idx", "least")
@@ -311,7 +315,7 @@ def best_partners(source: DataFrame, target: DataFrame, known: DataFrame, width:
             break
         chunks = asked.groupBy("t_group").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n_s")).join(sizes, "t_group")
         left = asked.join(chunks, "t_group").join(source.drop("s_group"), "idx").withColumns({"i": part("n_s"), "j": every("n_t")}).select("t_group", "i", "j", "idx", "row", "probe", "print", "floor")
-        right = target.join(chunks, "t_group").withColumns({"j": part("n_t"), "i": every("n_s")}).select("t_group", "i", "j", "idx", "row", "probe", "print")
+        right = target.join(chunks, "t_group").withColumns({"j": part("n_t"), "i": every("n_s")}).select("t_group", "i", "j", "idx", "row", "probe", "print", *holder)
         keys = ["t_group", "i", "j"]
         dealt = lambda d: d.repartition(tasks, *keys).groupBy(*keys)  # noqa: B023, E731  by number: what is little to read may be much to do
         found = dealt(left).cogroup(dealt(right)).applyInArrow(_in_chunks(rule, k, any_pair), _FOUND)
@@ -331,10 +335,11 @@ def best_in_blocks(source: DataFrame, target: DataFrame, blocks: DataFrame, know
     many = blocks.select("col", "val", F.ceil(F.col("n_s") / CHUNK).cast("int").alias("n_s"), F.ceil(F.col("n_t") / WIDE).cast("int").alias("n_t"))
     part = lambda n: F.pmod(F.xxhash64("idx", F.lit(11)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    met = lambda d: d.select("idx", "row", "print", F.posexplode("probe").alias("col", "val")).where("val is not null").join(many, ["col", "val"])
+    holder = [c for c in target.columns if c == "holder"]
+    met = lambda d, *more: d.select("idx", "row", "print", *more, F.posexplode("probe").alias("col", "val")).where("val is not null").join(many, ["col", "val"])
     left = met(source).join(floors, "idx", "left").withColumns({"i": part("n_s"), "j": every("n_t"), "floor": F.coalesce("least", F.lit(threshold))})
-    right = met(target).withColumns({"j": part("n_t"), "i": every("n_s")})
+    right = met(target, *holder).withColumns({"j": part("n_t"), "i": every("n_s")})
     keys = ["col", "val", "i", "j"]
     dealt = lambda d, *more: d.select(*keys, "idx", "row", "print", *more).repartition(tasks, *keys).groupBy(*keys)
-    found = dealt(left, "floor").cogroup(dealt(right)).applyInArrow(_in_chunks(rule, k, True), _FOUND).where(F.col("score") > threshold)
+    found = dealt(left, "floor").cogroup(dealt(right, *holder)).applyInArrow(_in_chunks(rule, k, True), _FOUND).where(F.col("score") > threshold)
     return settled(top(known.unionByName(found).dropDuplicates(["source_idx", "target_idx"]), k))

@@ -34,9 +34,13 @@ CHUNK = 512
 #: Blocks of so many pairs at most are compared as joined rows; only larger ones are worth tasks of their own.
 SMALL = 256
 #: Pairs of rows that may want each other up to which greedy matching lists all that are above the threshold; beyond that each row lists its best partners first.
-DIRECT_PAIRS = 4_000_000
-#: Partners that a row lists first.
+DIRECT_PAIRS = 1_000_000
+#: Partners that a row lists at least, if there are as many.
 WISHES = 8
+#: Partners that all rows of a turn list together, if that leaves the first number for each.
+LISTED = 900_000
+#: Rows of the source that are matched one by one, as it were, before the next ones have their turn: with their copies and lists they fit a task.
+TURN_ROWS = 30_000
 #: Pairs in large blocks that are scored without a search.
 FEW_PAIRS = 100_000
 #: Pairs in large blocks up to which each gets a bound; beyond that signatures rule most of them out together.
@@ -268,11 +272,11 @@ def _best_above(threshold: float) -> Callable[[np.ndarray], tuple[np.ndarray, np
     return pick
 
 
-def best_targets(source: Dataset, target: Dataset, options: DiffOptions, k: int = 1, all_pairs: bool = False, no_copies: bool = False) -> DataFrame:
+def best_targets(source: Dataset, target: Dataset, options: DiffOptions, k: int = 1, all_pairs: bool = False, no_copies: bool = False, held: DataFrame | None = None) -> DataFrame:
     """Each source row's ``k`` best partners above the threshold (of equal scores the lowest targets): source_idx, score, target_idx.
 
     Small blocks are scored as joined rows; their scores are where the search by bounds in large blocks begins, unless these have few pairs, which are all scored. ``all_pairs`` drops the demand for a
-    shared cell; ``no_copies`` leaves out pairs with equal fingerprints.
+    shared cell; ``no_copies`` leaves out pairs with equal fingerprints, ``held`` (target_idx, holder) targets for all but earlier rows than their holder.
     """
     columns = shared_columns(source, target, options)
     if not columns:
@@ -281,12 +285,16 @@ def best_targets(source: Dataset, target: Dataset, options: DiffOptions, k: int
     copy = lambda d: fingerprint_of(d, source, options) if no_copies else F.lit(None).cast("string")
     rows = lambda d, of_target: d.df.select(F.col(INDEX).alias("idx"), _scored_values(d, columns, options).alias("row"), _probes(d, columns, options, of_target).alias("probe"), copy(d).alias("print"))
     s, t = rows(source, False), rows(target, True)
+    if held is not None:
+        t = t.join(held.withColumnRenamed("target_idx", "idx"), "idx", "left")
     if all_pairs:
         return best_partners(s, t, _no_pairs(source).select("source_idx", "score", "target_idx"), len(columns), options.similarity, options.threshold, k, True)
     small, large = _blocks(source, target, options, columns)
     if no_copies:
         prints = lambda d, name: d.select(F.col("idx").alias(name), F.col("print").alias(f"{name}_print"))
         small = small.join(prints(s, "source_idx"), "source_idx").join(prints(t, "target_idx"), "target_idx").where("source_idx_print != target_idx_print").select("source_idx", "score", "target_idx")
+    if held is not None:
+        small = small.join(held, "target_idx", "left").where("holder is null or source_idx < holder").select("source_idx", "score", "target_idx")
     if large is None:
         return top(small, k)
     n_pairs = large.agg(F.sum(F.col("n_s").cast("decimal(38,0)") * F.col("n_t"))).first()[0]
@@ -334,6 +342,25 @@ def greedy_matches(source: Dataset, target: Dataset, options: DiffOptions, all_p
     Only pairs above the threshold are rows; ``all_pairs`` drops the demand for a shared cell. Rows that want the same partners are settled group by group (``conflicts.py``). Returns
     source_idx, target_idx, score (null if exact).
     """
+    source, target = (replace(d, df=settled(d.df)) for d in (source, target))  # read several times
+    bounds = source.df.approxQuantile(INDEX, [k / n for k in range(1, n)], 0.1 / n) if (n := -(-source.df.count() // TURN_ROWS)) > 1 else []
+    found = None
+    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
+        # What a row gets depends on no later row, so some rows are settled for good before the next ones have their turn.
+        some = source.df if lo is None else source.df.where(F.col(INDEX) > int(lo))
+        some = replace(source, df=some if hi is None else some.where(F.col(INDEX) <= int(hi)))
+        free = target if found is None else _without(target, found, "target_idx")
+        matched = _greedy_turn(some, free, options, all_pairs)
+        found = matched if found is None else settled(found.unionByName(matched), loop=True)
+    return found
+
+
+def _greedy_turn(source: Dataset, target: Dataset, options: DiffOptions, all_pairs: bool) -> DataFrame:
+    """The matches of some rows, all of them at once.
+
+    Where few pairs meet all that are good are listed. Else each row lists its best partners, and those all of whose partners are taken look further. They look at targets only
+    that no earlier row holds: with longer lists a target goes to earlier rows if to others at all, so an earlier holder keeps it from a later row for good.
+    """
     s_fp = source.df.select(F.col(INDEX).alias("source_idx"), fingerprint_of(source, source, options).alias("fp"))
     t_fp = target.df.select(F.col(INDEX).alias("target_idx"), fingerprint_of(target, source, options).alias("fp"))
     sources, targets = settled(s_fp), settled(t_fp)
@@ -341,19 +368,25 @@ def greedy_matches(source: Dataset, target: Dataset, options: DiffOptions, all_p
     if _n_pairs(source, target, options, all_pairs) <= DIRECT_PAIRS:
         other = good_pairs(source, target, options, all_pairs).join(sources.withColumnRenamed("fp", "s_fp"), "source_idx").join(targets.withColumnRenamed("fp", "t_fp"), "target_idx").where("s_fp != t_fp")
         return _settled_matches(sources, copies, settled(other.select("source_idx", "target_idx", "score")))
-    k = WISHES
-    wishes = settled(best_targets(source, target, options, k, all_pairs, True).withColumn("k", F.lit(k)))
+    copies = settled(copies)
+    # First as if rows took copies only; then all list partners, for a copy may be gone when it is their turn.
+    s, t = ranked_in_bag(sources, "fp", "source_idx", "rank", False), ranked_in_bag(copies, "fp", "target_idx", "rank", True)
+    done = settled(s.join(t, ["fp", "rank"]).select("source_idx", "target_idx", F.lit(None).cast("double").alias("score")))
+    short, spent, wishes = sources.select("source_idx"), sources.select("source_idx").where(F.lit(False)), _no_pairs(source).select("source_idx", "target_idx", "score")
     while True:
-        done = settled(_settled_matches(sources, copies, wishes.drop("k")))
-        full = wishes.groupBy("source_idx").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k")).where("n = k").select("source_idx")
-        short = settled(full.join(done, "source_idx", "left_anti"))
-        if short.isEmpty():
+        n, first = short.agg(F.count(F.lit(1)), F.min("source_idx")).first()
+        if not n:
             return done
-        # Rows all of whose listed partners are taken look further; what that changes for others is settled anew.
-        k *= 4
-        open_rows = replace(source, df=source.df.join(short.withColumnRenamed("source_idx", INDEX), INDEX, "left_semi"))
-        more = best_targets(open_rows, target, options, k, all_pairs, True).withColumn("k", F.lit(k))
-        wishes = settled(wishes.join(short, "source_idx", "left_anti").unionByName(more))
+        k, holder = max(WISHES, LISTED // n), done.select("target_idx", F.col("source_idx").alias("holder"))
+        asking = replace(source, df=source.df.join(short.withColumnRenamed("source_idx", INDEX), INDEX, "left_semi"))
+        asked = replace(target, df=target.df.join(done.where(F.col("source_idx") < first).select(F.col("target_idx").alias(INDEX)), INDEX, "left_anti"))
+        more = settled(best_targets(asking, asked, options, k, all_pairs, True, holder).select("source_idx", "target_idx", "score"), loop=True)
+        full = more.groupBy("source_idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
+        spent = settled(spent.unionByName(short.join(full, "source_idx", "left_anti")), loop=True)  # they list all that is left for them
+        open_wishes = wishes.join(short, "source_idx", "left_anti").join(holder, "target_idx", "left").where("holder is null or source_idx <= holder").drop("holder")
+        wishes = settled(open_wishes.unionByName(more), loop=True)
+        done = settled(_settled_matches(sources, copies, wishes), loop=True)
+        short = settled(sources.select("source_idx").join(done, "source_idx", "left_anti").join(spent, "source_idx", "left_anti"), loop=True)
 
 
 def _settled_matches(sources: DataFrame, copies: DataFrame, wishes: DataFrame) -> DataFrame:

@@ -18,9 +18,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder, so that loops don't grow their plan and lost executors don't matter."""
-    context = df.sparkSession.sparkContext
+def settled(df: DataFrame, loop: bool = False) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder, so that loops don't grow their plan and lost executors don't matter.
+
+    A checkpoint keeps what Spark has guessed of its size, and a join's size is guessed as the product of its sides. Where a ``loop`` makes a frame from itself such guesses soon have
+    millions of digits, which take the driver's memory and time; so there frames go through files, whose sizes are known.
+    """
+    spark = df.sparkSession
+    if loop:
+        path = scratch(spark, "round")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
+        context.setCheckpointDir(scratch(spark, "checkpoints"))
     return df.checkpoint(eager=True)

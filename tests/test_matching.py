@@ -10,6 +10,7 @@ from test_functions import plain_jaro_winkler
 from rowdelta import DiffOptions, diff, from_table
 from rowdelta.functions.similarity import normalized_levenshtein
 from rowdelta.operators import bounded, conflicts, content
+from rowdelta.plans.scratch import settled
 
 STRICT = DiffOptions(case_sensitive=True, ignore_whitespace=False, ignore_empty_vs_null=False)
 NAMES = ["name", "status", "code"]
@@ -187,6 +188,28 @@ def test_greedy_by_lists_that_grow(spark, all_pairs, monkeypatch):
     assert key(lists) == key(whole) and len(whole) > 30
 
 
+def test_greedy_lists_stay_within_tasks(spark, monkeypatch):
+    """Rows that look further listed targets too that earlier rows had for good, until groups of them took rounds of jobs."""
+    rng = random.Random(3)
+    a = [(f"name{k % 7}", "open", str(rng.randint(0, 40))) for k in range(120)]
+    b = [(f"name{k % 6}" + rng.choice(["", "x"]), "open", str(rng.randint(0, 40))) for k in range(100)]
+    sides = table(spark, a), table(spark, b)
+    key = lambda rows: sorted((r.source_idx, r.target_idx, -1 if r.score is None else round(r.score, 9)) for r in rows)
+    whole = key(content.greedy_matches(*sides, STRICT).collect())
+    for name, value in (("DIRECT_PAIRS", 0), ("WISHES", 2), ("LISTED", 300), ("TURN_ROWS", 50)):
+        monkeypatch.setattr(content, name, value, raising=False)
+    monkeypatch.setattr(conflicts.settle, "__defaults__", (1000,))
+    monkeypatch.setattr(content, "_in_rounds", lambda *a: pytest.fail("rounds"))
+    assert key(content.greedy_matches(*sides, STRICT).collect()) == whole and len(whole) == 100
+
+
+def test_sizes_of_frames_in_loops_are_those_of_files(spark):
+    df = spark.range(10).withColumn("x", F.lit(1))
+    for _ in range(6):
+        df = settled(df.join(df.select("id"), "id").join(df.select("id"), "id"), loop=True)
+    assert df.count() == 10 and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 20
+
+
 def test_a_thousand_rows_that_all_want_each_other(spark):
     ids = [(k,) for k in range(1000)]
     sources = spark.createDataFrame([(k, f"s{k}") for (k,) in ids], "source_idx long, fp string")
